@@ -6,10 +6,10 @@ approximate:
 * Records with the same word set form one *class*; the join runs over classes only, so copies never meet in pairs.
 * If ``J(A, B) >= t`` then, under any one order of all words, the first ``|X| - ceil(t |X|) + 1`` words of both sets share
   a word.  Classes are blocked by those words, rarest first (by a hashed histogram of fixed size).
-* Within a block the classes carry a 256-bit parity sketch.  A bit differs only where a word is in one set and not the
-  other, so ``popcount(a ^ b) <= |A xor B| <= (1-t)/(1+t) (|A|+|B|)`` for every true pair.  Sketches lie in tiles; tile
-  pairs whose population counts differ beyond that radius are skipped, the others are compared with numpy exclusive-or
-  and bit counts.
+* Within a block the classes carry a parity sketch, of 256 bits, or of 1024 for pairs with a set over ``LONG`` words.  A bit
+  differs only where a word is in one set and not the other, so ``popcount(a ^ b) <= |A xor B| <= (1-t)/(1+t) (|A|+|B|)``
+  for every true pair.  Sketches lie in tiles; tile pairs whose population counts differ beyond that radius are skipped, the
+  others are compared with numpy exclusive-or and bit counts.
 * Pairs within the radius are checked exactly on the word sets.
 
 Blocks that may hold more than ``CELL_ROWS`` classes are cut into cells, and every pair of cells is a task group of its
@@ -33,7 +33,9 @@ BUCKETS = 1 << 18
 #: Classes that one cell of a block may hold before the block is split.
 CELL_ROWS = 1 << 14
 TILE = 64
-LANES = 4  # 64-bit words of a sketch
+#: 64-bit words of a sketch where both sets have up to LONG words, and where one has more.
+LANES = (4, 16)
+LONG = 250
 
 
 def word_set(text: Column) -> Column:
@@ -67,53 +69,52 @@ def _histogram(classes: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def _sketches(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Parity sketches: bit ``h mod 256`` of a row is flipped by each of its words."""
-    bit = ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
-    flat = np.bincount(row * 256 + bit, minlength=rows * 256).astype(np.uint8) & 1
-    return np.packbits(flat.reshape(rows, 256), axis=1, bitorder="little").view(np.uint64)
+def _sketches(values: np.ndarray, row: np.ndarray, rows: int, lanes: int) -> np.ndarray:
+    """Parity sketches: one bit of a row is flipped by each of its words."""
+    bits = 64 * lanes
+    bit = ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    flat = np.bincount(row * bits + bit, minlength=rows * bits).astype(np.uint8) & 1
+    return np.packbits(flat.reshape(rows, bits), axis=1, bitorder="little").view(np.uint64)
 
 
-def _entries(histogram: np.ndarray, threshold: float):
+def _entries(histogram, threshold: float):
     """From (key, words) to one row for each word of a class's prefix and each cell pair of that word's block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocked(keys: pa.Array, values: np.ndarray, n: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         freq = histogram.value
+        row = np.repeat(np.arange(len(n)), n)
+        sketch = _sketches(values, row, len(n), LANES[kind])
+        common = freq[values & (BUCKETS - 1)]
+        order = np.lexsort((values, common, row))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+        keep = np.ceil(threshold * n - 1e-9).astype(np.int64)
+        taken = order[place < np.repeat(n - keep + 1, n)]
+        who, word, seen = row[taken], values[taken], common[taken]
+        cells = np.maximum(1, -(-seen.astype(np.int64) // CELL_ROWS))
+        mine = (sketch[who, 0] ^ sketch[who, 1]) % cells.astype(np.uint64)
+        times = np.repeat(np.arange(len(taken)), cells)  # one copy for each cell this one is compared with
+        other = np.arange(len(times)) - np.repeat(np.cumsum(cells) - cells, cells)
+        own = mine[times].astype(np.int64)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        cell = (low << 22 | high << 2) + 2 * kind + (own == high) * (low != high)
+        src, wide = who[times], LANES[kind] * 8
+        for lo in range(0, len(src), 50_000):
+            at = src[lo : lo + 50_000]
+            bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(at), [None, pa.py_buffer(np.ascontiguousarray(sketch[at]))])
+            yield pa.record_batch(
+                [pa.array(word[times][lo : lo + 50_000]), pa.array(cell[lo : lo + 50_000]), keys.take(pa.array(at)), pa.array(n[at].astype(np.int32)), bits.cast(pa.binary())],
+                ["word", "cell", "key", "n", "sketch"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
             words = b.column("words")
-            values = np.asarray(words.flatten())
-            n = np.diff(np.asarray(words.offsets))
-            row = np.repeat(np.arange(b.num_rows), n)
-            sketch = _sketches(values, row, b.num_rows)
-            common = freq[values & (BUCKETS - 1)]
-            order = np.lexsort((values, common, row))
-            start = np.concatenate([[0], np.cumsum(n)[:-1]])
-            place = np.arange(len(values)) - np.repeat(start, n)
-            keep = np.ceil(threshold * n - 1e-9).astype(np.int64)
-            taken = order[place < np.repeat(n - keep + 1, n)]
-            who, word, seen = row[taken], values[taken], common[taken]
-            cells = np.maximum(1, -(-seen.astype(np.int64) // CELL_ROWS))
-            mine = (sketch[who, 0] ^ sketch[who, 1]) % cells.astype(np.uint64)
-            times = np.repeat(np.arange(len(taken)), cells)  # one copy for each cell this one is compared with
-            other = np.arange(len(times)) - np.repeat(np.cumsum(cells) - cells, cells)
-            own = mine[times].astype(np.int64)
-            low, high = np.minimum(own, other), np.maximum(own, other)
-            src = who[times]
-            for lo in range(0, len(src), 50_000):
-                s = slice(lo, lo + 50_000)
-                at = src[s]
-                yield pa.record_batch(
-                    [
-                        pa.array(word[times][s]),
-                        pa.array(((low << 20 | high) * 2 + (own == high) * (low != high))[s]),
-                        b.column("key").take(pa.array(at)),
-                        pa.array(n[at].astype(np.int32)),
-                        *(pa.array(sketch[at, k].view(np.int64)) for k in range(LANES)),
-                    ],
-                    ["word", "cell", "key", "n", "s0", "s1", "s2", "s3"],
-                )
+            values, n = np.asarray(words.flatten()), np.diff(np.asarray(words.offsets)).astype(np.int64)
+            row = np.repeat(n, n)
+            for kind, chosen in enumerate((n <= LONG, n >= math.floor(threshold * LONG))):
+                if chosen.any():
+                    inside = row <= LONG if kind == 0 else row >= math.floor(threshold * LONG)
+                    yield from blocked(b.column("key").filter(pa.array(chosen)), values[inside], n[chosen], kind)
 
     return run
 
@@ -147,7 +148,7 @@ def _compare(block: np.ndarray, side: np.ndarray, sketch: np.ndarray, n: np.ndar
         i, j = first[left[lo : lo + 256]], first[right[lo : lo + 256]]
         a, b = np.minimum(i[:, None] + lane, rows - 1), np.minimum(j[:, None] + lane, rows - 1)
         far = np.bitwise_count(sketch[a][:, :, None, 0] ^ sketch[b][:, None, :, 0]).astype(np.int16)
-        for k in range(1, LANES):
+        for k in range(1, sketch.shape[1]):
             far += np.bitwise_count(sketch[a][:, :, None, k] ^ sketch[b][:, None, :, k])
         ok = far <= ratio * (n[a][:, :, None] + n[b][:, None, :]) + 1e-9
         ok &= block[a][:, :, None] == block[b][:, None, :]
@@ -167,41 +168,41 @@ def _pairs(ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def found(t: pa.Table) -> pa.RecordBatch | None:
+        def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
             t = t.combine_chunks()
-            word, cell = t.column("word").to_numpy(), t.column("cell").to_numpy()
-            pair = cell >> 1
-            change = np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])])
-            block = np.cumsum(change)
-            alone = np.bincount(block)[block] == 1
-            keep = np.flatnonzero(~alone)
-            if not len(keep):
-                return None
-            sketch = np.stack([t.column(f"s{k}").to_numpy()[keep] for k in range(LANES)], 1).view(np.uint64)
-            pops = np.bitwise_count(sketch).sum(1)
-            order = np.lexsort((pops, block[keep]))
-            keep, sketch = keep[order], np.ascontiguousarray(sketch[order])
-            one = (pair[keep] >> 20) == (pair[keep] & ((1 << 20) - 1))
-            side = np.where(one, 0, 2 + (cell[keep] & 1))
-            a, b = _compare(block[keep], side, sketch, t.column("n").to_numpy()[keep].astype(np.int64), ratio)
-            if not len(a):
-                return None
-            keys = t.column("key").combine_chunks()
-            return pa.record_batch([keys.take(pa.array(keep[a])), keys.take(pa.array(keep[b]))], ["x", "y"])
+            word, cell, size = (t.column(c).to_numpy() for c in ("word", "cell", "n"))
+            pair = cell >> 2
+            block = np.cumsum(np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])]))
+            keys, sketches = t.column("key").combine_chunks(), t.column("sketch").combine_chunks()
+            for kind, lanes in enumerate(LANES):
+                at = np.flatnonzero((cell >> 1 & 1) == kind)
+                at = at[np.bincount(block[at])[block[at]] > 1] if len(at) else at
+                if not len(at):
+                    continue
+                sketch = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, lanes)
+                order = np.lexsort((np.bitwise_count(sketch).sum(1), block[at]))
+                at, sketch = at[order], np.ascontiguousarray(sketch[order])
+                one = (pair[at] >> 20) == (pair[at] & ((1 << 20) - 1))
+                n = size[at].astype(np.int64)
+                a, b = _compare(block[at], np.where(one, 0, 2 + (cell[at] & 1)), sketch, n, ratio)
+                mine = (np.maximum(n[a], n[b]) > LONG) == kind
+                a, b = at[a[mine]], at[b[mine]]
+                if len(a):
+                    yield pa.record_batch([keys.take(pa.array(a)), keys.take(pa.array(b))], ["x", "y"])
 
         for b in batches:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             if t.num_rows < 200_000:
                 rest = t
                 continue
-            word, pair = t.column("word").to_numpy(), t.column("cell").to_numpy() >> 1
+            word, pair = t.column("word").to_numpy(), t.column("cell").to_numpy() >> 2
             same = (word == word[-1]) & (pair == pair[-1])
             cut = len(word) - int(np.argmin(same[::-1])) if not same.all() else 0
             rest = t.slice(cut)
-            if cut and (out := found(t.slice(0, cut))) is not None:
-                yield out
-        if rest is not None and rest.num_rows and (out := found(rest)) is not None:
-            yield out
+            if cut:
+                yield from found(t.slice(0, cut))
+        if rest is not None and rest.num_rows:
+            yield from found(rest)
 
     return run
 
@@ -210,14 +211,13 @@ def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(key_a, key_b, shared, size_a, size_b)``: each pair of classes whose word sets are at least ``threshold`` similar."""
     histogram = classes.sparkSession.sparkContext.broadcast(_histogram(classes))
     ratio = (1 - threshold) / (1 + threshold)
-    entries = classes.mapInArrow(_entries(histogram, threshold), "word long, cell long, key binary, n int, s0 long, s1 long, s2 long, s3 long")
-    near = entries.repartition("word", F.expr("cell div 2")).sortWithinPartitions("word", F.expr("cell div 2")).mapInArrow(_pairs(ratio), "x binary, y binary")
-    near = near.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
-    near = stored(near)
-    ends = near.select("key_a", "key_b", F.explode(F.array("key_a", "key_b")).alias("key"))
-    both = ends.join(classes, "key").groupBy("key_a", "key_b").agg(F.min_by("words", "key").alias("a"), F.max_by("words", "key").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    out = both.select("key_a", "key_b", shared.alias("shared"), F.size("a").alias("size_a"), F.size("b").alias("size_b"))
+    entries = classes.mapInArrow(_entries(histogram, threshold), "word long, cell long, key binary, n int, sketch binary")
+    block = ("word", F.expr("shiftright(cell, 2)"))
+    near = entries.repartition(*block).sortWithinPartitions(*block).mapInArrow(_pairs(ratio), "x binary, y binary")
+    near = stored(near.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct())
+    both = near.join(classes.select(F.col("key").alias("key_a"), F.col("words").alias("a")), "key_a")
+    both = both.join(classes.select(F.col("key").alias("key_b"), F.col("words").alias("b")), "key_b")
+    out = both.select("key_a", "key_b", F.size(F.array_intersect("a", "b")).alias("shared"), F.size("a").alias("size_a"), F.size("b").alias("size_b"))
     return out.where(F.col("shared") >= threshold * (F.col("size_a") + F.col("size_b") - F.col("shared")) - 1e-9)
 
 
