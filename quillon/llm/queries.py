@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import near_duplicates
+from quillon.llm import consensus, credentials, near_duplicates, source_kinds, splitting
 from quillon.session import table
 
 
@@ -18,6 +19,69 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "chunks"))
 
 
+CLAIM_CLASSES = ("supported", "unsupported", "contradicted", "not a claim")
+ANSWER_CLASSES = ("supported", "partially_supported", "unsupported")
+
+
+def _claim_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.usable_votes(table(spark, sf_dir, "claims"), ["answer", "claim"], "grader", "support", "graded_at", "label_id", CLAIM_CLASSES)
+
+
+def _answer_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.usable_votes(table(spark, sf_dir, "judgements"), ["answer"], "judge", "verdict", "judged_at", "judgement_id", ANSWER_CLASSES)
+
+
+def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = consensus.consensus(_claim_votes(spark, sf_dir), ["answer", "claim"], CLAIM_CLASSES)
+    answers = consensus.consensus(_answer_votes(spark, sf_dir), ["answer"], ANSWER_CLASSES)
+    columns = ["target", "answer", "claim", "label", "confidence", "n_votes", "agreement"]
+    claims = claims.withColumn("target", F.lit("claim")).select(columns)
+    return claims.unionByName(answers.withColumns({"target": F.lit("answer"), "claim": F.lit(0)}).select(columns))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_consensus(spark, sf_dir).select("target", "answer", "claim", "label")
+
+
+def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = consensus.reliability(_claim_votes(spark, sf_dir), ["answer", "claim"], CLAIM_CLASSES).withColumn("target", F.lit("claim"))
+    return claims.unionByName(consensus.reliability(_answer_votes(spark, sf_dir), ["answer"], ANSWER_CLASSES).withColumn("target", F.lit("answer")))
+
+
+def p2_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = consensus.overall_agreement(_claim_votes(spark, sf_dir), ["answer", "claim"]).withColumn("target", F.lit("claim"))
+    return claims.unionByName(consensus.overall_agreement(_answer_votes(spark, sf_dir), ["answer"]).withColumn("target", F.lit("answer")))
+
+
+def p4_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_credentials(spark, sf_dir).where("id is not null").select("id", "line_no").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select("id", "path", "text")
+    return credentials.redact_credentials(chunks)
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where("id is not null").select("id").distinct()
+
+
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_kinds.source_kinds(table(spark, sf_dir, "source_files"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_files(spark, sf_dir).where("reason is not null").select("repo_id", "path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
