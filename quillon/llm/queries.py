@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import consensus, credentials, near_duplicates, source_kinds, splitting
+from quillon.llm import consensus, credentials, languages, mixing, near_duplicates, packing, pairs, source_kinds, splitting
 from quillon.session import table
 
 
@@ -82,6 +82,39 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_files(spark, sf_dir).where("reason is not null").select("repo_id", "path")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.broken_pairs(table(spark, sf_dir, "answer_results")).where("result_id is not null")
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "context_windows"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), policy="all")[1]
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_segments(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = languages.corrected_languages(p9_segments(spark, sf_dir)).where("id is not null")
+    return rows.select(F.col("id").alias("doc_id"), "language")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
