@@ -296,6 +296,5 @@ def language_segments(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def corrected_languages(segments: DataFrame) -> DataFrame:
     """``(id, language)``: the language of documents whose label is missing or wrong; each certain language of mixed documents."""
-    single = segments.where("not mixed and segment = 0 and label <> document_language").select("id", F.col("document_language").alias("language"))
-    several = segments.where("mixed and certain").select("id", "language")
-    return single.unionByName(several).distinct()
+    kept = segments.where("(not mixed and segment = 0 and label <> document_language) or (mixed and certain)")  # one pass
+    return kept.select("id", F.expr("if(mixed, language, document_language)").alias("language")).distinct()
