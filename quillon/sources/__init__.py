@@ -1 +1 @@
-"""Sources and sinks: repositories, question files, versioned tables, reports."""
+"""Sources and sinks: repositories, question files, versioned tables, run results and grading sheets."""
