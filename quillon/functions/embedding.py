@@ -27,10 +27,13 @@ def hashed_vector(text: Column, dim: int = 64) -> Column:
     if dim not in (2, 4, 8, 16, 32, 64, 128, 256):
         raise ValueError("dim must be a power of two up to 256")
     slots = F.transform(identifier_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c))
-    axis = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (i == 0).cast("double"))
-    return F.when(norm > 0, F.transform(counts, lambda c: c / norm)).otherwise(axis)
+    axes = F.sequence(F.lit(0), F.lit(dim - 1))
+    # one-element arrays bind an expression to a name, so that it is worked out once and not for every axis
+    counts = F.get(F.transform(F.array(slots), lambda s: F.transform(axes, lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))), 0)
+    axis = F.transform(axes, lambda i: (i == 0).cast("double"))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c))
+    pair = F.transform(F.array(counts), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.get(F.transform(pair, lambda p: F.when(p["n"] > 0, F.transform(p["v"], lambda c: c / p["n"])).otherwise(axis)), 0)
 
 
 class HashEmbedder:

@@ -1 +1,215 @@
-def oracle_sql(): return {}
+"""SQL that checks the registered queries on the same tables."""
+
+from __future__ import annotations
+
+from quillon.functions.identifiers import STOPWORDS
+from quillon.functions.paths import CHANGE_WORDS, CHANGELOG_PATH, CODE_EXTENSIONS, CONFIG_EXTENSIONS, CONFIG_NAMES, DOC_EXTENSIONS, TEST_PATH, TEST_WORDS
+from quillon.operators import walking
+
+
+def _s(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _map(values: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in values.items()) + "}"
+
+
+FILES = "files as (select * exclude (n) from (select *, row_number() over (partition by repo_id, path order by walked_at desc nulls last, size desc nulls last) n from source_files) where n = 1)"
+CHUNKS = "c as (select * exclude (n) from (select *, row_number() over (partition by id) n from chunks) where n = 1)"
+ANSWERS = "a as (select * exclude (n) from (select *, row_number() over (partition by result_id) n from answer_results) where n = 1)"
+QUESTIONS = ANSWERS + ", q as (select result_id as query_id, question from a where result_id % 20 = 0 and question is not null)"
+NAME = "regexp_extract(path, '([^/]*)$', 1)"
+EXTENSION = f"lower(regexp_extract({NAME}, '^.+(\\.[^.]+)$', 1))"
+LANGUAGE = f"coalesce({_map(CONFIG_NAMES)}[{NAME}], {_map({**CODE_EXTENSIONS, **DOC_EXTENSIONS, **CONFIG_EXTENSIONS})}[{EXTENSION}])"
+KIND = f"case when list_contains({_s(CONFIG_NAMES)}, {NAME}) then 'config' else {_map({**dict.fromkeys(CODE_EXTENSIONS, 'code'), **dict.fromkeys(DOC_EXTENSIONS, 'doc'), **dict.fromkeys(CONFIG_EXTENSIONS, 'config')})}[{EXTENSION}] end"
+
+
+def _tokens(word: str) -> str:
+    """The tokens of one word; the parts are found by setting blanks where they begin, since there is no look-ahead."""
+    parts = f"regexp_extract_all(regexp_replace(regexp_replace({word}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')"
+    return f"list_filter(list_concat(case when len({parts}) <> 1 then [lower({word})] else [] end, list_transform({parts}, lambda p: lower(p))), lambda t: length(t) > 1)"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _question_tokens(text: str) -> str:
+    return f"list_filter(flatten(list_transform({_words(text)}, lambda w: {_tokens('w')})), lambda t: not list_contains({_s(STOPWORDS)}, t))"
+
+
+def _distinct_in_order(items: str) -> str:
+    return f"list_transform(list_filter(list_zip({items}, range(1, len({items}) + 1)), lambda z: list_position({items}, z[1]) = z[2]), lambda z: z[1])"
+
+
+POSTINGS = (
+    CHUNKS
+    + f""", meta as (select id, t, count(*) n from (select id, unnest({_tokens('w')}) t from (select id, unnest({_words("concat_ws(' ', path, symbol)")}) w from c)) group by all),
+body as (select id, t, count(*) n from (select id, unnest({_tokens('w')}) t from (select id, unnest({_words('text')}) w from c)) group by all),
+p as (select coalesce(meta.t, body.t) as term, coalesce(meta.id, body.id) as id, coalesce(meta.n, 0) as tf_meta, coalesce(body.n, 0) as tf_body from meta full join body on meta.id = body.id and meta.t = body.t)"""
+)
+BM25 = (
+    POSTINGS
+    + ", "
+    + QUESTIONS
+    + f""", qt as (select distinct query_id, t as term from (select query_id, unnest({_question_tokens('question')}) t from q)),
+len as (select id, sum(tf_meta + tf_body) l from p group by id), tot as (select count(*) n, avg(l) m from len), df as (select term, count(*) df from p group by term),
+w as (select query_id, term, m, case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end idf from qt join df using (term), tot),
+s as (select query_id, id, round(sum(idf * (4.0 * tf_meta + tf_body) * 2.2 / ((4.0 * tf_meta + tf_body) + 1.2 * (0.25 + 0.75 * l / m))), 6) score from p join w using (term) join len using (id) group by 1, 2),
+hits as (select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank from s qualify rank <= 30)"""
+)
+VECTORS = "v as (select vec_id, label, embedding::double[] e from embeddings)"
+
+
+def _cosine(k: int, where: str = "true", name: str = "nn") -> str:
+    return f"{name} as (select a.vec_id query_id, b.vec_id id, round(list_cosine_similarity(a.e, b.e), 6) score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.e, b.e), 6) desc, b.vec_id) as rank from v a, v b where a.vec_id % 20 = 0 and {where} qualify rank <= {k})"
+
+
+CLAIMS = """lab as (select answer, claim, grader, label from (select *, row_number() over (partition by answer, claim, grader order by graded_at desc nulls last, label_id desc) n from
+ (select *, regexp_replace(regexp_replace(lower(support), '^\\s+|\\s+$', '', 'g'), '[\\s_-]+', ' ', 'g') label from (select * from claims qualify row_number() over (partition by label_id) = 1))
+ where label in ('supported', 'unsupported', 'contradicted', 'not a claim')) where n = 1)"""
+VERDICTS = """ver as (select answer, judge, role, label from (select *, row_number() over (partition by answer, judge order by judged_at desc nulls last, judgement_id desc) n from
+ (select *, regexp_replace(regexp_replace(lower(verdict), '^\\s+|\\s+$', '', 'g'), '[\\s_-]+', '_', 'g') label from (select * from judgements qualify row_number() over (partition by judgement_id) = 1))
+ where label in ('supported', 'partially_supported', 'unsupported')) x join graders on grader = judge where n = 1)"""
+PAIRS = VERDICTS + ", pr as (select m.answer, m.judge, m.label ml, p.label pl from ver m join ver p using (answer) where m.role = 'model' and p.role = 'person')"
+STUDY = ANSWERS + ", st as (select *, split_part(results_file, '/', 2) repo, split_part(split_part(results_file, '/', 3), '-', 1) prompt, regexp_extract(split_part(results_file, '/', 3), '^[^-]*-(.*)$', 1) context, regexp_replace(split_part(results_file, '/', 4), '-\\d+\\.json$', '') model, error is not null failed from a)"
+GROUNDED = STUDY + ", gp as (select kind, id, min_by(o, result_id) filter (prompt = 'P0') P0, min_by(o, result_id) filter (prompt = 'P1') P1 from (select *, coalesce(question_type, '(none)') kind, coalesce(grounded, false)::int o from st) group by kind, id having P0 is not null and P1 is not null)"
+SIGN_P = "case when {b} + {w} = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least({b}, {w}) + 1), lambda i: exp(lgamma({b} + {w} + 1) - lgamma(i + 1) - lgamma({b} + {w} - i + 1) - ({b} + {w}) * ln(2.0))))) end"
+LABEL_RANKS = VECTORS + ", " + _cosine(11) + """, lr as (select query_id, rank, label, row_number() over (partition by query_id order by rank) r from nn join v on v.vec_id = nn.id where query_id <> id),
+gr as (select q.vec_id as query_id, min(r) as rank, q.label::varchar as type from v q left join lr on lr.query_id = q.vec_id and lr.label = q.label where q.vec_id % 20 = 0 group by q.vec_id, q.label)"""
+DIRS = """f as (select distinct repo_id, path from source_files), ab as (select repo_id, path, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda n: {'d': array_to_string(string_split(path, '/')[1:n], '/'), 'k': n})) x from f),
+dr as (select repo_id, x.d as directory, any_value(x.k) as depth, count(*) as files, count(*) filter (len(string_split(path, '/')) = x.k + 1) as direct_files, count(distinct case when len(string_split(path, '/')) > x.k + 1 then string_split(path, '/')[x.k + 1] end) as children from ab group by repo_id, x.d)"""
+TEST_DIRS = DIRS + f", td as (select repo_id, directory, files from dr where regexp_matches(directory || '/x', '{TEST_PATH}')), td1 as (select * from td t where not exists (select 1 from td o where o.repo_id = t.repo_id and starts_with(t.directory, o.directory || '/')))"
+
+
+def oracle_sql() -> dict[str, str]:
+    mean = lambda e, n: f"round(avg(case when error is null then ({e})::double end), 6) as {n}"
+    summary = ", ".join(
+        [
+            "count(*) as questions", "count(*) filter (error is not null) as errors", mean("coalesce(grounded, false)::int", "grounded_rate"), mean("validity", "citation_validity"), mean("citation_precision", "mean_precision"),
+            mean("gold_cited::int", "gold_cited_rate"), mean("uncited_share", "mean_uncited_share"), mean("(coalesce(unverified_locations, 0) > 0)::int", "unverified_location_rate"), mean("coalesce(refused, false)::int", "refusal_rate"),
+            mean("coalesce(truncated, false)::int", "truncation_rate"), mean("tokens_in", "avg_tokens_in"), mean("tokens_out", "avg_tokens_out"), mean("seconds", "avg_seconds"),
+        ]
+    )
+    skip = f"""case when regexp_matches({NAME}, '{walking.SECRET_NAME}') or (regexp_matches({NAME}, '{walking.ENV_NAME}') and not regexp_matches({NAME}, '{walking.ENV_SAMPLE}')) then 'secret_file'
+ when list_contains({_s(walking.LOCK_NAMES)}, {NAME}) or {' or '.join(f"ends_with({NAME}, '{e}')" for e in walking.GENERATED_ENDINGS)} then 'lockfile_or_generated'
+ when ({KIND}) is null then 'unsupported_type' when coalesce(size, strlen(text)) > case when ({KIND}) = 'config' then 200000 else 1000000 end then 'too_large'
+ when text is null then 'unreadable' when contains(substr(text, 1, 8192), chr(0)) then 'binary' when not regexp_matches(text, '\\S') then 'empty'
+ when ({KIND}) <> 'doc' and list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 2000 then 'minified_or_generated'
+ when regexp_matches(text, '{walking.SECRET_TEXT}') then 'secret_pattern' end"""
+    windows = f"""n as (select *, length(regexp_replace(text, '\\s+$', '')) - length(replace(regexp_replace(text, '\\s+$', ''), chr(10), '')) + 1 ln, string_split(text, chr(10)) ls from files where regexp_matches(text, '[\\p{{L}}\\p{{N}}_]')),
+ w0 as (select *, unnest(range(0, greatest(0, ln - 11) + 1, 50)) s from n), win as (select repo_id, path, (s + 1)::int start_line, least(s + 60, ln)::int end_line, array_to_string(ls[s + 1:least(s + 60, ln)], chr(10)) wt from w0),
+ wins as (select * from win where regexp_matches(wt, '[\\p{{L}}\\p{{N}}_]'))"""
+    mentions = lambda wanted: f"list_has_any(regexp_extract_all(lower(question), '[a-z]+'), {_s(wanted)})"
+    sha = "sha1({})"
+    return {
+        "file_kinds": f"select distinct repo_id, path, {KIND} as file_kind, {LANGUAGE} as file_language from source_files",
+        "skip_reasons": f"with {FILES} select repo_id, path, {skip} as reason from files",
+        "walk_report": f"with {FILES}, r as (select repo_id, path, coalesce({skip}, 'indexed') as reason from files), n as (select *, row_number() over (partition by reason order by repo_id, path) k from r) select reason, count(*) as files, string_agg(path, ', ' order by k) filter (k <= 5) as examples from n group by reason",
+        "content_hashes": f"with {FILES} select repo_id, path, sha256(text) as hash, sha256(text) = file_hash as same from files",
+        "path_flags": f"select distinct path, regexp_matches(path, '{TEST_PATH}') as is_test, regexp_matches(path, '{CHANGELOG_PATH}') as is_changelog, {NAME} as name, {EXTENSION} as extension, len(string_split(path, '/')) as depth from source_files",
+        "question_flags": f"select distinct question, {mentions(TEST_WORDS)} as tests, {mentions(CHANGE_WORDS)} as changes from answer_results where question is not null",
+        "repo_keys": "select distinct repo_id, regexp_replace(repo_id, '[^A-Za-z0-9_.-]+', '-', 'g') || '-' || left(sha1('https://git.example/teams/' || repo_id || '.git'), 8) as key, not contains(repo_id, '..') and regexp_full_match(repo_id, '[A-Za-z0-9._~/-]+') as accepted, false as with_password, repo_id as name from source_files",
+        "window_chunks": f"with {FILES}, {windows} select repo_id, path, start_line, end_line, {sha.format('wt')} as text_hash from wins",
+        "chunk_coverage": f"""with {FILES}, {windows}, l as (select repo_id, path, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) z from files),
+ lw as (select repo_id, path, z[2] k from l where regexp_matches(z[1], '[\\p{{L}}\\p{{N}}_]')), cv as (select distinct repo_id, path, unnest(range(start_line, end_line + 1)) k from wins)
+ select repo_id, path, count(*) as lines, count(cv.k) as covered from lw left join cv using (repo_id, path, k) group by 1, 2""",
+        "chunk_labels": f"""with {CHUNKS} select id, path || ':' || start_line || '-' || coalesce(end_line, start_line) as location, sha1(concat_ws(' • ', nullif(path, ''), nullif(symbol, ''), nullif(kind, '')) || chr(10) || text) as embed_hash,
+ sha1(concat_ws('|', repo_id, path, start_line::varchar, coalesce(end_line, start_line)::varchar, sha1(text))) as own_id, greatest(1, ceil(length(text) / 4))::bigint as tokens, regexp_extract(symbol, '([^.]*)$', 1) as leaf, case when contains(symbol, '.') then regexp_extract(symbol, '^(.*)\\.', 1) end as parent from c""",
+        "file_heads": f"with {CHUNKS} select repo_id, path, sha1(text) as head_hash from c where start_line = 1 qualify row_number() over (partition by repo_id, path order by end_line nulls first, id) = 1",
+        "outline": f"with {CHUNKS} select path, language, kind, symbol, start_line, end_line from c",
+        "class_members": f"with {CHUNKS} select k.id, k.symbol, count(m.id) as methods from c k left join c m on m.repo_id = k.repo_id and m.path = k.path and m.kind = 'method' and contains(m.symbol, '.') and regexp_extract(m.symbol, '^(.*)\\.', 1) = k.symbol where k.kind = 'class' group by k.id, k.symbol",
+        "query_terms": f"with d as (select distinct question from answer_results where question is not null), t as (select question, {_question_tokens('question')} k from d) select question, coalesce(array_to_string({_distinct_in_order('k')}, ' '), '') as terms from t",
+        "postings": f"with {POSTINGS} select term, id, tf_meta, tf_body from p",
+        "doc_frequencies": f"with {POSTINGS} select term, count(*) as df from p group by term",
+        "doc_lengths": f"with {POSTINGS} select id, sum(tf_meta + tf_body) as length from p group by id",
+        "manifest_diff": f"with {FILES}, o as (select distinct concat_ws('/', repo_id, path) path, file_hash h from chunks), n as (select concat_ws('/', repo_id, path) path, file_hash h from files) select coalesce(n.path, o.path) as path, case when o.path is null then 'new' when n.path is null then 'removed' when o.h is not distinct from n.h then 'unchanged' else 'changed' end as status, o.h as old_hash, n.h as new_hash from o full join n on o.path = n.path",
+        "index_report": f"with {FILES}, o as (select distinct concat_ws('/', repo_id, path) path, file_hash h from chunks), n as (select concat_ws('/', repo_id, path) path, file_hash h from files), d as (select case when o.path is null then 'new' when n.path is null then 'removed' when o.h is not distinct from n.h then 'unchanged' else 'changed' end s from o full join n on o.path = n.path) select count(*) as files, count(*) filter (s = 'new') as new, count(*) filter (s = 'changed') as changed, count(*) filter (s = 'unchanged') as unchanged, count(*) filter (s = 'removed') as removed from d",
+        "stale_chunks": f"with {FILES}, {windows}, o as (select distinct concat_ws('/', repo_id, path) path, id from chunks), nw as (select concat_ws('/', repo_id, path) path, sha1(concat_ws('|', repo_id, path, start_line::varchar, end_line::varchar, sha1(wt))) id from wins) select path, id from o where not exists (select 1 from nw where nw.path = o.path and nw.id = o.id)",
+        "bm25_topk": f"with {BM25} select query_id, id, score, rank from hits",
+        "hydrated": f"with {BM25} select query_id, rank, id, path, kind, start_line from hits join c using (id)",
+        "path_penalty": f"""with {BM25}, x as (select query_id, id, round(score - abs(score) * (1.0 - case when not {mentions(TEST_WORDS)} and regexp_matches(path, '{TEST_PATH}') then 0.5 else 1.0 end), 9) score, rank r from hits join c using (id) join q using (query_id))
+ select query_id, id, score, row_number() over (partition by query_id order by score desc, r) as rank from x""",
+        "rerank_head_tail": f"""with {BM25}, k as (select query_id, {_question_tokens('question')} t from q), h as (select query_id, id, score, rank r, count(*) over (partition by query_id) z, list_distinct(t) w, list_distinct(list_transform({_words('text')}, lambda x: lower(x))) hv from hits join c using (id) join k using (query_id)),
+ f as (select *, round(len(list_intersect(w, hv)) / greatest(1, len(w)), 6) fresh from h), g as (select *, min(case when r <= 10 and z >= 2 then fresh end) over (partition by query_id) fl from f),
+ y as (select query_id, id, r, (r <= 10 and z >= 2) ins, case when z < 2 then score when r <= 10 then fresh else round(fl - (r - 10) * 1e-6, 9) end score from g)
+ select query_id, id, score, row_number() over (partition by query_id order by case when ins then 0 else 1 end, score desc, r) as rank from y""",
+        "ranked_files": f"with {BM25}, x as (select query_id, concat_ws('/', repo_id, path) path, min(rank) chunk_rank from hits join c using (id) group by 1, 2) select query_id, path, chunk_rank, row_number() over (partition by query_id order by chunk_rank, path) as rank from x",
+        "vec_topk": f"with {VECTORS}, {_cosine(10)} select query_id, id, score, rank from nn",
+        "vec_topk_filtered": f"with {VECTORS}, {_cosine(10, 'b.label < 5')} select query_id, id, score, rank from nn",
+        "rrf_fused": f"""with {VECTORS}, {_cosine(20)}, ll as (select a.vec_id query_id, b.vec_id id, row_number() over (partition by a.vec_id order by abs(b.vec_id - a.vec_id), b.vec_id) as rank from v a join v b on a.label = b.label where a.vec_id % 20 = 0 qualify rank <= 20),
+ u as (select query_id, id, rank, 1.0 w from nn union all select query_id, id, rank, 0.5 w from ll), g as (select query_id, id, round(sum(w / (60 + rank)), 9) score, min(rank) best from u group by 1, 2) select query_id, id, score, best, row_number() over (partition by query_id order by score desc, best, id) as rank from g""",
+        "greedy_select": f"""with recursive {BM25}, r0 as materialized (select query_id, id, concat_ws('/', repo_id, path) path, rank, greatest(1, ceil(length(text) / 4))::bigint tokens from hits join c using (id)),
+ it as materialized (select *, row_number() over (partition by query_id order by turn, rank) i from (select 1 turn, * from r0 union all select 2 turn, * from r0)),
+ st as (select query_id, 0::bigint i, []::varchar[] ids, []::varchar[] ps, []::bigint[] rk, []::bigint[] tk, 0::bigint used from (select distinct query_id from r0)
+  union all select s.query_id, it.i, case when k then list_append(s.ids, it.id) else s.ids end, case when k then list_append(s.ps, it.path) else s.ps end, case when k then list_append(s.rk, it.rank) else s.rk end, case when k then list_append(s.tk, it.tokens) else s.tk end, case when k then s.used + it.tokens else s.used end
+  from st s join it on it.query_id = s.query_id and it.i = s.i + 1, lateral (select len(s.ids) < 8 and not list_contains(s.ids, it.id) and len(list_filter(s.ps, lambda p: p = it.path)) < 2 and (it.turn = 2 or len(list_filter(s.ps, lambda p: p = it.path)) = 0) and (len(s.ids) = 0 or s.used + it.tokens <= 2000) k) z),
+ fin as (select * from st qualify row_number() over (partition by query_id order by i desc) = 1)
+ select query_id, unnest(ids) as id, unnest(ps) as path, unnest(rk) as rank, unnest(tk) as tokens, unnest(range(1, len(ids) + 1)) as position from fin""",
+        "merged_spans": f"""with {CHUNKS}, s as (select repo_id, path, kind, symbol, id, start_line, coalesce(end_line, start_line) end_line from c),
+ o as (select *, case when start_line > max(end_line) over (partition by repo_id, path order by start_line, end_line, id rows between unbounded preceding and 1 preceding) + 1 or row_number() over (partition by repo_id, path order by start_line, end_line, id) = 1 then 1 else 0 end op from s),
+ g as (select *, sum(op) over (partition by repo_id, path order by start_line, end_line, id rows unbounded preceding) isl from o),
+ m as (select repo_id, path, isl, min(start_line) start_line, max(end_line) end_line, list(symbol order by start_line, end_line, id) filter (symbol is not null and symbol <> '') sy, list(kind order by start_line, end_line, id) kd, bool_and(kind = 'class') cx, count(*) n from g group by 1, 2, 3)
+ select repo_id, path, start_line, end_line, coalesce(array_to_string({_distinct_in_order('sy')}, ','), '') as symbols, array_to_string({_distinct_in_order('kd')}, ',') as kinds, start_line as rank, case when cx then 'context' else 'match' end as role, n as chunks from m""",
+        "context_prefix": f"with {BM25}, x as (select query_id, id, row_number() over w as position, sum(greatest(1, ceil(length(text) / 4))) over (partition by query_id order by rank rows unbounded preceding) run from hits join c using (id) window w as (partition by query_id order by rank)) select query_id, id, position from x where position = 1 or run <= 1500",
+        "context_budgets": "select window_name, max_tokens, greatest(1000, least(12000, floor((capacity_tokens - least(max_tokens, 1000) - 1500) / 1.4)))::bigint as budget from context_windows, (values (400), (2000)) t(max_tokens)",
+        "gold_ranks": f"with {LABEL_RANKS} select query_id, rank, type from gr",
+        "ranking_report": f"with {LABEL_RANKS} select coalesce(type, '(all)') as type, count(*) as questions, {', '.join(f'round(avg(case when rank <= {k} then 1.0 else 0.0 end), 6) as hit_{k}' for k in (1, 3, 5, 10))}, round(avg(case when rank <= 10 then 1.0 / rank else 0.0 end), 6) as mrr from gr group by rollup (type)",
+        "misses": f"with {LABEL_RANKS} select query_id, rank, type from gr where rank is null or rank > 1",
+        "paired_rankings": f"""with {LABEL_RANKS}, {_cosine(11, 'b.label % 2 = 0', 'ev')}, fr as (select query_id, min(rank) r2 from ev join v o on o.vec_id = ev.id join v s on s.vec_id = ev.query_id where query_id <> id and o.label = s.label group by 1)
+ select query_id, round(case when rank <= 10 then 1.0 / rank else 0.0 end, 6) as a, round(case when r2 <= 10 then 1.0 / r2 else 0.0 end, 6) as b, 'all-even' as pair from gr left join fr using (query_id)""",
+        "paired_counts": f"""with {LABEL_RANKS}, {_cosine(11, 'b.label % 2 = 0', 'ev')}, fr as (select query_id, min(rank) r2 from ev join v o on o.vec_id = ev.id join v s on s.vec_id = ev.query_id where query_id <> id and o.label = s.label group by 1),
+ x as (select round(case when rank <= 10 then 1.0 / rank else 0.0 end, 6) - round(case when r2 <= 10 then 1.0 / r2 else 0.0 end, 6) d from gr left join fr using (query_id)),
+ y as (select count(*) n, round(avg(d), 6) mean_diff, count(*) filter (d > 0) better, count(*) filter (d < 0) worse, count(*) filter (d = 0) tied from x) select 'all-even' as pair, n, mean_diff, better, worse, tied, round({SIGN_P.format(b='better', w='worse')}, 6) as sign_p from y""",
+        "answer_summary": f"with {ANSWERS}, b as (select * replace (coalesce(question_type, '(none)') as question_type) from a) select coalesce(question_type, '(all)') as question_type, {summary} from b group by rollup (question_type)",
+        "area_coverage": f"with {TEST_DIRS}, sh as (select distinct repo_id, path from chunks), cv as (select repo_id, directory, exists (select 1 from sh where sh.repo_id = td1.repo_id and starts_with(sh.path, directory || '/')) h from td1) select repo_id as query_id, round(avg(h::int), 6) as coverage from cv group by repo_id",
+        "judge_agreement": f"with {PAIRS}, s as (select judge, list_position(['unsupported', 'partially_supported', 'supported'], ml) x, list_position(['unsupported', 'partially_supported', 'supported'], pl) y from pr) select judge, count(*) as compared, count(*) filter (x = y) as matching, count(*) filter (abs(x - y) <= 1) as within_one_step from s group by judge",
+        "judge_kappa": f"""with {PAIRS}, t as (select judge, count(*) n, count(*) filter (ml = pl) s from pr group by judge), m1 as (select judge, ml l, count(*) x from pr group by 1, 2), m2 as (select judge, pl l, count(*) y from pr group by 1, 2), e as (select judge, sum(x * y) xy from m1 join m2 using (judge, l) group by judge)
+ select judge, n, round(s / n, 6) as observed, round(coalesce(xy, 0) / (n * n), 6) as expected, round(case when coalesce(xy, 0) / (n * n) < 1 then (s / n - coalesce(xy, 0) / (n * n)) / (1 - coalesce(xy, 0) / (n * n)) end, 6) as kappa from t left join e using (judge)""",
+        "claim_alpha": f"""with {CLAIMS}, u as (select answer, claim, label, count(*) c from lab group by all), z as (select answer, claim, sum(c) m, sum(c * (c - 1)) s from u group by 1, 2 having sum(c) >= 2), t as (select label, sum(c) t from u join z using (answer, claim) group by label),
+ tt as (select sum(t) n, sum(t * t) sq from t), g as (select count(*) units, sum(s / (m - 1)) dg from z) select units, n as "values", round(case when n * n - sq > 0 then 1 - (n - 1) * (n - dg) / (n * n - sq) end, 6) as alpha from g, tt""",
+        "judge_alpha": f"""with {VERDICTS}, u as (select role, answer, label, count(*) c from ver group by all), z as (select role, answer, sum(c) m, sum(c * (c - 1)) s from u group by 1, 2 having sum(c) >= 2), t as (select role, label, sum(c) t from u join z using (role, answer) group by 1, 2),
+ tt as (select role, sum(t) n, sum(t * t) sq from t group by role), g as (select role, count(*) units, sum(s / (m - 1)) dg from z group by role) select role, units, n as "values", round(case when n * n - sq > 0 then 1 - (n - 1) * (n - dg) / (n * n - sq) end, 6) as alpha from g join tt using (role)""",
+        "reported_agreement": "select judge, count(*) as runs, sum(compared) as compared, sum(matching) as matching, round(sum(matching) / sum(case when matching is not null then compared end), 6) as rate, count(*) filter (matching > compared) as impossible from (select distinct * from agreements) where compared > 0 group by judge",
+        "condition_summary": f"with {STUDY} select prompt, context, count(*) as answers, round(avg(grounded::int), 6) as mean_grounded, round(avg(failed::int), 6) as mean_failed, round(avg(citation_precision), 6) as mean_citation_precision, round(avg(gold_cited::int), 6) as mean_gold_cited from st group by 1, 2",
+        "paired_conditions": f"with {GROUNDED} select kind, id, P0, P1 from gp",
+        "prompt_gain": f"with {GROUNDED}, y as (select kind, count(*) n, round(avg(P0), 6) mean_first, round(avg(P1), 6) mean_second, count(*) filter (P0 = 0 and P1 = 1) gained, count(*) filter (P0 = 1 and P1 = 0) lost from gp group by kind) select *, round({SIGN_P.format(b='gained', w='lost')}, 6) as p from y",
+        "prompt_gain_holm": f"""with {GROUNDED}, y as (select kind, count(*) filter (P0 = 0 and P1 = 1) g, count(*) filter (P0 = 1 and P1 = 0) l from gp group by kind), z as (select kind as name, round({SIGN_P.format(b='g', w='l')}, 6) p from y),
+ h as (select *, least(1.0, (count(*) over () - row_number() over (order by p, name) + 1) * p) s from z) select name, p, round(max(s) over (order by p, name rows unbounded preceding), 6) as p_holm from h""",
+        "complete_cases": f"with {STUDY} select model, count(*) as answers from st s where not exists (select 1 from st f where f.failed and f.model = s.model and f.repo = s.repo and f.id = s.id) group by model",
+        "error_sources": f"with {STUDY} select prompt, case when gold_cited is null then 'unanswerable' when gold_cited then 'gold' else 'other' end as cited, count(*) as answers, sum(coalesce(grounded, false)::int) as grounded, sum((coalesce(unverified_locations, 0) > 0)::int) as unverified from st where not failed group by 1, 2",
+        "claim_fold": f"with {CLAIMS} select answer, claim, case when max(case label when 'contradicted' then 2 when 'unsupported' then 1 when 'supported' then 0 end) is null then 'not a claim' else ['supported', 'unsupported', 'contradicted'][max(case label when 'contradicted' then 2 when 'unsupported' then 1 when 'supported' then 0 end) + 1] end as label from lab group by 1, 2",
+        "faithful_answers": f"with {CLAIMS}, f as (select answer, claim, max(case label when 'contradicted' then 2 when 'unsupported' then 1 when 'supported' then 0 end) w from lab group by 1, 2) select answer, count(*) as claims, bool_and(w = 0) as faithful from f where w is not null group by answer",
+        "grader_kappa": f"""with {CLAIMS}, pr as (select a.grader as first, b.grader as second, a.label x, b.label y from lab a join lab b using (answer, claim) where a.grader < b.grader), t as (select first, second, count(*) n, count(*) filter (x = y) s from pr group by 1, 2),
+ m1 as (select first, second, x l, count(*) cx from pr group by 1, 2, 3), m2 as (select first, second, y l, count(*) cy from pr group by 1, 2, 3), e as (select first, second, sum(cx * cy) xy from m1 join m2 using (first, second, l) group by 1, 2)
+ select first, second, n, round(s / n, 6) as observed, round(coalesce(xy, 0) / (n * n), 6) as expected, round(case when coalesce(xy, 0) / (n * n) < 1 then (s / n - coalesce(xy, 0) / (n * n)) / (1 - coalesce(xy, 0) / (n * n)) end, 6) as kappa from t left join e using (first, second)""",
+        "judge_subsets": f"with {PAIRS}, s as (select 'all' as subset, * from pr union all select 'not_supported', * from pr where pl <> 'supported' union all select 'extreme', * from pr where pl <> 'partially_supported') select subset, judge, count(*) as pairs, round(avg((ml = pl)::int), 6) as accuracy from s group by 1, 2",
+        "experiment_jobs": "select g.grader as model, m.source as repo, x.prompt, x.context from (values ('P0', 'live', null), ('P1', 'frozen', ['judge-m00', 'judge-m01'])) x(prompt, context, models), graders g, mix_targets m where g.role = 'model' and (x.models is null or list_contains(x.models, g.grader))",
+        "determinism": f"with {STUDY}, p as (select repo, prompt, id, count(*) runs, count(distinct answer) texts from st where answer is not null group by 1, 2, 3) select repo, prompt, count(*) as repeated, count(*) filter (texts = 1) as identical from p where runs > 1 group by 1, 2",
+        "review_sample": f"with {ANSWERS}, {VERDICTS} select result_id, code from a where code in (select answer from ver) order by md5('0|' || result_id), result_id limit 50",
+        "resume_run": f"with {ANSWERS} select distinct id from a where error is not null and id not in (select id from a where error is null)",
+        "failed_answers": f"with {ANSWERS} select id, count(*) as runs, count(error) as failed from a group by id having count(error) > 0",
+        "citation_counts": f"""with {ANSWERS}, x as (select result_id, cited, list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(answer, '(?s)```.*?```', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), ' \\[([0-9]+)\\]', 1), lambda v: v::int)) f from a where answer is not null)
+ select result_id, len(f) as found, len(coalesce(cited, [])) as reported, len(list_filter([1, 2, 3, 4, 5, 6], lambda n: not list_contains(f, n))) as uncited_of_6 from x""",
+        "answer_warnings": f"""with {ANSWERS} select result_id, case when coalesce(no_context, false) then 'No relevant code was found, so nothing was answered.' else concat_ws(' ', case when coalesce(refused, false) then 'The model declined to answer.' when not coalesce(grounded, false) then 'The answer cites no retrieved code.' end, case when coalesce(truncated, false) then 'The answer was cut off.' end) end as notes from a""",
+        "claims_by_rule": "select case when coalesce(length(trim(cites)), 0) = 0 then 'rule' else 'model' end as by, count(*) as claims from (select * from claims qualify row_number() over (partition by label_id) = 1) group by 1",
+        "text_forms": f"""with {ANSWERS}, x as (select *, trim(regexp_replace(answer, '\\s+', ' ', 'g')) fl from a where answer is not null) select result_id, case when length(fl) > 80 then rtrim(substr(fl, 1, 79)) || '…' else fl end as clipped, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(answer, '`+'), lambda r: length(r))), 0) + 1)) as fence,
+ case when substr(answer, 1, 1) in ('=', '+', '-', '@') then '''' || answer else answer end as cell, len({_words('answer')}) as words from x""",
+        "last_turns": f"with {ANSWERS} select results_file as conv_id, result_id as turn, question from a where answer is not null qualify row_number() over (partition by results_file order by result_id desc) <= 3",
+        "hashed_questions": f"""with d as (select distinct question from answer_results where question is not null), t as (select question, unnest(flatten(list_transform({_words('question')}, lambda w: {_tokens('w')}))) k from d),
+ h as (select question, ('0x' || substr(md5(k), 31, 2))::int % 64 axis, count(*)::double n from t group by 1, 2), z as (select question, sqrt(sum(n * n)) l from h group by 1), e as (select question, 0 axis, 1.0 n, 1.0 l from d where question not in (select question from h))
+ select question, axis, round(n / l, 6) as "value" from h join z using (question) union all select question, axis, 1.0 from e""",
+        "map_directories": f"with {DIRS}, li as (select * from dr where not (direct_files = 0 and children = 1)) select l.repo_id, l.directory, l.depth, l.files, l.direct_files, l.children, (select count(*) from li o where o.repo_id = l.repo_id and (o.directory = l.directory or starts_with(l.directory, o.directory || '/'))) as shown_depth from li l",
+        "directory_languages": """with f as (select distinct repo_id, path, language from source_files where language is not null), ab as (select repo_id, path, language, unnest(list_transform(range(1, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[1:n], '/'))) directory from f),
+ n as (select repo_id, directory, language, count(*) n, min(path) p from ab group by 1, 2, 3), r as (select *, row_number() over (partition by repo_id, directory order by n desc, p, language) k from n) select repo_id, directory, string_agg(language, ', ' order by k) as languages from r where k <= 2 group by 1, 2""",
+        "directory_symbols": f"""with {CHUNKS}, s as (select repo_id, regexp_extract(path, '^(.*)/', 1) directory, symbol, case kind when 'class' then 0 when 'type' then 1 when 'function' then 2 end k, -(coalesce(end_line, start_line) - start_line) z from c
+ where symbol is not null and symbol <> '' and not contains(symbol, '.') and not starts_with(symbol, '_') and not regexp_matches(path, '{TEST_PATH}') and kind in ('class', 'type', 'function') and contains(path, '/')),
+ o as (select * from s qualify row_number() over (partition by repo_id, directory, symbol order by k, z) = 1), r as (select *, row_number() over (partition by repo_id, directory order by k, z, symbol) n from o) select repo_id, directory, string_agg(symbol, ', ' order by n) as symbols from r where n <= 4 group by 1, 2""",
+        "test_directories": f"with {TEST_DIRS} select repo_id, directory, files from td1",
+        "event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as events, round(sum(\"value\"), 2) as \"value\" from events group by 1, 2",
+        "event_examples": "with r as (select *, row_number() over (partition by event_type order by event_id) k from events) select event_type, count(*) as n, string_agg(event_id::varchar, ',' order by event_id) filter (k <= 5) as examples from r group by 1",
+        "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+        "orders_with_returns": "select o_orderpriority, count(*) as orders, round(sum(o_totalprice), 2) as total from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R') group by 1",
+        "revenue_by_nation": "select n_name, year(l_shipdate) as year, sum(floor(l_extendedprice * (1 - l_discount) * 100)::bigint)::bigint as revenue_cents, count(*) as lines from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",
+    }

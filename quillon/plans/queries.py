@@ -421,8 +421,8 @@ def condition_summary(spark, d):
 
 
 def _grounded_pairs(spark, d) -> DataFrame:
-    rows = study_rows(spark, d).withColumn("outcome", F.coalesce("grounded", F.lit(False)).cast("int"))
-    return study.paired(rows, ["repo", "id"], "prompt", "P0", "P1", "outcome", "result_id")
+    rows = study_rows(spark, d).withColumns({"outcome": F.coalesce("grounded", F.lit(False)).cast("int"), "kind": F.coalesce("question_type", F.lit("(none)"))})
+    return study.paired(rows, ["kind", "id"], "prompt", "P0", "P1", "outcome", "result_id")
 
 
 def paired_conditions(spark, d):
@@ -430,17 +430,17 @@ def paired_conditions(spark, d):
 
 
 def prompt_gain(spark, d):
-    return study.discordant(_grounded_pairs(spark, d), "P0", "P1", ["repo"])
+    return study.discordant(_grounded_pairs(spark, d), "P0", "P1", ["kind"])
 
 
 def prompt_gain_holm(spark, d):
-    rows = prompt_gain(spark, d).select(F.col("repo").alias("name"), "p")
+    rows = prompt_gain(spark, d).select(F.col("kind").alias("name"), "p")
     return statistics.holm(rows).select("name", "p", F.round("p_holm", 6).alias("p_holm"))
 
 
 def prompt_bootstrap(spark, d):
-    rows = _grounded_pairs(spark, d).select(F.lit("P1-P0").alias("comparison"), "repo", (F.col("P1") - F.col("P0")).cast("double").alias("gain"))
-    return statistics.cluster_bootstrap(rows, "gain", "repo", "comparison", resamples=2_000)
+    rows = _grounded_pairs(spark, d).select(F.lit("P1-P0").alias("comparison"), "kind", (F.col("P1") - F.col("P0")).cast("double").alias("gain"))
+    return statistics.cluster_bootstrap(rows, "gain", "kind", "comparison", resamples=2_000)
 
 
 def complete_cases(spark, d):
@@ -620,11 +620,11 @@ def orders_with_returns(spark, d):
 
 def revenue_by_nation(spark, d):
     """Revenue of shipped lines by nation of the customer and year."""
-    line = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.year("l_shipdate").alias("year"))
+    line = table(spark, d, "lineitem").select("l_orderkey", F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).alias("cents"), F.year("l_shipdate").alias("year"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     buyers = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy("n_name", "year").agg(F.round(F.sum("revenue"), 2).alias("revenue"), F.count("*").alias("lines"))
+    return rows.groupBy("n_name", "year").agg(F.sum("cents").alias("revenue_cents"), F.count("*").alias("lines"))
 
 
 _HELPERS = {"files", "chunks", "answers", "questions", "claim_labels", "verdicts", "study_rows", "keyword_index", "table", "stored", "claim_rows", "citation_report", "windowed_counts", "hashed_vector", "query_tokens", "words", "overview_intent", "warnings"}
