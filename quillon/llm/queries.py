@@ -120,4 +120,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can say over whole tables; the other operators are tested against brute force and exact round trips."""
+
+    def agreement(target: str, source: str, keys: str, who: str, label: str, at: str, row: str, classes: tuple[str, ...], joint: str) -> str:
+        names = ", ".join(f"'{c.replace('_', ' ')}'" for c in classes)
+        return f"""select '{target}' as target, items, n as pairable_votes, round(ob, 6) as observed, round(ex, 6) as expected, round(case when ex < 1 then 1 - (1 - ob) / (1 - ex) end, 6) as alpha from (
+ with r as (select {keys}, {who} as w, regexp_replace(regexp_replace(lower({label}), '^\\s+|\\s+$', '', 'g'), '[\\s_\\-./]+', ' ', 'g') as l, {at} as t, {row} as i from {source}),
+ v as (select {keys}, w, l from r where l in ({names}) and {joint} and w is not null qualify row_number() over (partition by {keys}, w order by t desc nulls last, i desc, l desc) = 1),
+ p as (select {keys}, l, count(*) c from v group by all), z as (select {keys}, sum(c) m, sum(c * (c - 1)) s from p group by {keys} having sum(c) >= 2),
+ k as (select l, sum(c) n from p join z using ({keys}) group by l), e as (select sum(n) n, sum(n * (n - 1)) al from k), o as (select count(*) items, sum(m) tm, sum(s / (m - 1)) sm from z)
+ select items, tm n, sm / tm ob, al / (n * (n - 1)) ex from o, e)"""
+
+    return {
+        "p1_found": """with w as (select distinct id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) k from chunks), n as (select id, count(*) n from w group by id having count(*) >= 25), b as (select w.id, k from w join n using (id)),
+ i as (select a.id id_a, b.id id_b, count(*) s from b a join b using (k) where a.id < b.id group by 1, 2) select id_a, id_b from i join n x on x.id = id_a join n y on y.id = id_b where 5 * s >= 4 * (x.n + y.n - s)""",
+        "p2_agreement": agreement("claim", "claims", "answer, claim", "grader", "support", "graded_at", "label_id", CLAIM_CLASSES, "answer is not null and claim is not null")
+        + " union all "
+        + agreement("answer", "judgements", "answer", "judge", "verdict", "judged_at", "judgement_id", ANSWER_CLASSES, "answer is not null"),
+        "p5_found": "select distinct id from chunks where length(text) > 6000 or length(text) - length(replace(text, chr(10), '')) + 1 > 120",
+    }
