@@ -125,7 +125,7 @@ def judge_by_rule(claims: DataFrame) -> DataFrame:
 
 def symbol_in_sources(symbols: Column, texts: Column) -> Column:
     """Whether any symbol's last part stands alone in any text; null without symbols."""
-    hit = F.exists(symbols, lambda s: F.exists(texts, lambda t: t.rlike(whole_word(symbol_leaf(s)))))
+    hit = F.exists(symbols, lambda s: F.exists(texts, lambda t: F.rlike(t, whole_word(symbol_leaf(s)))))
     return F.when(F.size(symbols) > 0, hit)
 
 

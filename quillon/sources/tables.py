@@ -76,4 +76,4 @@ class VersionedTables:
         old = self.read(name).join(rows.select(key).distinct(), key, "left_anti")
         if gone is not None:
             old = old.join(gone.select(key).distinct(), key, "left_anti")
-        return old.unionByName(rows)
+        return old.select(rows.columns).unionByName(rows)

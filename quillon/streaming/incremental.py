@@ -32,7 +32,7 @@ def apply_batch(tables: VersionedTables, files: DataFrame) -> dict[str, int]:
     gone = diff.where("status in ('changed', 'removed')").select("path")
     manifest = manifest_of(todo, chunks)
     if built:
-        tables.commit({"chunks": tables.read("chunks").join(gone, "path", "left_anti").unionByName(chunks), "manifest": known.join(gone, "path", "left_anti").unionByName(manifest)})
+        tables.commit({"chunks": tables.read("chunks").join(gone, "path", "left_anti").select(chunks.columns).unionByName(chunks), "manifest": known.join(gone, "path", "left_anti").select(manifest.columns).unionByName(manifest)})
     else:
         tables.commit({"chunks": chunks, "manifest": manifest})
     return {r["status"]: r["n"] for r in diff.groupBy("status").agg(F.count("*").alias("n")).collect()}
