@@ -69,7 +69,8 @@ def prose(text: str) -> list[tuple[int, int, str]]:
         for m in _SENTENCE.finditer(hidden):
             words = m[0]
             if words.rstrip(" )]\"'”’»\n\t")[-1:] in {".", "!", "?", "…"} and sum(c.isalpha() for c in words) >= 12:
-                out.append((first + m.start(), first + m.end(), words))
+                lead = len(words) - len(words.lstrip())
+                out.append((first + m.start() + lead, first + m.end(), words))
         paragraph.clear()
 
     for line in blank.split("\n"):

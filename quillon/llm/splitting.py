@@ -87,7 +87,7 @@ def split(text: str, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES, ove
     """Pieces of at most ``max_chars`` code points and ``max_lines`` lines that cover the text; one piece if it is within both.
 
     A piece starts ``overlap_lines`` lines before the end of the one before, fewer where those lines would fill more than a
-    quarter of a piece; after a cut inside a line the overlap is an eighth of ``max_chars``.
+    quarter of a piece or leave no room for the line after; after a cut inside a line the overlap is an eighth of ``max_chars``.
     """
     lines = text.split("\n")
     if len(lines) <= max_lines and len(text) <= max_chars:
@@ -114,12 +114,13 @@ def split(text: str, max_chars: int = MAX_CHARS, max_lines: int = MAX_LINES, ove
         full = at[last + 1] - start
         least = line + 1
         floor = pieces[-1].end if pieces else 0
-        while least < last + 1 and (at[least] - start < FILL * full or at[least] <= floor):
+        while least < last + 1 and (at[least] - start < FILL * full or at[least] <= floor + 1):
             least += 1
         cut = max(range(least, last + 2), key=lambda i: (depth[i], i))  # the piece ends before line ``cut``
         pieces.append(Piece(start, at[cut] - 1, line, cut - 1, True))
         back = cut
-        while cut - back < overlap_lines and back - 1 > line and at[cut] - at[back - 1] <= max_chars // 4:
+        # an overlap leaves room for the next line at least, so that every piece goes further than the one before
+        while cut - back < overlap_lines and back - 1 > line and at[cut] - at[back - 1] <= max_chars // 4 and at[cut + 1] - 1 - at[back - 1] <= max_chars:
             back -= 1
         start, line = at[back], back
 
