@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import stored
 
-GRAM, WINDOW, LEAST_REPOS, LEAST_SHARE, LEAST_PRINTS = 6, 8, 3, 0.9, 6
+GRAM, WINDOW, LEAST_REPOS, LEAST_SHARE, LEAST_PRINTS = 6, 8, 3, 0.95, 12
 
 CODE = {"py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "css", "scss", "less", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "rs", "kt", "swift", "scala", "sh", "bash", "lua", "pl", "sql", "m", "vue"}
 LOCK_NAMES = {"package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "go.sum", "go.work.sum", "poetry.lock", "cargo.lock", "composer.lock", "gemfile.lock", "pipfile.lock", "uv.lock", "pdm.lock", "bun.lockb", "mix.lock", "pubspec.lock", "podfile.lock", "packages.lock.json", "flake.lock", "gradle.lockfile"}
@@ -67,11 +67,9 @@ def file_reason(path: str | None, text: str | None) -> str | None:
     if ext in CODE:
         if re.search(r"\.min\.(?:js|mjs|css)$", name) and (text.count("\n") < 30 or len(text) / (text.count("\n") + 1) > 120):
             return "minified"
-        lines = text.split("\n")
-        if max(map(len, lines)) > 300:
-            plain = LITERAL.sub('""', text).split("\n")
-            long = [x for x in plain if len(x) > 300]
-            if sum(map(len, long)) > 0.5 * sum(map(len, plain)) and any(_dense(x) for x in long):
+        if max(map(len, text.split("\n"))) > 150:
+            plain = [x for x in LITERAL.sub('""', text).split("\n") if x.strip()]
+            if sum(map(len, plain)) > 80 * len(plain) and _dense("".join(plain)):
                 return "minified"
         if len(text) > 400:
             names = NAME.findall(ATOM.sub(" ", text))
@@ -101,7 +99,7 @@ def repetitive(text: str, least_lines: int = 12, shapes: int = 3, share: float =
 def _dense(line: str) -> bool:
     """Code without the blanks people write."""
     marks = sum(line.count(c) for c in "{};=()[],:")
-    return marks > 0.06 * len(line) and line.count(" ") < 0.12 * len(line)
+    return marks > 0.1 * len(line) and line.count(" ") < 0.1 * len(line)
 
 
 def says_vendored(path: str | None, text: str | None) -> bool:
