@@ -39,7 +39,7 @@ GENERATED = re.compile(
 ABOUT = re.compile(r"(?i)(['\"`‘“«])[^'\"`’”»]*(?:do not edit|generated)[^'\"`’”»]*['\"`’”»]|\bedited by hand\b|^\W*(?:writes?|emits?|checks?|creates?|produces?|reads?|parses?|tests?|removes?|adds?|prints?|returns?|inserts?|detects?|skips?|lists?|finds?)\b|\bnot (?:auto-?)?generated\b")
 TAIL_NOTICE = re.compile(r"(?i)\bend of [\w\-]+ output\b|\bend of generated\b|\bsource checksum [0-9a-f]{16,}")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|%|'|\"\"\"|REM\b|@)")
-LITERAL = re.compile(r"\"[^\"\n]{80,}\"|'[^'\n]{80,}'|`[^`\n]{80,}`")
+LITERAL = re.compile(r"([\"'`])[A-Za-z0-9+/=_\-.:;,%]{80,}\1")  # an embedded image or the like, no code between two quotes
 ATOM = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b0[xX][0-9a-fA-F]+\b|[-+]?\b\d[\d_.]*(?:[eE][-+]?\d+)?\b")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
