@@ -134,3 +134,11 @@ def is_relevant(role: Column, path: Column, text: Column, kind: Column, files: C
     inside = F.exists(dirs, lambda d: path.startswith(F.concat(F.regexp_replace(d, "^/+|/+$", ""), F.lit("/"))))
     named = F.coalesce(symbol_in_sources(symbols, F.array(text)), F.lit(False))
     return F.when(role == "map", (kind == "overview") | (F.size(dirs) > 0)).otherwise(F.array_contains(files, path) | inside | named)
+
+
+def turn_pairs(messages: DataFrame) -> DataFrame:
+    """``(conv_id, turn, question, answer)`` of a transcript ``(conv_id, turn, role, text)``: each user turn with the reply right after it."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    next_role, next_text = F.lead("role").over(order), F.lead("text").over(order)
+    rows = messages.where("role in ('user', 'assistant')").withColumns({"answer": F.when(next_role == "assistant", next_text)})
+    return rows.where("role = 'user' and answer is not null").select("conv_id", "turn", F.col("text").alias("question"), "answer")

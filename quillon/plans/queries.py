@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from quillon.functions import paths, text
 from quillon.functions.citations import citation_report, warnings
 from quillon.functions.claims import claim_rows
-from quillon.functions.embedding import hashed_vector
+from quillon.functions.embedding import HashEmbedder, embed, hashed_vector
 from quillon.functions.identifiers import query_tokens, words
 from quillon.functions.intents import overview_intent
-from quillon.operators import answering, chunking, indexing, metrics, repo_map, search, selection, statistics, study, walking
+from quillon.operators import answering, chunking, evaluation, indexing, metrics, repo_map, search, selection, statistics, study, walking
 from quillon.session import stored, table
 from quillon.sources import records
 from quillon.streaming.incremental import windowed_counts
@@ -372,6 +372,28 @@ def paired_bootstrap(spark, d):
     return statistics.paired_bootstrap(paired_rankings(spark, d), "a", "b", "pair", "query_id", resamples=2_000)
 
 
+def _grid_results(spark, d) -> DataFrame:
+    """All configurations on the questions that name an identifier; gold are the files that hold it."""
+    asked = questions(spark, d).withColumn("name", F.lower(F.regexp_extract("question", "`([^`/]+)`", 1))).where("name <> ''")
+    index = keyword_index(spark, d)
+    c = stored(chunks(spark, d, "repo_id", "path", "symbol", "kind", "text").withColumn("path", F.concat_ws("/", "repo_id", "path")))
+    gold = index.postings.join(asked.select("query_id", F.col("name").alias("term")), "term").join(c.select("id", "path"), "id").select("query_id", "path").distinct()
+    asked = stored(asked.join(gold.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "question"))
+    embedder = HashEmbedder(256)
+    vectors = embed(c.withColumn("t", text.embed_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("text"))), embedder, ["id"], "t")
+    keyword = stored(search.bm25(index, asked, 30))
+    vector = stored(search.cosine(vectors, embed(asked, embedder, ["query_id"], "question"), 30, id_col="id"))
+    return stored(evaluation.evaluate(evaluation.ablation_grid(), keyword, vector, c, asked, gold))
+
+
+def ablation_grid(spark, d):
+    return evaluation.grid_report(_grid_results(spark, d))
+
+
+def ablation_pairs(spark, d):
+    return evaluation.compare(_grid_results(spark, d), [("hybrid", "vector"), ("keyword", "vector"), ("vector + demote tests", "vector")], resamples=1_000)
+
+
 def answer_summary(spark, d):
     rows = answers(spark, d).withColumn("question_type", F.coalesce("question_type", F.lit("(none)")))
     out = rows.rollup("question_type").agg(F.grouping("question_type").alias("g"), *metrics.answer_summary())
@@ -627,7 +649,7 @@ def revenue_by_nation(spark, d):
     return rows.groupBy("n_name", "year").agg(F.sum("cents").alias("revenue_cents"), F.count("*").alias("lines"))
 
 
-_HELPERS = {"files", "chunks", "answers", "questions", "claim_labels", "verdicts", "study_rows", "keyword_index", "table", "stored", "claim_rows", "citation_report", "windowed_counts", "hashed_vector", "query_tokens", "words", "overview_intent", "warnings"}
+_HELPERS = {"files", "chunks", "answers", "questions", "claim_labels", "verdicts", "study_rows", "keyword_index", "table", "stored", "claim_rows", "citation_report", "windowed_counts", "hashed_vector", "embed", "query_tokens", "words", "overview_intent", "warnings"}
 
 
 def queries() -> dict[str, Query]:
