@@ -37,7 +37,9 @@ def bm25(index: KeywordIndex, queries: DataFrame, k: int = 30) -> DataFrame:
     """
     terms = queries.select("query_id", F.explode(query_tokens(F.col("question"))).alias("term"))
     totals = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))  # one row
-    known = terms.join(index.frequencies, "term").crossJoin(F.broadcast(totals))
+    # the semi-join moves below the count of documents, so only terms of questions are counted
+    wanted = index.frequencies.join(terms.select("term").distinct(), "term", "left_semi")
+    known = terms.join(wanted, "term").crossJoin(F.broadcast(totals))
     odds = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = known.select("query_id", "term", F.when(odds > 0, odds).otherwise(1e-6).alias("idf"), "mean_length")
     hits = index.postings.join(weighted, "term").join(index.lengths, "id")
