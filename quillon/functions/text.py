@@ -105,3 +105,9 @@ def is_git_url(url: Column) -> Column:
 def git_repo_name(url: Column) -> Column:
     """The last part of an address without ``.git``."""
     return F.regexp_replace(F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/:]+)$", 1), r"\.git$", "")
+
+
+def escape_math(text: Column) -> Column:
+    """Dollar signs outside code spans and blocks escaped, so that a renderer doesn't read them as formulas."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)```.*?```|`[^`\n]*`|[^`]+|`"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("`") & (F.length(p) > 1), p).otherwise(F.replace(p, F.lit("$"), F.lit("\\$")))), "")

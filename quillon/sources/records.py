@@ -114,3 +114,25 @@ def opaque_codes(answers: DataFrame, key: str, seed: str = "0") -> DataFrame:
 def sample_for_review(rows: DataFrame, key: str, size: int, seed: str = "0") -> DataFrame:
     """A sample without replacement that depends on the ids alone: the rows with the smallest hashes."""
     return rows.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string"))), key).limit(size)
+
+
+def synthetic_files(spark: SparkSession, n: int, functions: int = 7) -> DataFrame:
+    """Made-up source files for tests of scale: ``repo_id, path, language, text, file_hash``; no data is read."""
+    body = F.array_join(
+        F.transform(F.sequence(F.lit(1), F.lit(functions)), lambda k: F.format_string("def handle_%d_%d(request, user_id):\n    \"\"\"Handles step %d of module %d.\"\"\"\n    return request.load(user_id) + %d\n", F.col("id"), k, k, F.col("id"), k)), "\n\n"
+    )
+    rows = spark.range(n).select(F.lit("synthetic").alias("repo_id"), F.format_string("pkg%d/module_%d.py", F.col("id") % 100, F.col("id")).alias("path"), F.lit("python").alias("language"), body.alias("text"))
+    return rows.withColumn("file_hash", F.sha2("text", 256))
+
+
+def grading_batch(answers: DataFrame, claims: DataFrame, folder: str, seed: str = "0") -> None:
+    """Blind sheets for graders: ``answers``, ``claims`` and, apart from them, the ``key`` from codes to results.
+
+    ``answers`` has ``result_id, question, answer``, ``claims`` has ``result_id, claim, text, cites``.  Existing folders are refused.
+    """
+    coded = opaque_codes(answers, "result_id", seed)
+    blank = [F.lit("").alias(c) for c in ("correctness", "flag", "note", "minutes")]
+    write_sheet(coded.select(F.col("code").alias("answer"), "question", F.col("answer").alias("text"), *blank).orderBy("answer"), f"{folder}/answers")
+    named = claims.join(coded.select("result_id", "code"), "result_id")
+    write_sheet(named.select(F.col("code").alias("answer"), "claim", "cites", "text", F.lit("").alias("support"), F.lit("").alias("note")).orderBy("answer", "claim"), f"{folder}/claims")
+    coded.select("code", "result_id").coalesce(1).write.mode("errorifexists").json(f"{folder}/key")
