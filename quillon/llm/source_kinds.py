@@ -23,6 +23,7 @@ from quillon.session import stored
 GRAM, WINDOW, LEAST_REPOS, LEAST_SHARE, LEAST_PRINTS = 6, 8, 3, 0.95, 12
 
 CODE = {"py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "css", "scss", "less", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "rs", "kt", "swift", "scala", "sh", "bash", "lua", "pl", "sql", "m", "vue"}
+COMMANDS = {"sh", "bash", "sql"}  # lists of commands that people write line by line
 LOCK_NAMES = {"package-lock.json", "npm-shrinkwrap.json", "pnpm-lock.yaml", "yarn.lock", "go.sum", "go.work.sum", "poetry.lock", "cargo.lock", "composer.lock", "gemfile.lock", "pipfile.lock", "uv.lock", "pdm.lock", "bun.lockb", "mix.lock", "pubspec.lock", "podfile.lock", "packages.lock.json", "flake.lock", "gradle.lockfile"}
 VENDOR_DIRS = re.compile(r"(?i)(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|3rd[_-]?party|node_modules|bower_components|extern(?:al)?s?|deps|contrib/imported|site-packages|godeps/_workspace|pods)/")
 GENERATED_DIRS = re.compile(r"(?i)(?:^|/)(?:gen|autogen|auto-?generated|__generated__|generated|gensrc)/")
@@ -79,7 +80,7 @@ def file_reason(path: str | None, text: str | None) -> str | None:
             blob = re.findall(r"^\s*[\"'`]?[A-Za-z0-9+/=\\]{40,}[\"'`]?[,+)\]]?;?\s*$", text, re.M)
             if sum(map(len, blob)) > 0.7 * len(text):
                 return "data"
-        if repetitive(text) or (GENERATED_DIRS.search(path) and repetitive(text, least_lines=5)):
+        if ext not in COMMANDS and (repetitive(text) or (GENERATED_DIRS.search(path) and repetitive(text, least_lines=5))):
             return "generated"
     return None
 

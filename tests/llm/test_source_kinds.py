@@ -12,6 +12,7 @@ from quillon.llm import source_kinds as sk
         ("a/package-lock.json", "{}", "lock"), ("go.sum", "x v1 h1:a=", "lock"), ("poetry.lock", "x", "lock"),
         ("a.go", "// Code generated by tool v1. DO NOT EDIT.\npackage a", "generated"), ("a.ts", "/* @generated by tool */\nx", "generated"), ("a_pb2.py", "x = 1", "generated"), ("a.js", "x\n// end of tool output, source checksum b9823b5534890f829d9d49cae6a5acbc", "generated"), ("a.py", "# Diese Datei wurde automatisch aus x.xsd erzeugt, bitte nicht ändern.\nx = 1", "generated"),
         ("a.ts", "\n".join(f"export interface A{i} {{ a{i}: number; }}" for i in range(30)), "generated"),
+        ("a.sh", "\n".join(f'run-step{i} --flag v{i} "${{x{i}}}"' for i in range(30)), None),
         ("a.py", "# Emits a 'DO NOT EDIT' banner into each output.\nx = 1", None), ("a.py", "# Writes the generated files for x; this file itself is edited by hand.\nx = 1", None), ("a.py", "# Checks that vendored copies of x are current.\nx = 1", None),
         ("a.js", "".join(f"function a{i}(b,c){{return b.d{i}(c)||e[{i}]}}" for i in range(90)), "minified"), ("a.min.css", ".a{b:c}" * 200, "minified"),
         ("a.py", "import x\nICON = '" + "Zm9v" * 900 + "'\n\ndef f(value):\n    return value.use(ICON)\n", None),
