@@ -23,6 +23,8 @@ from quillon.session import stored
 
 #: The histogram, and so the plan, is bounded by the capacity; larger ones are refused.
 MAX_CAPACITY = 1 << 20
+#: Sizes, the most frequent ones, that combinations begin with; items of other sizes join as partners or in the greedy rest.
+LEADERS = 1_200
 #: Items of one size that one task ranks together.
 RANK_GROUP = 200_000
 
@@ -65,7 +67,8 @@ def combinations(sizes: np.ndarray, counts: np.ndarray, capacity: int, partners:
         if all(counts[i] >= t for i, t in merged.items()):
             out[tuple(sorted(merged.items()))] = None
 
-    for i in range(len(order) - 1, -1, -1):
+    leaders = np.argsort(-counts, kind="stable")[:LEADERS].tolist()
+    for i in sorted(leaders, reverse=True):
         most = capacity // order[i]
         for times in sorted({t for t in (1, 2, 3, most // 3, most // 2, most) if 1 <= t <= most}):
             room = capacity - times * order[i]
