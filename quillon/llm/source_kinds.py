@@ -1,26 +1,32 @@
 """Files that nobody wrote by hand: generated, minified, vendored or data saved as code.
 
 Vendored copies are found by their content.  The normalised token stream of each code file is hashed in runs of ``GRAM``
-tokens and winnowed: of every ``WINDOW`` consecutive hashes the smallest is a fingerprint.  A file is vendored when most of
-its fingerprints recur in ``LEAST_REPOS`` or more unrelated repositories, or in files that say of themselves, by notice or
-place, that they are third-party copies.  Single functions copied between repositories share too few fingerprints.
-
-Fingerprint counts are exact and grouped first by (fingerprint, repository), so a hot fingerprint is summed in parts.
+tokens and winnowed: of every ``WINDOW`` consecutive hashes the smallest is a fingerprint.  Two files are alike when the
+fingerprints of both are those of either to ``LEAST_ALIKE`` or more.  A file is a common origin when the files like it, its own
+copies included, lie in ``LEAST_REPOS`` or more repositories, or in two of which one says of itself, by notice or place, that it
+is a third-party copy; a file is vendored when it is like one common origin.  So edited copies are found, and files put together
+from functions that come from several places are not.  A file of fewer than ``LEAST_PRINTS`` fingerprints is like those with the
+same tokens throughout, if it has ``LEAST_TOKENS`` of them: shorter ones (an empty package, an import) are the same by chance.
+
+Files with the same fingerprints form one class; the join of classes is the exact one of ``near_duplicates``.  Of each class
+only ``LEAST_REPOS`` repositories are carried on, as more decide nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.near_duplicates import similar_classes
 from quillon.session import stored
 
-GRAM, WINDOW, LEAST_REPOS, LEAST_SHARE, LEAST_PRINTS = 6, 8, 3, 0.95, 12
+GRAM, WINDOW, LEAST_REPOS, LEAST_ALIKE, LEAST_PRINTS, LEAST_TOKENS = 6, 8, 3, 0.75, 12, 20
 
 CODE = {"py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "css", "scss", "less", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "rs", "kt", "swift", "scala", "sh", "bash", "lua", "pl", "sql", "m", "vue"}
 COMMANDS = {"sh", "bash", "sql"}  # lists of commands that people write line by line
@@ -121,6 +127,7 @@ def _is_word() -> np.ndarray:
 
 
 WORD_BYTE = _is_word()
+WORD = re.compile(rb"[A-Za-z0-9_\x80-\xff]+")
 
 
 def fingerprints(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -170,41 +177,63 @@ def fingerprints(texts: list[bytes], gram: int = GRAM, window: int = WINDOW) ->
     return pairs[:, 0].astype(np.int64), pairs[:, 1]
 
 
+def token_stream(text: bytes) -> bytes | None:
+    """A hash of all tokens in their order; null under ``LEAST_TOKENS``."""
+    tokens = WORD.findall(text.lower())
+    return hashlib.md5(b" ".join(tokens)).digest() if len(tokens) >= LEAST_TOKENS else None
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         paths, texts = b.column("path").to_pylist(), b.column("text").to_pylist()
         reasons = [file_reason(p, t) for p, t in zip(paths, texts)]
         marked = [says_vendored(p, t) for p, t in zip(paths, texts)]
         code = [i for i, p in enumerate(paths) if p and p.rsplit(".", 1)[-1].lower() in CODE and reasons[i] != "data" and texts[i]]
+        keys: list = [None] * len(paths)
         prints: list = [None] * len(paths)
         for lo in range(0, len(code), 400):
             at = code[lo : lo + 400]
-            doc, mark = fingerprints([texts[i].encode("utf-8", "replace") for i in at])
+            raw = [texts[i].encode("utf-8", "replace") for i in at]
+            doc, mark = fingerprints(raw)
             cut = np.searchsorted(doc, np.arange(len(at) + 1))
             signed = mark.view(np.int64)
             for k, i in enumerate(at):
-                prints[i] = signed[cut[k] : cut[k + 1]]
+                own = signed[cut[k] : cut[k + 1]]
+                if len(own) >= LEAST_PRINTS:
+                    keys[i], prints[i] = hashlib.md5(own.tobytes()).digest(), own
+                else:
+                    keys[i] = token_stream(raw[k])
         yield pa.record_batch(
-            [b.column("repo_id"), b.column("path"), pa.array(reasons, pa.string()), pa.array(marked, pa.bool_()), pa.array(prints, pa.list_(pa.int64()))],
-            ["repo_id", "path", "reason", "marked", "prints"],
+            [b.column("repo_id"), b.column("path"), pa.array(reasons, pa.string()), pa.array(marked, pa.bool_()), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+            ["repo_id", "path", "reason", "marked", "key", "prints"],
         )
 
 
-def source_kinds(df: DataFrame, least_repos: int = LEAST_REPOS, least_share: float = LEAST_SHARE) -> DataFrame:
+def source_kinds(df: DataFrame, least_repos: int = LEAST_REPOS, least_alike: float = LEAST_ALIKE) -> DataFrame:
     """``(repo_id, path, reason, shared_prints)``: one row per file; ``reason`` is generated, lock, minified, data, vendored or null.
 
-    A file listed twice counts once (a reason found in one listing holds).  Null paths and texts are judged by what is there;
-    short files have no fingerprints.  Files in vendor folders and with notices are vendored whether or not copies exist.
+    ``shared_prints`` is the likeness to the common origin a file is most like, 1 where it is one itself, 0 without one, and null
+    for what isn't compared: no code, data, no text, or too few tokens.  A file listed twice counts once (a reason found in one
+    listing holds).  Null paths and texts are judged by what is there.  Files in vendor folders and with notices are vendored
+    whether or not copies exist.
     """
-    seen = df.select("repo_id", "path", "text").mapInArrow(_scan, "repo_id string, path string, reason string, marked boolean, prints array<long>")
-    files = stored(seen)
-    rows = files.select(F.xxhash64("repo_id", "path").alias("file"), F.xxhash64("repo_id").alias("repo"), "marked", F.explode("prints").alias("p"))
-    per_repo = rows.groupBy("p", "repo").agg(F.max("marked").alias("marked"))
-    common = per_repo.groupBy("p").agg(F.count("*").alias("repos"), F.count_if("marked").alias("marked_repos")).where((F.col("repos") >= least_repos) | ((F.col("repos") >= 2) & (F.col("marked_repos") >= 1)))
-    shared = rows.select("file", "p").distinct().join(common.select("p"), "p").groupBy("file").agg(F.count("*").alias("shared"))
-    one = files.select("repo_id", "path", "reason", "marked", F.xxhash64("repo_id", "path").alias("file"), F.coalesce(F.size("prints"), F.lit(0)).alias("n"))
-    one = one.groupBy("file").agg(F.first("repo_id").alias("repo_id"), F.first("path").alias("path"), F.max("reason").alias("reason"), F.max("marked").alias("marked"), F.max("n").alias("n"))
-    share = F.when(F.col("n") >= LEAST_PRINTS, F.coalesce("shared", F.lit(0)) / F.col("n"))
-    vendored = F.col("marked") | (share >= least_share)
+    seen = df.select("repo_id", "path", "text").mapInArrow(_scan, "repo_id string, path string, reason string, marked boolean, key binary, prints array<long>")
+    files = stored(seen.withColumns({"file": F.xxhash64("repo_id", "path"), "repo": F.xxhash64("repo_id")}))
+    compared = files.where("key is not null")
+    classes = stored(compared.where("prints is not null").groupBy("key").agg(F.first("prints").alias("words")))
+    near = similar_classes(classes, least_alike).select("key_a", "key_b", (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("alike"))
+    near = stored(near)
+    # repositories of each class, one with a mark first
+    first = Window.partitionBy("key").orderBy(F.col("marked").desc(), "repo")
+    places = compared.groupBy("key", "repo").agg(F.max("marked").alias("marked")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max(2, least_repos)).drop("nth")
+    places = stored(places)
+    both = near.select(F.col("key_a").alias("origin"), F.col("key_b").alias("key"), "alike").unionByName(near.select(F.col("key_b").alias("origin"), F.col("key_a").alias("key"), "alike"))
+    around = both.join(places, "key").select("origin", "repo", "marked").unionByName(places.select(F.col("key").alias("origin"), "repo", "marked"))
+    spread = around.groupBy("origin", "repo").agg(F.max("marked").alias("marked")).groupBy("origin").agg(F.count("*").alias("repos"), F.max("marked").alias("marked"))
+    origins = stored(spread.where((F.col("repos") >= least_repos) | ((F.col("repos") >= 2) & F.col("marked"))).select("origin"))
+    like = both.join(origins, "origin").select("key", "alike").unionByName(origins.select(F.col("origin").alias("key"), F.lit(1.0).alias("alike"))).groupBy("key").agg(F.max("alike").alias("alike"))
+    shared = compared.select("file", "key").join(like, "key").groupBy("file").agg(F.max("alike").alias("alike"))
+    one = files.groupBy("file").agg(F.first("repo_id").alias("repo_id"), F.first("path").alias("path"), F.max("reason").alias("reason"), F.max("marked").alias("marked"), F.max(F.col("key").isNotNull()).alias("compared"))
+    vendored = F.col("marked") | F.col("alike").isNotNull()
     out = one.join(shared, "file", "left")
-    return out.select("repo_id", "path", F.coalesce("reason", F.when(vendored, "vendored")).alias("reason"), F.round(share, 4).alias("shared_prints"))
+    return out.select("repo_id", "path", F.coalesce("reason", F.when(vendored, "vendored")).alias("reason"), F.round(F.when(F.col("compared"), F.coalesce("alike", F.lit(0.0))), 4).alias("shared_prints"))

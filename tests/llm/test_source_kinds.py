@@ -57,3 +57,19 @@ def test_table(spark):
     assert all(got[(f"r{i}", "util/x.py")] == "vendored" for i in range(4)) and all(got[(f"s{i}", "own.py")] is None for i in range(4))
     assert got[("t", "solo.py")] is None and got[("u", "go.sum")] == "lock" and got[("t", None)] is None
     assert sk.source_kinds(df.limit(0)).count() == 0
+
+
+def test_edited_and_short_copies_in_many_repositories(spark):
+    """Without a mark: every copy has its own edits; short copies have too few fingerprints; files of copied functions stay."""
+    library, short, functions = body(1, 60).split("\n"), body(3, 5), [body(200 + i, 12) for i in range(6)]
+    edited = ["\n".join(body(300 + i, 2) if k == 9 + 8 * i else line for k, line in enumerate(library)) for i in range(4)]
+    assert len(sk.fingerprints([short.encode()])[1]) < sk.LEAST_PRINTS
+    rows = [(f"r{i}", "util/x.py", t) for i, t in enumerate(edited)] + [(f"r{i}", "util/short.py", short.replace("\n", "\n\n") if i else short) for i in range(3)]
+    rows += [(f"s{i}", "own.py", "\n".join(functions[(i + k) % 6] for k in range(3))) for i in range(6)]  # all of it from others, of which none is its origin
+    rows += [(f"r{i}", "pkg/__init__.py", "from .x import a, b, c, d, e") for i in range(5)] + [(f"q{i}", "two.py", body(5)) for i in range(2)]
+    rows += [("v", "vendor/y.py", body(6)), ("w", "lib/y.py", body(6))]
+    got = {(r["repo_id"], r["path"]): r for r in sk.source_kinds(spark.createDataFrame(rows, "repo_id string, path string, text string")).collect()}
+    found = {k for k, r in got.items() if r["reason"] == "vendored"}
+    assert found == {(f"r{i}", "util/x.py") for i in range(4)} | {(f"r{i}", "util/short.py") for i in range(3)} | {("v", "vendor/y.py"), ("w", "lib/y.py")}
+    assert got["r0", "util/x.py"]["shared_prints"] >= sk.LEAST_ALIKE and got["r0", "util/short.py"]["shared_prints"] == 1
+    assert got["s0", "own.py"]["shared_prints"] == 0 and got["r0", "pkg/__init__.py"]["shared_prints"] is None
