@@ -46,11 +46,62 @@ GENERATED = re.compile(
 ABOUT = re.compile(r"(?i)(['\"`‘“«])[^'\"`’”»]*(?:do not edit|generated)[^'\"`’”»]*['\"`’”»]|\bedited by hand\b|^\W*(?:writes?|emits?|checks?|creates?|produces?|reads?|parses?|tests?|removes?|adds?|prints?|returns?|inserts?|detects?|skips?|lists?|finds?)\b|\bnot (?:auto-?)?generated\b")
 TAIL_NOTICE = re.compile(r"(?i)\bend of [\w\-]+ output\b|\bend of generated\b|\bsource checksum [0-9a-f]{16,}")
 COMMENT = re.compile(r"^\s*(?:#|//|/\*|\*|--|<!--|;|%|'|\"\"\"|REM\b|@)")
+BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+QUOTES = {'"""', "'''"}
 LITERAL = re.compile(r"([\"'`])[A-Za-z0-9+/=_\-.:;,%]{80,}\1")  # an embedded image or the like, no code between two quotes
 ATOM = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|\b0[xX][0-9a-fA-F]+\b|[-+]?\b\d[\d_.]*(?:[eE][-+]?\d+)?\b")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
 
 
+def head_comments(lines: list[str], more: int) -> list[str]:
+    """The comment lines before the first line of code, however many, and those among the ``more`` lines from there on.
+
+    All lines within ``/* */`` and ``<!-- -->`` are comments.  Of a docstring only its first line is, as it may describe other files.
+    """
+    out, close, at = [], "", 0
+    for at, line in enumerate(lines):
+        if close:
+            if close not in QUOTES or COMMENT.match(line):
+                out.append(line)
+            if close in line:
+                close = ""
+        elif not line.strip():
+            continue
+        elif COMMENT.match(line):
+            out.append(line)
+            start = line.strip()
+            close = next((end for begin, end in BLOCKS if start.startswith(begin) and end not in start[len(begin) :]), "")
+        else:
+            break
+    else:
+        if not close:
+            return out
+        # a block without an end, as after a cut of the file, hides no more than its lines
+        at = len(lines)
+    return out + [x for x in lines[at : at + more] if COMMENT.match(x)]
+
+
+def tail_comments(lines: list[str], more: int) -> list[str]:
+    """The comment lines after the last line of code, however many, and those among the last ``more`` lines."""
+    at, close = len(lines), ""
+    while at:
+        line = lines[at - 1].strip()
+        if close:
+            close = "" if close in line else close
+        elif line and not COMMENT.match(line):
+            if not line.endswith("*/") and not line.endswith("-->"):
+                break
+            close = "/*" if line.endswith("*/") else "<!--"
+            if close in line:  # code with a remark behind it
+                break
+        elif line.endswith(("*/", "-->")):
+            begin = "/*" if line.endswith("*/") else "<!--"
+            close = "" if begin in line else begin
+        at -= 1
+    own = [] if close else lines[at:]
+    return own + [x for x in lines[-more:] if COMMENT.match(x)]
+
+
 def file_reason(path: str | None, text: str | None) -> str | None:
     """``lock``, ``generated``, ``minified`` or ``data`` by the file alone, else null."""
     path, text = path or "", text or ""
@@ -62,19 +113,19 @@ def file_reason(path: str | None, text: str | None) -> str | None:
         return "generated"
     if not text.strip():
         return None
-    head = text[:6000].split("\n")[:15]
-    for i, line in enumerate(head):
+    lines = text.split("\n")
+    for line in head_comments(lines, 15):
         # in prose only a comment counts; code may also say it right at its first line
-        if len(line) < 600 and COMMENT.match(line) and not (ext in {"md", "rst", "txt"} and not line.lstrip().startswith("<!--")) and GENERATED.search(line) and not ABOUT.search(line):
+        if len(line) < 600 and not (ext in {"md", "rst", "txt"} and not line.lstrip().startswith("<!--")) and GENERATED.search(line) and not ABOUT.search(line):
             return "generated"
-    if any(COMMENT.match(x) and TAIL_NOTICE.search(x) for x in text[-1500:].split("\n")[-4:]):
+    if any(TAIL_NOTICE.search(x) for x in tail_comments(lines, 4)):
         return "generated"
     if ext in {"map"} and text.lstrip().startswith("{") and '"mappings"' in text:
         return "generated"
     if ext in CODE:
         if re.search(r"\.min\.(?:js|mjs|css)$", name) and (text.count("\n") < 30 or len(text) / (text.count("\n") + 1) > 120):
             return "minified"
-        if max(map(len, text.split("\n"))) > 150:
+        if max(map(len, lines)) > 150:
             plain = [x for x in LITERAL.sub('""', text).split("\n") if x.strip()]
             if sum(map(len, plain)) > 80 * len(plain) and _dense("".join(plain)):
                 return "minified"
@@ -114,7 +165,7 @@ def says_vendored(path: str | None, text: str | None) -> bool:
     path, text = path or "", text or ""
     if VENDOR_DIRS.search(path) or VERSIONED.search(path):
         return True
-    return any(len(x) < 400 and COMMENT.match(x) and VENDOR_NOTICE.search(x) and not ABOUT.search(x) for x in text[:3000].split("\n")[:10])
+    return any(len(x) < 400 and VENDOR_NOTICE.search(x) and not ABOUT.search(x) for x in head_comments(text.split("\n"), 10))
 
 
 def _is_word() -> np.ndarray:

@@ -73,3 +73,16 @@ def test_edited_and_short_copies_in_many_repositories(spark):
     assert found == {(f"r{i}", "util/x.py") for i in range(4)} | {(f"r{i}", "util/short.py") for i in range(3)} | {("v", "vendor/y.py"), ("w", "lib/y.py")}
     assert got["r0", "util/x.py"]["shared_prints"] >= sk.LEAST_ALIKE and got["r0", "util/short.py"]["shared_prints"] == 1
     assert got["s0", "own.py"]["shared_prints"] == 0 and got["r0", "pkg/__init__.py"]["shared_prints"] is None
+
+
+def test_notices_after_and_before_long_comments():
+    licence = "\n".join(f"// line {i} of a licence that grants a right to copy, change and pass on this work under its terms" for i in range(70))
+    block = "/*\n" + "\n".join(f"   line {i} of a licence that grants a right to copy, change and pass on this work" for i in range(70)) + "\n"
+    code = body(7, 40)
+    assert sk.file_reason("a.go", licence + "\n\n// Code generated by tool v1. DO NOT EDIT.\npackage a\n" + code) == "generated"
+    assert sk.file_reason("a.java", block + "   This file was generated by tool.\n */\n" + code) == "generated"
+    assert sk.file_reason("a.js", code + "\n// end of tool output\n" + licence) == "generated"
+    assert sk.says_vendored("a.go", licence + "\n// Vendored from x 1.2, with local fixes.\npackage a") and sk.says_vendored("a.java", block + "   vendored from x 1.2\n */\n" + code)
+    assert sk.file_reason("a.js", licence + "\n" + code) is None and not sk.says_vendored("a.js", licence + "\n" + code)
+    far = code + "\n// the keys are generated by the server\n" + code + "\n// vendored from x\n" + code  # a remark amid the code isn't about the file
+    assert sk.file_reason("a.js", far) is None and not sk.says_vendored("a.js", far)
