@@ -1,8 +1,8 @@
 """Credentials in source code and configuration: finding them and masking them in place.
 
-Configuration lines are parsed into key paths (sections, indentation and braces give the parents) with the offsets of their
-values, code into assignments.  A value counts when the last part of its key names something secret and the value has the
-shape of a secret; keys with a public format, user information in URLs, authorization headers, command options, remarks and
+Configuration files, told by their path, are parsed into key paths with the offsets of their values (``config_values``).  A value
+counts when a part of its key path names something secret, no part below that names something else, and the value has the shape
+of a secret.  In all texts lines are searched for assignments too, whose value counts by the last part of its key; keys with a public format, user information in URLs, authorization headers, command options, remarks and
 private key blocks count by their own forms.  Masking overwrites exactly the characters of the value, so line breaks, quotes,
 offsets and everything around stay as they were.
 """
@@ -16,6 +16,8 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillon.llm.config_values import config_values
+
 
 class Finding(NamedTuple):
     start: int
@@ -62,6 +64,7 @@ _PASSWORD_WORDS = {"password", "passwd", "passwort", "pwd", "passphrase", "pass"
 _SECRET_WORDS = {"secret", "secrets", "token", "tokens", "apikey", "credential", "credentials", "pat", "auth"}
 _KEY_QUALIFIERS = {"api", "access", "secret", "private", "auth", "llm", "signing", "encryption", "service", "account", "license", "master", "x", "client", "app", "admin", "storage", "subscription"}
 _NOT_SECRET = {"public", "name", "hash", "digest", "sha", "checksum", "count", "limit", "length", "type", "header", "field", "path", "file", "url", "request", "commit", "etag", "version", "ttl", "expiry"}
+_BESIDE_SECRET = _NOT_SECRET | {"user", "username", "login", "email", "host", "hostname", "port", "region", "provider", "kind", "id", "uid", "enabled", "scope", "scopes", "issuer", "audience", "expires", "created", "updated", "description", "comment", "label", "title", "endpoint", "realm", "algorithm", "prefix", "domain", "mode", "format", "image", "tag", "ref", "revision"}
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.\-_#0?]{4,}|<.*>|\[.*\]|%.*%|your[-_ ]?.*|my[-_ ]?(?:password|secret|token|key)|replace[-_ ]?.*|change[-_ ]?.*|put[-_ ]?.*|insert[-_ ]?.*|example.*|dummy.*|fake.*|sample.*|placeholder.*|redacted.*"
     r"|todo|tbd|none|null|nil|true|false|undefined|secret|password|passwd|token|test(?:ing)?|foo|bar|abc123|\S*(?:xxxx|\*\*\*\*)\S*)$"
@@ -124,6 +127,23 @@ def key_class(name: str) -> str | None:
     return None
 
 
+def path_class(parts: tuple[str, ...]) -> tuple[str, bool] | None:
+    """What the nearest part of a key path that tells promises, and whether it is the last one; null if it isn't a secret."""
+    for k, part in enumerate(reversed(parts)):
+        kind = key_class(part) or (key_class(part[:-1]) if part[-1:] in {"s", "S"} else None)
+        words = [w.lower() for w in _WORDS.findall(part)]
+        if kind and not (k and words[-1] in {"auth", "pat"}):
+            return kind, k == 0
+        if words and ("public" in words or words[-1] in _BESIDE_SECRET):
+            return None
+    return None
+
+
+def secret_below(kind: str, value: str) -> bool:
+    """The shape of a secret whose own key doesn't say that it is one: a key, or a password with a mark unless one is promised."""
+    return key_shape(value) or (password_shape(value) and (kind == "password" or any(not c.isalnum() and c not in "_-./@:" for c in value)))
+
+
 def key_path(text: str, at: int, key: str) -> str:
     """The path of a configuration key at an offset: its section or the less indented keys above it, then the key."""
     start = text.rfind("\n", 0, at) + 1
@@ -164,8 +184,8 @@ def _in_joined_literals(text: str) -> list[Finding]:
     return out
 
 
-def find(text: str | None, joined: bool = True) -> list[Finding]:
-    """All credentials of a text, in order, without overlaps; offsets are code points of ``text``."""
+def find(text: str | None, joined: bool = True, path: str | None = None) -> list[Finding]:
+    """All credentials of a text, in order, without overlaps; offsets are code points of ``text``; ``path`` tells its format."""
     if not text:
         return []
     found: list[Finding] = []
@@ -173,6 +193,13 @@ def find(text: str | None, joined: bool = True) -> list[Finding]:
     def add(start: int, end: int, kind: str, key: str) -> None:
         found.append(Finding(start, end, kind, key))
 
+    for parts, start, end in config_values(path, text):
+        start, end = _trim(text, start, end)
+        if end - start >= 6 and (told := path_class(parts)):
+            kind, own = told
+            value = text[start:end]
+            if (password_shape if kind == "password" else key_shape)(value) if own else secret_below(kind, value):
+                add(start, end, kind, ".".join(parts))
     if "PRIVATE KEY" in text:
         for m in PRIVATE_KEY.finditer(text):
             stop = PRIVATE_END.search(text, m.end())
@@ -252,18 +279,19 @@ def redact(text: str | None, findings: list[Finding] | None = None) -> str | Non
     return "".join([*parts, text[last:]])
 
 
-def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "text", path_col: str = "path") -> DataFrame:
     """``(id, line_no, start_byte, end_byte, kind, key_path)``: one row per finding, offsets in the UTF-8 bytes of the text.
 
-    Null and empty texts give no rows, a null id stays null, repeated rows give repeated findings once.
+    Null and empty texts give no rows, a null id stays null, repeated rows give repeated findings once.  Without a column of
+    paths, or with a null path, no format is known.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, text in zip(b["id"], b["text"]):
+            for i, text, path in zip(b["id"], b["text"], b["path"]):
                 line, at, byte = 1, 0, 0
-                for f in find(text):
+                for f in find(text, path=path):
                     line += text.count("\n", at, f.start)
                     byte += len(text[at : f.start].encode("utf-8", "surrogatepass"))
                     at = f.start
@@ -271,21 +299,22 @@ def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "text")
             yield pd.DataFrame(rows, columns=["id", "line_no", "start_byte", "end_byte", "kind", "key_path"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInPandas(run, f"id {kind}, line_no int, start_byte long, end_byte long, kind string, key_path string").distinct()
+    path = f"`{path_col}`" if path_col in df.columns else "cast(null as string)"
+    return df.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text", f"{path} as path").mapInPandas(run, f"id {kind}, line_no int, start_byte long, end_byte long, kind string, key_path string").distinct()
 
 
-def redact_credentials(df: DataFrame, text_col: str = "text") -> DataFrame:
+def redact_credentials(df: DataFrame, text_col: str = "text", path_col: str = "path") -> DataFrame:
     """The same rows with ``text_col`` masked and a count ``credentials_masked`` added; null texts stay null with count 0."""
     from pyspark.sql import functions as F
     from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
     @F.pandas_udf(StructType([StructField("text", StringType()), StructField("n", IntegerType())]))
-    def mask(texts: pd.Series) -> pd.DataFrame:
+    def mask(texts: pd.Series, paths: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in texts:
-            hits = find(t)
+        for t, path in zip(texts, paths):
+            hits = find(t, path=path)
             rows.append((redact(t, hits), len(hits)))
         return pd.DataFrame(rows, columns=["text", "n"])
 
-    masked = df.withColumn("__masked", mask(F.col(text_col)))
+    masked = df.withColumn("__masked", mask(F.col(text_col), F.col(path_col) if path_col in df.columns else F.lit(None).cast("string")))
     return masked.withColumns({text_col: F.col("__masked.text"), "credentials_masked": F.col("__masked.n")}).drop("__masked")

@@ -42,6 +42,29 @@ def test_key_paths():
     assert cr.find("[db]\nname = x\npassword = Wortal!4375\n")[0].key_path == "db.password"
 
 
+S, T = "f3Kq9LmZ2xVb7TnR4pWd", "Q8rYt5JhC1sNw6GvE0uX"
+NESTED = [
+    ("a.yaml", f"credentials:\n  prod: {S}\n", ["credentials.prod"]), ("a.yml", f"password: >-\n  Wortal!4375\nuser: u\n", ["password"]), ("a.yaml", f"tokens:\n- {S}\n- '{T}'\n", ["tokens", "tokens"]),
+    ("a.yaml", f"x:\n  api_keys: {{prod: {S}, test: \"{T}\"}}\n", ["x.api_keys.prod", "x.api_keys.test"]), ("a.yaml", "password:\n  Wortal!4375\n", ["password"]), ("a.yaml", "passwords:\n  app: kaltt-krov-92\n", ["passwords.app"]),
+    ("a.ini", f"[secrets]\nprod = {S}\n", ["secrets.prod"]), ("a.cfg", f"[x]\ntokens =\n  {S}\n  {T}\n", ["x.tokens", "x.tokens"]), ("a.toml", f"[app.secrets]\nprod = '{S}'\n", ["app.secrets.prod"]), ("a.toml", f"tokens = [\n  '{S}', # first\n  '{T}',\n]\n", ["tokens", "tokens"]),
+    ("a.json", '{"password": {"value": "Wortal!4375"}}', ["password.value"]), ("a.json", f'"secrets": {{\n "a": {{"prod": "{S}"}}\n}}, "name": "{T}"', ["secrets.a.prod"]), (".env.prod", f"export A_TOKENS='{S}'\n", ["A_TOKENS"]),
+    ("a.yaml", f"credentials:\n  id: {S}\n  user: Wortal!4375\nprod: {S}\nauth:\n  client: {T}\nsecrets:\n  request:\n    prod: {S}\n", []), ("a.yaml", "secrets:\n  prod: ${PROD}\n  mode: plain\n  db: vault:db\n  n: 12345678\n", []), ("a.py", f"credentials:\n  prod: {S}\n", []),
+]
+
+
+@pytest.mark.parametrize("path, text, paths", NESTED)
+def test_nested_configuration(path, text, paths):
+    found = cr.find(text, path=path)
+    assert [f.key_path for f in found] == paths
+    assert {text[f.start : f.end] for f in found} <= {S, T, "Wortal!4375", "kaltt-krov-92"}
+
+
+def test_table_reads_the_path(spark):
+    df = spark.createDataFrame([("a", "é.yaml", f"é: 1\ncredentials:\n  prod: {S}\n"), ("b", None, f"credentials:\n  prod: {S}\n")], "id string, path string, text string")
+    assert [(r["id"], r["line_no"], r["key_path"]) for r in cr.find_credentials(df).collect()] == [("a", 3, "credentials.prod")]
+    assert {r["id"]: r["text"] for r in cr.redact_credentials(df).collect()}["a"] == f"é: 1\ncredentials:\n  prod: {'*' * len(S)}\n"
+
+
 def test_table(spark):
     rows = [("a", "é\nPASSWORD=Bexbuk#6563"), ("a", "é\nPASSWORD=Bexbuk#6563"), ("b", None), ("c", ""), (None, "PASSWORD=Bexbuk#6563"), ("d", "word = 1\n" * 100_000)]
     df = spark.createDataFrame(rows, "id string, text string").withColumns({"line_no": F.lit(1), "kind": F.lit("x")})
