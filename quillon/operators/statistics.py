@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESAMPLES = 10_000
+#: Items that are drawn at a time.
+DRAWN = 1 << 21
 
 
 def sign_test(better: Column, worse: Column) -> Column:
@@ -108,7 +110,10 @@ def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, by: str, null:
             times = (drawn == k).sum(1)
             for t in np.unique(times[times > 0]):
                 at = np.flatnonzero(times == t)
-                sums[at] += x[rng.integers(len(x), size=(len(at), t * len(x)))].sum(1)
+                step = max(1, DRAWN // (t * len(x)))
+                for lo in range(0, len(at), step):
+                    part = at[lo : lo + step]
+                    sums[part] += x[rng.integers(len(x), size=(len(part), t * len(x)))].sum(1)
                 sizes[at] += t * len(x)
         boot = sums / sizes
         estimate = float(g[value].mean())

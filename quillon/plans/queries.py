@@ -369,7 +369,7 @@ def paired_counts(spark, d):
 
 
 def paired_bootstrap(spark, d):
-    return statistics.paired_bootstrap(paired_rankings(spark, d), "a", "b", "pair", "query_id", resamples=2_000)
+    return statistics.paired_bootstrap(paired_rankings(spark, d), "a", "b", "pair", "query_id", resamples=statistics.RESAMPLES)
 
 
 def _grid_results(spark, d) -> DataFrame:
@@ -391,7 +391,7 @@ def ablation_grid(spark, d):
 
 
 def ablation_pairs(spark, d):
-    return evaluation.compare(_grid_results(spark, d), [("hybrid", "vector"), ("keyword", "vector"), ("vector + demote tests", "vector")], resamples=1_000)
+    return evaluation.compare(_grid_results(spark, d), [("hybrid", "vector"), ("keyword", "vector"), ("vector + demote tests", "vector")], resamples=statistics.RESAMPLES)
 
 
 def answer_summary(spark, d):
@@ -462,7 +462,7 @@ def prompt_gain_holm(spark, d):
 
 def prompt_bootstrap(spark, d):
     rows = _grounded_pairs(spark, d).select(F.lit("P1-P0").alias("comparison"), "kind", (F.col("P1") - F.col("P0")).cast("double").alias("gain"))
-    return statistics.cluster_bootstrap(rows, "gain", "kind", "comparison", resamples=2_000)
+    return statistics.cluster_bootstrap(rows, "gain", "kind", "comparison", resamples=statistics.RESAMPLES)
 
 
 def complete_cases(spark, d):

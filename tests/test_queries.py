@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quillon.operators import evaluation, statistics
 from quillon.plans import oracles, queries
 
 DATA = os.environ.get("QUILLON_TESTDATA", "/root/testdata/sf0.001")
@@ -54,5 +55,15 @@ def test_retrieved_sources_are_lines_of_their_files(spark):
     assert both and sum(r["text"] == r["want"] for r in both) >= 0.9 * len(both)  # a few files changed after they were indexed
 
 
+def test_bootstraps_draw_the_full_number_of_resamples(spark, monkeypatch):
+    drawn = []
+    for module, name in ((statistics, "paired_bootstrap"), (statistics, "cluster_bootstrap"), (evaluation, "compare")):
+        monkeypatch.setattr(module, name, lambda *a, resamples=statistics.RESAMPLES, **k: drawn.append(resamples))
+    monkeypatch.setattr(queries, "_grid_results", lambda *a: None)
+    for name in ("paired_bootstrap", "prompt_bootstrap", "ablation_pairs"):
+        queries.queries()[name](spark, DATA)
+    assert drawn == [10_000] * 3
+
+
 def test_every_sql_has_its_query():
     assert set(oracles.oracle_sql()) <= set(queries.queries())
