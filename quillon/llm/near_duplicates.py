@@ -237,13 +237,18 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "id", text_col: str = "tex
     return across.unionByName(same).distinct()
 
 
-def components(edges: DataFrame, a: str = "key_a", b: str = "key_b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "key_a", b: str = "key_b", max_rounds: int | None = None) -> DataFrame:
     """``(node, root)`` of the connected components of an edge table, by alternating large-star and small-star rounds.
 
     Each round is a distributed group-by and is written to the shared folder; stops when a round changes nothing.
+    With ``max_rounds`` an error is raised when the last of them still changed edges.
     """
     now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components haven't settled after {rounds} rounds")
+        rounds += 1
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -65,3 +65,10 @@ def test_components(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert nd.near_duplicate_pairs(df).count() == 0 and nd.near_duplicate_groups(df).count() == 0
+
+
+def test_components_settle_or_say_so(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "key_a int, key_b int")
+    assert {r["root"] for r in nd.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        nd.components(chain, max_rounds=2)
