@@ -14,8 +14,10 @@ from quillon.functions.embedding import HashEmbedder, embed, hashed_vector
 from quillon.functions.identifiers import query_tokens, words
 from quillon.functions.intents import overview_intent
 from quillon.operators import answering, chunking, evaluation, indexing, metrics, repo_map, search, selection, statistics, study, walking
+from quillon.operators.retrieval import Retriever
 from quillon.session import stored, table
 from quillon.sources import records
+from quillon.sources.settings import Settings
 from quillon.streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +297,17 @@ def _sources(spark, d) -> DataFrame:
     return merged.join(selection.merged_text(spans, merged), ["query_id", "path", "start_line"]).join(one, ["query_id", "path"], "left")
 
 
+def hybrid_sources(spark, d):
+    """The whole ``Retriever.retrieve``: both searches fused, penalties, reranking, class headers and merged spans."""
+    columns = ["language", "kind", "symbol", "start_line", "end_line", "text"]
+    c = stored(chunks(spark, d, "repo_id", "path", *columns).select("id", F.concat_ws("/", "repo_id", "path").alias("path"), *columns))
+    embedder, asked = HashEmbedder(256), stored(questions(spark, d))
+    vectors = stored(embed(c.withColumn("t", text.embed_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("text"))), embedder, ["id"], "t"))
+    asked = stored(asked.join(embed(asked, embedder, ["query_id"], "question"), "query_id"))
+    whole = Retriever(c, keyword_index(spark, d), vectors, Settings(mode="hybrid"), search.overlap_score(F.col("question"), F.col("text")))
+    return whole.retrieve(asked).select("query_id", "path", "start_line", "end_line", "rank", "role", "tokens", F.sha1("text").alias("text_hash"))
+
+
 def retrieved_sources(spark, d):
     out = _sources(spark, d).withColumn("tokens", text.estimate_tokens(F.col("text")))
     return out.select("query_id", "path", "start_line", "end_line", "rank", "role", "tokens", F.sha1("text").alias("text_hash"))

@@ -55,6 +55,13 @@ def test_retrieved_sources_are_lines_of_their_files(spark):
     assert both and sum(r["text"] == r["want"] for r in both) >= 0.9 * len(both)  # a few files changed after they were indexed
 
 
+def test_hybrid_sources_run_the_whole_chain(spark):
+    rows = queries.queries()["hybrid_sources"](spark, DATA).collect()
+    asked = {r["query_id"] for r in queries.questions(spark, DATA).collect()}
+    assert asked and {r["query_id"] for r in rows} == asked
+    assert all(r["start_line"] <= r["end_line"] for r in rows) and len({(r["query_id"], r["path"], r["start_line"]) for r in rows}) == len(rows)
+
+
 def test_bootstraps_draw_the_full_number_of_resamples(spark, monkeypatch):
     drawn = []
     for module, name in ((statistics, "paired_bootstrap"), (statistics, "cluster_bootstrap"), (evaluation, "compare")):
