@@ -16,9 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Directories that hold no source of one's own (fixed values).
-DENIED_DIRS = frozenset(
-    ".git .hg .svn node_modules bower_components dist build __pycache__ .venv venv .tox .next .nuxt .turbo .vite .cache .idea .vscode .gradle .terraform .pytest_cache .mypy_cache .ruff_cache coverage vendor .codebase_ai".split()
-)
+DENIED_DIRS = {
+    ".git", ".hg", ".svn", "node_modules", "bower_components", "dist", "build",
+    "__pycache__", ".venv", "venv", ".tox", ".next", ".nuxt", ".turbo",
+    ".vite", ".cache", ".idea", ".vscode", ".gradle", ".terraform", ".pytest_cache",
+    ".mypy_cache", ".ruff_cache", "coverage", "vendor", ".quillon",
+}
 MAX_READ = 1_000_000
 SCHEMA = "path string, size long, file_hash string, text string, skipped string"
 

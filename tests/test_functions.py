@@ -92,6 +92,12 @@ SOURCES = [Span("app/users.py", 1, 40), Span("app/cart.js", 5, 9), Span("docs/a.
         ("rows[2][3], parse(x)[1] and matrix[1][2]", [], [], "rows[2][3], parse(x)[1] and matrix[1][2]"),
         ("`a [1]` and\n```\nb [2]\n```\n", [], [], "`a [1]` and\n```\nb [2]\n```\n"),
         ("Both [1 and 2].", [1, 2], [], "Both [1 and 2]."),
+        ("Claim [9][Source 1].", [1], [9], "Claim [Source 1]."),
+        ("Claim [7], also [8].", [], [7, 8], "Claim [?], also [?]."),
+        ("Read matrix[1][2] here [3].", [3], [], "Read matrix[1][2] here [3]."),
+        ("See [the docs](http://x.y) [2].", [2], [], "See [the docs](http://x.y) [2]."),
+        ("Open `code [1] and ```b [2]", [1, 2], [], "Open `code [1] and ```b [2]"),
+        ("", [], [], ""),
     ],
 )
 def test_citations(answer, cited, invalid, clean):
@@ -103,7 +109,9 @@ def test_citations(answer, cited, invalid, clean):
 def test_locations():
     assert check("see app/users.py:12-20 and users.py:3", SOURCES).unverified == []
     assert check("see pp/users.py:12-20, cart.js:4 and `users.py:41`", SOURCES).unverified == ["pp/users.py:12-20", "cart.js:4", "users.py:41"]
-    assert numbers("3-1") == [3, 1]
+    assert check("On localhost:8080, example.com:443, version 1.2:3.", SOURCES).unverified == []
+    assert check("```\nat app/billing.py:12\n```\napp/users.py:30-20", SOURCES).unverified == ["app/users.py:30-20"]
+    assert numbers("3-1") == [3, 1] and numbers("the docs") is None and numbers("") is None
 
 
 @pytest.mark.parametrize(
@@ -135,6 +143,25 @@ def test_claims(answer, claims):
         ("What tech stack is used?", "stack"),
         ("Where should I start?", "onboarding"),
         ("What does `parse_args` do in this project?", None),
+        ("  WHAT   DOES  THIS   PROJECT  DO ?  ", "identity"),
+        ("Can you give me a high-level view of how this works?", "overview"),
+        ("Walk me through the project", "overview"),
+        ("Is this a web app, a library or a CLI tool?", "kind"),
+        ("How is this software put together?", "structure"),
+        ("Explain how everything fits together.", "fit"),
+        ("How do the different parts fit together?", "fit"),
+        ("Which languages and frameworks does it use?", "stack"),
+        ("I'm new here. Where should I start reading?", "onboarding"),
+        ("What are the main components of the Kanban board?", None),
+        ("Explain the architecture of the email pipeline", None),
+        ("How does src/app/user_service.py validate emails?", None),
+        ("Where is getTaskFiltersForUser defined?", None),
+        ("Give me a tour of the payment module.", None),
+        ("What are the building blocks of the parser?", None),
+        ("Which framework does the router use?", None),
+        ("How does everything in the checkout fit together?", None),
+        ("What problem does the rate limiter solve?", None),
+        ("   ", None),
         ("", None),
         (None, None),
     ],
@@ -161,6 +188,12 @@ def test_replies(spark):
         ("# Setup\n\ntext", "markdown", "Setup"),
         ("Title\n=====\n", "rst", "Title"),
         ("x = 1", "python", None),
+        ("# just a comment\nimport os\n", "python", None),
+        ('"""Cut off here and\nmore', "python", "Cut off here and"),
+        ("'use strict';\n\n// Shared mailer.\nmodule.exports = {};\n", "javascript", "Shared mailer."),
+        ("// @ts-check\nconst a = 1;\n", "javascript", None),
+        ("/* first\n" + "\n" * 60 + " */", "go", None),
+        ("//\n" * 60 + "// Says it late.\n", "go", "Says it late."),
         (None, "go", None),
     ],
 )
