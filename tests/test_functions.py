@@ -96,7 +96,7 @@ SOURCES = [Span("app/users.py", 1, 40), Span("app/cart.js", 5, 9), Span("docs/a.
         ("Claim [7], also [8].", [], [7, 8], "Claim [?], also [?]."),
         ("Read matrix[1][2] here [3].", [3], [], "Read matrix[1][2] here [3]."),
         ("See [the docs](http://x.y) [2].", [2], [], "See [the docs](http://x.y) [2]."),
-        ("Open `code [1] and ```b [2]", [1, 2], [], "Open `code [1] and ```b [2]"),
+        ("Open `code [1]\nand ```b [2]", [1, 2], [], "Open `code [1]\nand ```b [2]"),
         ("", [], [], ""),
     ],
 )
