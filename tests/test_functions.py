@@ -149,7 +149,7 @@ def test_claims(answer, claims):
         ("Is this a web app, a library or a CLI tool?", "kind"),
         ("How is this software put together?", "structure"),
         ("Explain how everything fits together.", "fit"),
-        ("How do the different parts fit together?", "fit"),
+        ("How do the different parts fit together?", "parts"),
         ("Which languages and frameworks does it use?", "stack"),
         ("I'm new here. Where should I start reading?", "onboarding"),
         ("What are the main components of the Kanban board?", None),
