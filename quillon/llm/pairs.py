@@ -1,39 +1,52 @@
 """Broken prompt and response pairs: empty, truncated, refusing, copying and other-language answers.
 
 Each defect has its own detector over the whole texts: a suffix automaton of the prompt measures how much of the answer is
-copied from it; an Aho-Corasick automaton finds refusal phrases outside code and quotations; delimiter stacks and the end of
+copied from it; refusal automata over the words of a sentence find a speaker who declines; delimiter stacks and the end of
 the last sentence tell truncation; votes of stopwords tell the languages of both sides.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 COPY_RUN, COPIED_ANSWER, COPIED_QUESTION = 3, 0.75, 0.6
 
-# Phrases by which an answer declines (fixed values, lower case, straight apostrophes).
+# Word classes of the refusal automata (fixed values).  Contractions are written out before: "can't" is "can not".
+SLOTS = {
+    "MODAL": "can could will would may must shall should am do",
+    "ACT": "help assist provide answer answering share sharing discuss discussing give giving talk comply fulfill fulfil disclose reveal walk explain explaining respond responding comment elaborate engage proceed do go",
+    "AIDE": "help assist answer discuss comply respond comment",
+    "DOING": "answering explaining sharing discussing helping providing assisting responding commenting complying disclosing",
+    "DUTY": "must have need would will should",
+    "NO": "decline refuse pass abstain",
+    "RULES": "guidelines guideline rules policy policies instructions principles",
+    "BAR": "permit allow let",
+    "FORBID": "prevent prevents forbid forbids prohibit prohibits bar bars",
+    "ABLE": "able allowed permitted going willing authorized authorised comfortable",
+}
+
+#: Sentences by which a speaker declines, as runs of words and classes; ``~`` stands for up to four words, ``?`` for one or none.
+#: All name the speaker, an act of answering or a policy, so a program that "will refuse to open files" is none of them.
 REFUSALS = (
-    "can't help with", "cannot help with", "can not help with", "can't assist with", "cannot assist with", "unable to assist with", "unable to help with", "not able to help with", "not able to assist with",
-    "can't provide", "cannot provide", "unable to provide", "not able to provide", "won't provide", "unable to give out", "cannot give out", "can't give out", "not able to give out", "unable to share", "can't share", "cannot share", "not able to share",
-    "won't be able to walk you through", "won't be able to help", "won't be able to assist", "won't be able to answer", "can't walk you through", "cannot walk you through",
-    "no answer will be given", "have to decline", "must decline", "respectfully decline", "need to decline", "decline to answer", "decline to discuss", "decline this request", "going to decline", "i decline",
-    "not able to answer questions of this kind", "not able to answer this kind", "can't answer that", "cannot answer that question", "can't answer this question", "unable to answer that", "rather not answer", "prefer not to answer", "would not be appropriate", "wouldn't be appropriate", "not appropriate for me to",
-    "not able to discuss", "unable to discuss", "can't discuss", "cannot discuss", "won't discuss", "can't talk about", "cannot talk about", "not allowed to talk about", "not allowed to discuss", "not allowed to answer", "not permitted to", "do not permit me", "don't permit me", "does not permit me", "not allow me to", "don't allow me to",
-    "no permission to share", "no permission to disclose", "don't have permission to share", "outside what i am allowed", "outside of what i am allowed", "outside of what i may answer", "outside what i may answer", "beyond what i am allowed", "so i will not go into it",
-    "against my rules", "against my guidelines", "against my policy", "violates my guidelines", "my guidelines prevent", "blocked by the content policy", "blocked by content policy", "violates the content policy", "against the content policy",
-    "won't comply", "will not comply", "cannot comply", "can't comply", "unable to comply", "refuse to", "have to pass on this", "must pass on this", "going to pass on this", "don't feel comfortable", "do not feel comfortable", "not comfortable with", "not comfortable answering",
-    "as an ai language model, i", "something i have to decline", "i'm not going to answer", "i am not going to answer", "i will not answer", "i won't answer", "can't fulfill", "cannot fulfill", "can't do that", "unable to fulfill",
-    "ihnen nicht helfen", "dir nicht helfen", "dabei nicht helfen", "hierbei nicht helfen", "nicht weiterhelfen", "darf ich nicht beantworten", "nicht beantworten darf", "kann ich nicht beantworten", "kann diese anfrage nicht", "muss ich ablehnen", "muss diese anfrage ablehnen", "darüber darf ich nicht", "darf ich keine auskunft",
-    "ne peux pas répondre à cette demande", "ne peux pas vous aider", "ne peux pas t'aider", "ne peux pas aider", "ne suis pas en mesure de vous aider", "ne suis pas autorisé", "je dois refuser", "je dois décliner", "ne peux pas fournir", "ne peux pas répondre à cette question",
-    "no puedo ayudar con", "no puedo ayudarte", "no puedo ayudarle", "no puedo responder a esa", "no puedo responder a esta", "debo rechazar", "tengo que rechazar", "no estoy autorizado", "no me está permitido", "no puedo proporcionar", "no puedo atender",
-    "não posso ajudar com", "não posso ajudá", "não posso te ajudar", "não posso responder a ess", "não posso responder a est", "devo recusar", "tenho que recusar", "tenho de recusar", "não estou autorizad", "não me é permitido", "não posso fornecer", "não posso atender",
-    "niet bij helpen", "niet mee helpen", "je niet helpen", "u niet helpen", "moet ik weigeren", "moet dit verzoek weigeren", "mag ik niet beantwoorden", "kan ik niet beantwoorden", "mag hier niet over", "niet toegestaan om", "kan dit verzoek niet",
+    "i MODAL not ~ ACT", "i am ? not ABLE ~ ACT", "i am ? unable ~ ACT", "i MODAL not ? feel comfortable", "i am not ? comfortable", "i would rather not", "i ? prefer not to",
+    "i DUTY ~ NO", "i ? NO to", "i ? decline", "i ? refuse", "i have no permission", "i MODAL not have permission", "we MODAL not ~ AIDE", "we are not ABLE ~ AIDE", "we are unable ~ AIDE", "we DUTY ? decline", "we DUTY to decline",
+    "outside ~ i am ABLE", "outside ~ i may ACT", "outside ~ i can ACT", "beyond ~ i am ABLE", "beyond ~ i may ACT", "beyond ~ i can ACT", "off limits for me", "off-limits for me",
+    "my RULES ~ not BAR", "my RULES FORBID", "against my ? RULES", "violates my RULES", "violate my RULES", "not BAR me to", "not permitted for me", "i am not at liberty",
+    "no answer ~ given", "DOING ~ not be appropriate", "DOING ~ be inappropriate", "not ? appropriate for me", "inappropriate for me to", "request ~ blocked ~ policy", "blocked by ? content policy", "violates ? content policy", "violate ? content policy", "against ? content policy",
+    "ich ~ nicht ~ helfen", "ich ~ nicht ~ weiterhelfen", "ich ~ nicht ~ beantworten", "ich ~ nicht ~ antworten", "nicht ~ helfen kann ich", "muss ich ~ ablehnen", "ich muss ~ ablehnen", "darf ich nicht", "ich darf nicht", "darf ich keine auskunft", "ich darf keine auskunft", "ich kann diese anfrage nicht", "kann ich diese anfrage nicht", "ich ~ keine auskunft",
+    "je ne peux pas ~ répondre", "je ne peux pas ~ aider", "je ne peux pas ~ fournir", "je ne suis pas ~ aider", "je ne suis pas autorisé", "je ne suis pas autorisée", "je dois ? refuser", "je dois ? décliner", "je refuse de",
+    "no puedo ? ayudar", "no puedo ayudarte", "no puedo ayudarle", "no puedo ~ responder", "no puedo ~ proporcionar", "no puedo ~ atender", "debo ? rechazar", "tengo que ? rechazar", "no estoy autorizado", "no estoy autorizada", "no me está permitido",
+    "não posso ? ajudar", "não posso ajudá", "não posso ~ responder", "não posso ~ fornecer", "não posso ~ atender", "devo ? recusar", "tenho de ? recusar", "tenho que ? recusar", "não estou autorizado", "não estou autorizada", "não me é permitido",
+    "ik ~ niet ~ helpen", "ik ~ niet ~ beantwoorden", "ik ~ niet ~ antwoorden", "moet ik ~ weigeren", "ik moet ~ weigeren", "mag ik ~ niet", "ik mag ~ niet", "kan ik ~ niet ~ helpen", "ik ben niet bevoegd",
 )
+GAP = 4
 
 # Function words of each language (fixed values).  Words of two languages vote for both.
 STOPWORDS = {
@@ -48,9 +61,12 @@ STOPWORDS = {
 _ZERO_WIDTH = re.compile("[​-‏⁠﻿­]")
 _CITE = re.compile(r"\s*\[(?:source\s*)?\d+(?:\s*[,\-–]\s*\d+)*\]", re.I)
 _FENCE = re.compile(r"(?ms)^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1`*[ \t]*$|\Z)")
+_OPEN_FENCE = re.compile(r"(?s)(?:```|~~~).*$")
 _SPAN = re.compile(r"`[^`\n]*`")
+_OPEN_SPAN = re.compile(r"`[^`\n]*$")
 _QUOTED = re.compile(r"«[^»\n]*»|“[^”\n]*”|„[^“”\n]*[“”]|\"[^\"\n]*\"|(?<!\w)'[^'\n]{3,}'(?!\w)")
 _NOTHING = re.compile(r"(?i)^(?:answer|response|reply|antwort|réponse|reponse|respuesta|resposta|antwoord|n ?/?a|none|null|nil|no answer|no response|keine antwort|empty|tbd|todo|undefined|nothing|not available|unknown)?$")
+_SAYS = re.compile(r"(?!(?i:sources?)\b)[^\W\d_]{2,}")
 _TOKEN = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"[a-zà-öø-ÿœß]+'?")
 
@@ -59,6 +75,10 @@ def is_empty(answer: str | None) -> bool:
     """Nothing that says anything: blanks, marks, citations alone, or a word for no answer."""
     if answer is None:
         return True
+    # more words than labels of code blocks and of an empty answer could be: something is said
+    enough = 8 + answer.count("```") + answer.count("~~~")
+    if next(islice(_SAYS.finditer(answer), enough, None), None):
+        return False
     text = _CITE.sub(" ", _ZERO_WIDTH.sub("", answer))
     text = re.sub(r"^[ \t]*(?:```+|~~~+)[\w+\-]*[ \t]*$", " ", text, flags=re.M)
     bare = re.sub(r"[\s\W_]+", " ", text.replace("/", "\0")).replace("\0", "/").strip()
@@ -112,101 +132,178 @@ class SuffixAutomaton:
         return out
 
 
-def copied(question: str | None, answer: str | None) -> tuple[float, float]:
-    """How much of the answer is copied from the question, and of the question into the answer, in runs of COPY_RUN tokens."""
-    q = [t.lower() for t in _TOKEN.findall(question or "")]
-    text = _CITE.sub(" ", answer or "")
+@lru_cache(maxsize=4096)
+def _prompt(question: str) -> tuple[list[str], frozenset[str], SuffixAutomaton]:
+    """The words of a prompt and its automaton, made once for all answers to it within a task."""
+    tokens = _TOKEN.findall(question.lower())
+    return tokens, frozenset(tokens), SuffixAutomaton(tokens)
+
+
+def _covered(automaton: SuffixAutomaton, tokens: list[str], run: int) -> float:
+    hit = [False] * len(tokens)
+    for i, n in enumerate(automaton.matches(tokens)):
+        if n >= run:
+            hit[i - n + 1 : i + 1] = [True] * n
+    return sum(hit) / len(tokens)
+
+
+def copies(question: str | None, answer: str | None) -> bool:
+    """Whether the answer only repeats the question: most of it lies in runs of the question and most of the question in runs of it.
+
+    Copied words are words of the question, so an answer with too few of them needs no automaton.
+    """
+    if not question or not answer:
+        return False
+    q, words, automaton = _prompt(question)
+    text = _CITE.sub(" ", answer)
     label = re.match(r"\s*[^:\n`?]{2,40}:\s+(?=\S)", text)  # "You asked: ..."
-    a = [t.lower() for t in _TOKEN.findall(text[label.end() :] if label else text)]
-    if not q or not a:
-        return 0.0, 0.0
+    a = _TOKEN.findall((text[label.end() :] if label else text).lower())
+    if not q or not a or len([t for t in a if t in words]) < COPIED_ANSWER * len(a):
+        return False
     run = min(COPY_RUN, len(q))
-    shares = []
-    for inner, outer in ((q, a), (a, q)):
-        hit = [False] * len(outer)
-        for i, n in enumerate(SuffixAutomaton(inner).matches(outer)):
-            if n >= run:
-                hit[i - n + 1 : i + 1] = [True] * n
-        shares.append(sum(hit) / len(outer))
-    return shares[0], shares[1]
+    return _covered(automaton, a, run) >= COPIED_ANSWER and _covered(SuffixAutomaton(a), q, run) >= COPIED_QUESTION
 
 
 def prose_of(text: str) -> str:
     """The text without code, citations and quotations."""
-    text = _FENCE.sub("\n", text)
-    text = re.sub(r"(?s)(?:```|~~~).*$", "\n", text)
-    text = _CITE.sub(" ", _SPAN.sub(" X ", text))
-    return re.sub(r"`[^`\n]*$", " ", text)
+    if "```" in text or "~~~" in text:
+        text = _OPEN_FENCE.sub("\n", _FENCE.sub("\n", text))
+    if "[" in text:
+        text = _CITE.sub(" ", _SPAN.sub(" X ", text) if "`" in text else text)
+    elif "`" in text:
+        text = _SPAN.sub(" X ", text)
+    return _OPEN_SPAN.sub(" ", text) if "`" in text else text
+
+
+_CONTRACTED = (("can't", "can not"), ("cannot", "can not"), ("won't", "will not"), ("shan't", "shall not"), ("n't", " not"), ("'m ", " am "), ("'d ", " would "), ("'ll ", " will "), ("'ve ", " have "), ("'re ", " are "), ("i'm", "i am"))
+_WORDS_OF_SENTENCE = re.compile(r"[a-zà-öø-ÿœß]+(?:-[a-z]+)*")
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Saying what the excerpts lack is no refusal.
+_ABOUT_SOURCES = re.compile(r"\b(?:excerpts?|snippets?|sources?|context|repository)\b")
+
+
+class WordAutomaton:
+    """Runs of words and word classes as one automaton: a set of states is moved along the words of a sentence."""
+
+    def __init__(self, runs: tuple[str, ...], classes: dict[str, str], gap: int = GAP):
+        of: dict[str, list[str]] = {}
+        for name, words in classes.items():
+            for w in words.split():
+                of.setdefault(w, []).append(name)
+        self.steps: list[dict[str, list[int]]] = [{}]  # of each state: word or class to the states after it
+        self.jumps: list[list[int]] = [[]]  # states entered without a word
+        self.loops: list[int | None] = [None]  # state entered by any word
+        self.final: set[int] = set()
+        for run in runs:
+            at = 0
+            for part in run.split():
+                if part in "~?":
+                    ends = [at]
+                    for _ in range(gap if part == "~" else 1):
+                        new = self._state()
+                        self.loops[ends[-1]] = new
+                        ends.append(new)
+                    after = self._state()
+                    for e in ends:
+                        self.jumps[e].append(after)
+                    at = after
+                else:
+                    new = self._state()
+                    self.steps[at].setdefault(part, []).append(new)
+                    at = new
+            self.final.add(at)
+        self.names = {w: (w, *of.get(w, ())) for w in {*of, *(p for r in runs for p in r.split())}}
+        self.first = {w for w, keys in self.names.items() if any(k in self.steps[0] for k in keys)}
+
+    def _state(self) -> int:
+        self.steps.append({})
+        self.jumps.append([])
+        self.loops.append(None)
+        return len(self.steps) - 1
+
+    def accepts(self, words: list[str]) -> bool:
+        """Whether some run occurs among the words."""
+        now: set[int] = set()
+        for w in words:
+            if not now and w not in self.first:
+                continue
+            keys = self.names.get(w, ())
+            after: list[int] = [s for k in keys for s in self.steps[0].get(k, ())]
+            for state in now:
+                for k in keys:
+                    after += self.steps[state].get(k, ())
+                if self.loops[state] is not None:
+                    after.append(self.loops[state])
+            now = set()
+            while after:
+                state = after.pop()
+                if state in self.final:
+                    return True
+                if state not in now:
+                    now.add(state)
+                    after += self.jumps[state]
+        return False
 
 
 @lru_cache(maxsize=1)
-def _refusal_automaton():
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    for phrase in REFUSALS:
-        automaton.add_word(phrase, phrase)
-    automaton.make_automaton()
-    return automaton
-
-
-#: Subjects of the first person that make a phrase a refusal of the speaker's own; quotations are removed before.
-_ABOUT_SOURCES = re.compile(r"(?i)\b(?:excerpts?|sources?|snippets?|repository|context)\b[^.!?\n]*\b(?:do(?:es)? not|don't|cannot|can't)\b|\bfrom the (?:sources|excerpts)\b|\bin the (?:excerpts|sources)\b")
+def _refusal_automaton() -> tuple[WordAutomaton, re.Pattern[str]]:
+    automaton = WordAutomaton(REFUSALS, SLOTS)
+    return automaton, re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, automaton.first))) + r")\b")
 
 
-def refuses(answer: str | None) -> bool:
-    """Whether a sentence of the answer's prose declines to answer; saying what the excerpts lack doesn't count."""
-    if not answer:
+def refuses(prose: str) -> bool:
+    """Whether a sentence of plain prose (``spoken``) declines to answer; saying what the excerpts lack doesn't count."""
+    automaton, begins = _refusal_automaton()
+    if not begins.search(prose):
         return False
-    prose = _QUOTED.sub(" ", prose_of(answer).replace("’", "'").lower())
-    for sentence in re.split(r"(?<=[.!?])\s+|\n+", prose):
-        flat = " ".join(sentence.split())
-        if not _ABOUT_SOURCES.search(flat) and next(_refusal_automaton().iter(flat), None):
-            return True
+    for sentence in _SENTENCE_END.split(prose):
+        if begins.search(sentence) and not _ABOUT_SOURCES.search(sentence):
+            for short, long in _CONTRACTED:
+                sentence = sentence.replace(short, long)
+            if automaton.accepts(_WORDS_OF_SENTENCE.findall(sentence)):
+                return True
     return False
 
 
+def spoken(text: str | None) -> str:
+    """The prose of a text in lower case, without code, citations and quotations."""
+    prose = prose_of(text or "").replace("’", "'").lower()
+    return _QUOTED.sub(" ", prose) if any(q in prose for q in "\"'«“„") else prose
+
+
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
+_DELIMITER = re.compile(r"\\.|\"\"\"|'''|[\"'()\[\]{}\n]", re.S)
 
 
 def _open_delimiters(code: str) -> bool:
     """Whether brackets or quotes of a piece of code are still open at its end."""
     stack: list[str] = []
     quote = ""
-    i = 0
-    while i < len(code):
-        c = code[i]
+    for m in _DELIMITER.finditer(code):
+        mark = m[0]
         if quote:
-            if c == "\\":
-                i += 1
-            elif code.startswith(quote, i):
-                i += len(quote) - 1
+            if mark == quote or (mark == "\n" and len(quote) == 1):
                 quote = ""
-            elif c == "\n" and len(quote) == 1 and quote != "`":
+            elif len(mark) == 3 and mark[0] == quote:  # three single ones: closed, opened and closed
                 quote = ""
-        elif code.startswith(('"""', "'''"), i):
-            quote = code[i : i + 3]
-            i += 2
-        elif c in "\"'":
-            quote = c
-        elif c in "([{":
-            stack.append(c)
-        elif c in _CLOSERS and stack:
-            if stack[-1] == _CLOSERS[c]:
-                stack.pop()
-        i += 1
+        elif mark[0] in "\"'":
+            quote = mark
+        elif mark in "([{":
+            stack.append(mark)
+        elif mark in _CLOSERS and stack and stack[-1] == _CLOSERS[mark]:
+            stack.pop()
     return bool(stack) or len(quote) == 3
 
 
 def is_truncated(answer: str | None) -> bool:
-    """Whether the answer ends in the middle of a sentence or of code."""
-    if not answer or is_empty(answer):
+    """Whether an answer that says something ends in the middle of a sentence or of code."""
+    if not answer:
         return False
-    text = _ZERO_WIDTH.sub("", answer).rstrip()
-    fences = re.findall(r"(?m)^[ \t]*(?:```+|~~~+)", text)
+    text = (answer if answer.isascii() else _ZERO_WIDTH.sub("", answer)).rstrip()
+    fences = re.findall(r"(?m)^[ \t]*(?:```+|~~~+)", text) if "```" in text or "~~~" in text else ()
     if len(fences) % 2:
         return True
-    if re.search(r"(?m)^[ \t]*(?:```+|~~~+)[ \t]*\Z", text):  # ends with a closed block
+    if fences and re.search(r"(?m)^[ \t]*(?:```+|~~~+)[ \t]*\Z", text):  # ends with a closed block
         return _open_delimiters(re.split(r"(?m)^[ \t]*(?:```+|~~~+)[^\n]*$", text)[-2])
     line = text.rsplit("\n", 1)[-1]
     if re.search(r"\[\d*(?:\s*[,\-–]\s*\d*)*$", line):  # an open citation
@@ -239,27 +336,39 @@ def _stop_index() -> dict[str, tuple[str, ...]]:
     return {w: tuple(v) for w, v in index.items()}
 
 
-def language_votes(text: str | None) -> dict[str, float]:
+#: Letters that only one of the languages writes (fixed values).
+LETTERS = (("de", "äöüß"), ("fr", "êèëùûœîâ"), ("es", "ñ¿¡"), ("pt", "ãõ"), ("nl", "ĳ"))
+
+
+def language_votes(prose: str) -> dict[str, float]:
     """Votes for each language: each stopword of the prose shares one vote among its languages, letters of one language half a vote."""
     votes = dict.fromkeys(STOPWORDS, 0.0)
-    prose = _QUOTED.sub(" ", prose_of(text or "").replace("’", "'").lower())
-    for w in _WORD.findall(prose):
-        langs = _stop_index().get(w)
+    index = _stop_index()
+    for w, n in Counter(_WORD.findall(prose)).items():
+        langs = index.get(w)
         if langs is None and w.endswith("'"):
-            langs = _stop_index().get(w[:-1])
+            langs = index.get(w[:-1])
         for lang in langs or ():
-            votes[lang] += 1 / len(langs)
-    for lang, letters in (("de", "äöüß"), ("fr", "êèëùûœîâ"), ("es", "ñ¿¡"), ("pt", "ãõ"), ("nl", "ĳ")):
-        votes[lang] += 0.5 * sum(prose.count(c) for c in letters)
+            votes[lang] += n / len(langs)
+    if not prose.isascii():
+        for lang, letters in LETTERS:
+            votes[lang] += 0.5 * sum(prose.count(c) for c in letters)
     return votes
 
 
-def answers_in_other_language(question: str | None, answer: str | None, least: float = 2.0, lead: float = 1.6) -> bool:
-    """Whether the votes of the answer's prose clearly name another language than those of the question."""
-    if not question or not answer:
+@lru_cache(maxsize=4096)
+def _prompt_votes(question: str) -> tuple[str, dict[str, float]]:
+    votes = language_votes(spoken(question))
+    return max(votes, key=votes.get), votes
+
+
+def answers_in_other_language(question: str | None, prose: str, least: float = 2.0, lead: float = 1.6) -> bool:
+    """Whether the votes of the answer's prose (``spoken``) clearly name another language than those of the question."""
+    if not question or not prose.strip():
         return False
-    q, a = language_votes(question), language_votes(answer)
-    ql, al = max(q, key=q.get), max(a, key=a.get)
+    ql, q = _prompt_votes(question)
+    a = language_votes(prose)
+    al = max(a, key=a.get)
     return ql != al and q[ql] >= 1.0 and a[al] >= least and a[al] > lead * a[ql] and q[ql] > q[al]
 
 
@@ -267,17 +376,16 @@ def defects(question: str | None, answer: str | None) -> list[str]:
     """All defects of a pair; an empty answer has no other."""
     if is_empty(answer):
         return ["empty"]
-    of_answer, of_question = copied(question, answer)
-    copies = of_answer >= COPIED_ANSWER and of_question >= COPIED_QUESTION
+    copied, prose = copies(question, answer), spoken(answer)
     out = []
     # a copied question may lack its mark; it is cut off only where a name is
-    if is_truncated(answer) and not (copies and (answer or "").count("`") % 2 == 0):
+    if is_truncated(answer) and not (copied and answer.count("`") % 2 == 0):
         out.append("truncated")
-    if refuses(answer):
+    if refuses(prose):
         out.append("refusal")
-    if copies:
+    if copied:
         out.append("copies_question")
-    if answers_in_other_language(question, answer):
+    if answers_in_other_language(question, prose):
         out.append("other_language")
     return out
 

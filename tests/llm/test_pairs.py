@@ -30,6 +30,29 @@ def test_questions_in_other_languages():
     assert pairs.defects(None, "A sound answer.") == []
 
 
+@pytest.mark.parametrize(
+    "sentence, declines",
+    [
+        ("I can not answer.", True), ("Sorry, that is off limits for me.", True), ("I'm really not able to go into that.", True), ("My rules don't allow me to say more.", True), ("We're unable to assist.", True), ("Das darf ich nicht beantworten.", True), ("Je ne peux pas vous aider.", True), ("Ik kan je daar niet mee helpen.", True),
+        ("The loader will refuse to open files over 2 GB.", False), ("The server cannot provide a token until the user logs in.", False), ("Guests are not permitted to write to the bucket.", False), ("We cannot share the lock across threads.", False), ("I can't answer that from the excerpts.", False), ("Das Skript kann dabei nicht helfen.", False), ("The policy does not allow retries.", False), ("", False),
+    ],
+)
+def test_refusals_need_a_speaker(sentence, declines):
+    assert pairs.refuses(pairs.spoken(sentence)) is declines
+
+
+def test_word_automaton_against_brute_force():
+    rng = random.Random(4)
+    runs = ("a ~ b", "A ? c", "b c A")
+    automaton = pairs.WordAutomaton(runs, {"A": "d e"}, gap=2)
+    for _ in range(500):
+        words = [rng.choice("abcdef") for _ in range(rng.randrange(8))]
+        text = "".join(words)
+        import re
+
+        assert automaton.accepts(words) == bool(re.search("a.{0,2}b|[de].?c|bc[de]", text)), text
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(2)
     for _ in range(200):
