@@ -1,4 +1,4 @@
-"""Values of configuration files with their full key paths and offsets: YAML, JSON, TOML, INI, properties and env files.
+"""Values of configuration files with their full key paths and offsets: YAML, JSON, TOML, INI, properties, env and XML files.
 
 The texts are pieces of files, so nothing is refused: what isn't understood is passed over, brackets that were opened before the
 piece are ignored, and those left open end with it.  Offsets are code points and enclose the value without its quotes.
@@ -16,6 +16,7 @@ FORMATS = {
     **dict.fromkeys(("yaml", "yml"), "yaml"),
     **dict.fromkeys(("json", "jsonc", "json5", "ipynb", "webmanifest"), "json"),
     **dict.fromkeys(("toml", "ini", "cfg", "conf", "cnf", "config", "properties", "props", "env", "envrc", "npmrc", "pypirc"), "lines"),
+    **dict.fromkeys(("xml", "plist", "csproj", "resx"), "xml"),
 }
 _KEY = r"(?:\"(?:[^\"\\\n]|\\.)*\"|'[^'\n]*'|[^\s\"'#\[\]{},&*!|>%@`:-][^\n:#{}\[\],]*?|-[^\s:][^\n:#{}\[\],]*?)"
 _ENTRY = re.compile(r"([ \t]*)((?:-[ \t]+)*)(?:\?[ \t]+)?(" + _KEY + r")[ \t]*:(?=[ \t]|\r?$)[ \t]*")
@@ -42,6 +43,8 @@ def config_values(path: str | None, text: str) -> Iterator[Value]:
         yield from _yaml(text)
     elif kind == "json":
         yield from _flow(text, 0, (), whole=True)[0]
+    elif kind == "xml" or (kind == "lines" and text.lstrip().startswith("<") and path.lower().endswith(".config")):
+        yield from _xml(text)
     elif kind == "lines":
         yield from _lines(text)
 
@@ -220,3 +223,48 @@ def _lines(text: str) -> Iterator[Value]:
                     end = text.find("\n", end)
                     after = len(text) if end < 0 else end + 1
         at = after
+
+
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z_][\w:.\-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>|<[!?][^>]*>", re.S)
+_ATTRIBUTE = re.compile(r"([A-Za-z_][\w:.\-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+_NAMING = {"name", "key", "id"}
+
+
+def _xml(text: str) -> Iterator[Value]:
+    """Texts of elements and values of attributes; ``<add key="a" value="b"/>`` and ``<key>a</key><string>b</string>`` give ``a``."""
+    stack: list[str] = []
+    named: dict[int, str] = {}  # by depth the text of a key element, until its value was read
+    at = 0
+
+    def value(start: int, end: int, tag: str | None) -> Iterator[Value]:
+        body = text[start:end]
+        if body.strip():
+            lead = start + len(body) - len(body.lstrip())
+            if tag == "key":
+                named[len(stack) - 1] = body.strip()
+            else:
+                parts = (*stack[:-1], named.pop(len(stack) - 1)) if len(stack) - 1 in named else tuple(stack)
+                yield parts, lead, start + len(body.rstrip())
+
+    for m in _TAG.finditer(text):
+        tag = stack[-1] if stack else None
+        if m["name"] or m["data"] is not None:
+            yield from value(at, m.start(), tag)
+        if m["data"] is not None:
+            yield from value(m.start("data"), m.end("data"), tag)
+        elif m["name"] and m["close"]:
+            if m["name"] in stack:  # those opened within it are closed too
+                del stack[len(stack) - 1 - stack[::-1].index(m["name"]) :]
+        elif m["name"]:
+            stack.append(m["name"])
+            pairs = [(a[1], a.start(2) if a[2] is not None else a.start(3), a.end(2) if a[2] is not None else a.end(3)) for a in _ATTRIBUTE.finditer(text, m.start("rest"), m.end("rest"))]
+            name = next((text[b:c] for a, b, c in pairs if a.lower() in _NAMING), None)
+            for a, b, c in pairs:
+                if c > b and a.lower() not in _NAMING:
+                    yield (*stack, *((name,) if name and a.lower() == "value" else (a,))), b, c
+            if m["empty"]:
+                stack.pop()
+            elif name:
+                stack.append(name)
+        at = m.end()
+    yield from value(at, len(text), stack[-1] if stack else None)

@@ -2,14 +2,16 @@
 
 Configuration files, told by their path, are parsed into key paths with the offsets of their values (``config_values``).  A value
 counts when a part of its key path names something secret, no part below that names something else, and the value has the shape
-of a secret.  In all texts lines are searched for assignments too, whose value counts by the last part of its key; keys with a public format, user information in URLs, authorization headers, command options, remarks and
-private key blocks count by their own forms.  Masking overwrites exactly the characters of the value, so line breaks, quotes,
-offsets and everything around stay as they were.
+of a secret.  In all texts lines are searched for assignments too, whose value counts by the last part of its key; keys with a
+public format, user information in URLs, authorization headers, command options, remarks and private key blocks count by their
+own forms.  Masking is spliced into the bytes of the text: each byte of a value but line ends becomes ``MASK``, a letter that is
+a plain value in every format, so line breaks, quotes, byte offsets and everything around stay as they were.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +21,10 @@ from pyspark.sql import DataFrame
 from quillon.llm.config_values import config_values
 
 
+#: What bytes of a value become: a letter, since ``*`` or ``#`` would begin something else in YAML, INI or a shell.
+MASK = b"x"
+
+
 class Finding(NamedTuple):
     start: int
     end: int
@@ -80,7 +86,7 @@ def is_placeholder(value: str) -> bool:
 
 def password_shape(value: str) -> bool:
     """A password: no plain word, path, identifier or number."""
-    if not 6 <= len(value) <= 256 or any(c.isspace() for c in value) or is_placeholder(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or is_placeholder(value):
         return False
     low, up = any(c.islower() for c in value), any(c.isupper() for c in value)
     digit, mark = any(c.isdigit() for c in value), any(not c.isalnum() and c not in "_-./" for c in value)
@@ -93,7 +99,7 @@ def password_shape(value: str) -> bool:
 
 def key_shape(value: str) -> bool:
     """A key or token: long, and hexadecimal, a UUID, or a mixture of letters and digits."""
-    if not 16 <= len(value) <= 4096 or any(c.isspace() for c in value) or is_placeholder(value):
+    if len(value) < 16 or any(c.isspace() for c in value) or is_placeholder(value):
         return False
     if _UUID.match(value) or _HEX.match(value):
         return True
@@ -144,27 +150,58 @@ def secret_below(kind: str, value: str) -> bool:
     return key_shape(value) or (password_shape(value) and (kind == "password" or any(not c.isalnum() and c not in "_-./@:" for c in value)))
 
 
-def key_path(text: str, at: int, key: str) -> str:
-    """The path of a configuration key at an offset: its section or the less indented keys above it, then the key."""
+_SECTION = re.compile(r"^[ \t]*\[+([^\]\n]+)\]+[ \t]*$", re.M)
+_PARENT = re.compile(r"\s*-?\s*[\"']?([\w.\-]+)[\"']?\s*:\s*[{\[]?\s*$")
+
+
+def key_path(text: str, at: int, key: str, sections: list[tuple[int, str]]) -> str:
+    """The path of a key at an offset: the less indented keys above it, or its section, then the key.
+
+    ``sections`` are the offsets and names of all section lines of the text.
+    """
     start = text.rfind("\n", 0, at) + 1
-    indent = at - start - len(text[start:at].lstrip("\"' \t-")) if text[start:at].strip("\"' \t-") == "" else None
-    if indent is None:
+    if text[start:at].strip("\"' \t-"):
         return key
     parents: list[str] = []
     depth = len(text[start:at]) - len(text[start:at].lstrip(" \t"))
-    for line in reversed(text[:start].splitlines()[-200:]):
-        if section := re.match(r"\s*\[+([^\]\n]+)\]+\s*$", line):
-            parents.append(section[1])
-            break
+    last = bisect_left(sections, (start, "")) - 1
+    floor = sections[last][0] if last >= 0 else -1
+    while depth and start > floor + 1 and start > 0:
+        stop = start - 1
+        start = text.rfind("\n", 0, stop) + 1
+        line = text[start:stop]
         width = len(line) - len(line.lstrip(" \t"))
-        if width < depth and (parent := re.match(r"\s*-?\s*[\"']?([\w.\-]+)[\"']?\s*:\s*[{\[]?\s*$", line)):
+        if width < depth and (parent := _PARENT.match(line)):
             parents.append(parent[1])
             depth = width
-            if not depth:
-                break
+    if last >= 0:
+        parents.append(sections[last][1])
     return ".".join([*reversed(parents), key])
 
 
+# The lines of a private key whose END mark is missing: base64 with digits among it, escaped or quoted line ends between.
+_KEY_LINE = re.compile(r"(?:\\[nr]|[\s\"'`+,#*|>])*(?:(?:Proc-Type|DEK-Info):[^\n]*|(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{16,}={0,2}(?![\w(.]))")
+_KEY_REST = re.compile(r"(?:\\[nr]|[\s\"'`+])+[A-Za-z0-9+/]{1,15}={1,2}(?![\w=])")
+_KEY_BODY = re.compile(r"(?<![A-Za-z0-9+/])(?!x{16})[A-Za-z0-9+/]{16,}")
+
+
+def private_keys(text: str) -> Iterator[tuple[int, int]]:
+    """Where each private key begins, at its BEGIN mark, and where its body ends: at its END mark or after its last line."""
+    begins = list(PRIVATE_KEY.finditer(text))
+    for k, m in enumerate(begins):
+        limit = begins[k + 1].start() if k + 1 < len(begins) else len(text)
+        if stop := PRIVATE_END.search(text, m.end(), limit):
+            end = stop.start()
+        else:
+            end = m.end()
+            while line := _KEY_LINE.match(text, end, limit):
+                end = line.end()
+            if end > m.end() and (rest := _KEY_REST.match(text, end, limit)):
+                end = rest.end()
+        if _KEY_BODY.search(re.sub(r"\\[nr]", "\n", text[m.end() : end])) or not text[m.end() :].strip(" \t\r\n\"'`"):
+            yield m.start(), end
+
+
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
     while end > start and text[end - 1] in ",;":
         end -= 1
@@ -201,12 +238,8 @@ def find(text: str | None, joined: bool = True, path: str | None = None) -> list
             if (password_shape if kind == "password" else key_shape)(value) if own else secret_below(kind, value):
                 add(start, end, kind, ".".join(parts))
     if "PRIVATE KEY" in text:
-        for m in PRIVATE_KEY.finditer(text):
-            stop = PRIVATE_END.search(text, m.end())
-            body_end = stop.start() if stop else len(text)
-            body = text[m.end() : body_end]
-            if re.search(r"[A-Za-z0-9+/]{16,}", body[:400]) or not text[m.end() :].strip(" \t\r\n\"'`"):
-                add(m.start(), body_end, "private_key", "private_key")
+        for start, end in private_keys(text):
+            add(start, end, "private_key", "private_key")
     for m in PUBLIC_FORMATS.finditer(text):
         if not is_placeholder(m[0]) and not re.search(r"(?i)example|x{6}", m[0]):
             add(m.start(), m.end(), "provider_key", "")
@@ -220,6 +253,7 @@ def find(text: str | None, joined: bool = True, path: str | None = None) -> list
         for m in HEADER.finditer(text):
             if not is_placeholder(m[2]) and key_shape(m[2]):
                 add(m.start(2), m.end(2), "authorization", m[1].lower())
+    sections: list[tuple[int, str]] | None = None
     for m in ASSIGNED.finditer(text):
         kind = key_class(m[1])
         group = "quoted" if m["quoted"] is not None else "bare"
@@ -228,7 +262,9 @@ def find(text: str | None, joined: bool = True, path: str | None = None) -> list
             continue
         start, end = _trim(text, m.start(group), m.end(group)) if group == "bare" else (m.start(group), m.end(group))
         if (password_shape if kind == "password" else key_shape)(text[start:end]):
-            add(start, end, kind, key_path(text, m.start(1), m[1]))
+            if sections is None:
+                sections = [(x.start(), x[1]) for x in _SECTION.finditer(text)]
+            add(start, end, kind, key_path(text, m.start(1), m[1], sections))
     if "pass" in low or "pwd" in low or "token" in low or "key" in low or "secret" in low:
         for m in OPTION.finditer(text):
             if password_shape(m[2]) and not m[2].startswith(("=", ":")):
@@ -268,15 +304,33 @@ def find(text: str | None, joined: bool = True, path: str | None = None) -> list
     return out
 
 
-def redact(text: str | None, findings: list[Finding] | None = None) -> str | None:
-    """The text with every character of each finding overwritten by ``*``; line breaks stay, so all offsets and lines do."""
+def byte_spans(text: str, findings: list[Finding]) -> Iterator[tuple[int, int, int]]:
+    """``(line, start, end)`` of each finding: the line from 1 and the offsets in UTF-8 bytes."""
+    line, at, byte = 1, 0, 0
+    for f in findings:
+        line += text.count("\n", at, f.start)
+        byte += len(text[at : f.start].encode("utf-8", "surrogatepass"))
+        at = f.start
+        yield line, byte, byte + len(text[f.start : f.end].encode("utf-8", "surrogatepass"))
+
+
+_MASKED = re.compile(rb"[^\r\n]")
+_MASKED_KEY = re.compile(rb"(\\[nrt]|-----BEGIN [A-Z0-9 ]+-----)|[A-Za-z0-9+/=]{2,}")
+
+
+def redact(text: str | None, findings: list[Finding] | None = None, path: str | None = None) -> str | None:
+    """The text with the bytes of each finding overwritten by ``MASK``; line ends stay, and of a private key its marks and quotes."""
     if not text:
         return text
+    hits = find(text, path=path) if findings is None else findings
+    raw = text.encode("utf-8", "surrogatepass")
     parts, last = [], 0
-    for f in find(text) if findings is None else findings:
-        parts += [text[last : f.start], re.sub(r"[^\r\n]", "*", text[f.start : f.end])]
-        last = f.end
-    return "".join([*parts, text[last:]])
+    for f, (_, start, end) in zip(hits, byte_spans(text, hits)):
+        value = raw[start:end]
+        masked = _MASKED_KEY.sub(lambda m: m[1] or MASK * len(m[0]), value) if f.kind == "private_key" else _MASKED.sub(MASK, value)
+        parts += [raw[last:start], masked]
+        last = end
+    return b"".join([*parts, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
 def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "text", path_col: str = "path") -> DataFrame:
@@ -290,12 +344,8 @@ def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "text",
         for b in batches:
             rows = []
             for i, text, path in zip(b["id"], b["text"], b["path"]):
-                line, at, byte = 1, 0, 0
-                for f in find(text, path=path):
-                    line += text.count("\n", at, f.start)
-                    byte += len(text[at : f.start].encode("utf-8", "surrogatepass"))
-                    at = f.start
-                    rows.append((i, line, byte, byte + len(text[f.start : f.end].encode("utf-8", "surrogatepass")), f.kind, f.key_path))
+                hits = find(text, path=path)
+                rows += [(i, line, start, end, f.kind, f.key_path) for f, (line, start, end) in zip(hits, byte_spans(text or "", hits))]
             yield pd.DataFrame(rows, columns=["id", "line_no", "start_byte", "end_byte", "kind", "key_path"])
 
     kind = df.schema[id_col].dataType.simpleString()
