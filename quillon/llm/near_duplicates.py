@@ -5,15 +5,16 @@ approximate:
 
 * Records with the same word set form one *class*; the join runs over classes only, so copies never meet in pairs.
 * If ``J(A, B) >= t`` then, under any one order of all words, the first ``|X| - ceil(t |X|) + 1`` words of both sets share
-  a word.  Classes are blocked by those words, rarest first (by a hashed histogram of fixed size).
+  a word.  Classes are blocked by those words, rarest first: words are counted exactly by a group-by, and those of ``FEW``
+  classes or more, at most ``MOST_WORDS``, are ordered by their count; the others, all rarer, come before them by their hash.
 * Within a block the classes carry a parity sketch, of 256 bits, or of 1024 for pairs with a set over ``LONG`` words.  A bit
   differs only where a word is in one set and not the other, so ``popcount(a ^ b) <= |A xor B| <= (1-t)/(1+t) (|A|+|B|)``
   for every true pair.  Sketches lie in tiles; tile pairs whose population counts differ beyond that radius are skipped, the
   others are compared with numpy exclusive-or and bit counts.
 * Pairs within the radius are checked exactly on the word sets.
 
-Blocks that may hold more than ``CELL_ROWS`` classes are cut into cells, and every pair of cells is a task group of its
-own, so no task receives an unbounded block.
+Blocks of more than ``CELL_ROWS`` classes, by their own counts, are cut into cells, and every pair of cells is a task group of
+its own, so no task receives an unbounded block.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 
 from quillon.session import stored
 
-#: Buckets of the word histogram; what is broadcast never exceeds 4 bytes for each.
-BUCKETS = 1 << 18
+#: Words in fewer classes than this need no order among each other: their blocks are small.
+FEW = 16
+#: Counted words that are broadcast, 16 bytes each; with more, FEW is doubled until those left are no more than this.
+MOST_WORDS = 1 << 21
+#: Blocks over CELL_ROWS that are broadcast with their sizes; more of them are joined.
+MOST_BLOCKS = 1 << 18
 #: Classes that one cell of a block may hold before the block is split.
 CELL_ROWS = 1 << 14
 TILE = 64
@@ -53,20 +58,21 @@ def classes_of(df: DataFrame, id_col: str, text_col: str, min_words: int) -> tup
     return members, classes
 
 
-def _histogram(classes: DataFrame) -> np.ndarray:
-    """How many classes hold a word of each hash bucket, an upper bound of a word's frequency; always BUCKETS counters."""
+def _common_words(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common words in ascending order and in how many classes each is, at most ``MOST_WORDS``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            total += np.bincount(np.asarray(b.column(0).flatten()) & (BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    got = classes.select("words").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    Counts are exact.  Any order of words that all classes share gives the same pairs; this one keeps the blocks small.
+    """
+    counts = stored(classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= FEW))
+    level = (F.length(F.bin("n")) - 1).alias("level")
+    levels = {r["level"]: r["count"] for r in counts.groupBy(level).count().collect()}  # at most 63 rows
+    low = FEW.bit_length() - 1
+    while sum(c for at, c in levels.items() if at >= low) > MOST_WORDS:
+        low += 1
+    got = counts.where(F.col("n") >= 1 << low).toArrow()
+    words, n = got.column("word").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order]
 
 
 def _sketches(values: np.ndarray, row: np.ndarray, rows: int, lanes: int) -> np.ndarray:
@@ -77,33 +83,38 @@ def _sketches(values: np.ndarray, row: np.ndarray, rows: int, lanes: int) -> np.
     return np.packbits(flat.reshape(rows, bits), axis=1, bitorder="little").view(np.uint64)
 
 
-def _entries(histogram, threshold: float):
-    """From (key, words) to one row for each word of a class's prefix and each cell pair of that word's block."""
+def _prefixes(common, threshold: float, wide_only: bool = False):
+    """From (key, words) to one row for each word of a class's prefix, with the class's sketch.
+
+    ``wide_only`` gives no more than the words and kinds of blocks that may exceed a cell, to count them.
+    """
 
     def blocked(keys: pa.Array, values: np.ndarray, n: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-        freq = histogram.value
+        names, counts = common.value
         row = np.repeat(np.arange(len(n)), n)
-        sketch = _sketches(values, row, len(n), LANES[kind])
-        common = freq[values & (BUCKETS - 1)]
-        order = np.lexsort((values, common, row))
+        if len(names):
+            at = np.minimum(np.searchsorted(names, values), len(names) - 1)
+            seen = np.where(names[at] == values, counts[at], 0)
+        else:
+            seen = np.zeros(len(values), np.int64)
+        order = np.lexsort((values, seen, row))
         place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
         keep = np.ceil(threshold * n - 1e-9).astype(np.int64)
         taken = order[place < np.repeat(n - keep + 1, n)]
-        who, word, seen = row[taken], values[taken], common[taken]
-        cells = np.maximum(1, -(-seen.astype(np.int64) // CELL_ROWS))
-        mine = (sketch[who, 0] ^ sketch[who, 1]) % cells.astype(np.uint64)
-        times = np.repeat(np.arange(len(taken)), cells)  # one copy for each cell this one is compared with
-        other = np.arange(len(times)) - np.repeat(np.cumsum(cells) - cells, cells)
-        own = mine[times].astype(np.int64)
-        low, high = np.minimum(own, other), np.maximum(own, other)
-        cell = (low << 22 | high << 2) + 2 * kind + (own == high) * (low != high)
-        src, wide = who[times], LANES[kind] * 8
-        for lo in range(0, len(src), 50_000):
-            at = src[lo : lo + 50_000]
+        if wide_only:
+            word = values[taken][seen[taken] > CELL_ROWS]
+            yield pa.record_batch([pa.array(word), pa.array(np.full(len(word), kind, np.int32))], ["word", "kind"])
+            return
+        who, word = row[taken], values[taken]
+        sketch = _sketches(values, row, len(n), LANES[kind])
+        part = ((sketch[:, 0] ^ sketch[:, 1]) & np.uint64(2**31 - 1)).astype(np.int64)
+        wide = LANES[kind] * 8
+        for lo in range(0, len(who), 50_000):
+            at = who[lo : lo + 50_000]
             bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(at), [None, pa.py_buffer(np.ascontiguousarray(sketch[at]))])
             yield pa.record_batch(
-                [pa.array(word[times][lo : lo + 50_000]), pa.array(cell[lo : lo + 50_000]), keys.take(pa.array(at)), pa.array(n[at].astype(np.int32)), bits.cast(pa.binary())],
-                ["word", "cell", "key", "n", "sketch"],
+                [pa.array(word[lo : lo + 50_000]), pa.array(np.full(len(at), kind, np.int32)), pa.array(part[at]), keys.take(pa.array(at)), pa.array(n[at].astype(np.int32)), bits.cast(pa.binary())],
+                ["word", "kind", "part", "key", "n", "sketch"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +130,27 @@ def _entries(histogram, threshold: float):
     return run
 
 
+def _in_cells(classes: DataFrame, common, threshold: float) -> DataFrame:
+    """``(word, cell, key, n, sketch)``: the prefixes, those of blocks over ``CELL_ROWS`` once for each cell they are compared with.
+
+    Bits of ``cell``: the lower and the higher of two cells, 20 each, the kind, and in blocks of several cells the side.
+    """
+    entries = classes.mapInArrow(_prefixes(common, threshold), "word long, kind int, part long, key binary, n int, sketch binary")
+    plain = (F.col("kind") * 2).cast("long").alias("cell")
+    if not len(common.value[1]) or common.value[1].max() <= CELL_ROWS:
+        return entries.select("word", plain, "key", "n", "sketch")
+    sizes = classes.mapInArrow(_prefixes(common, threshold, wide_only=True), "word long, kind int").groupBy("word", "kind").agg(F.count("*").alias("rows"))
+    sizes = stored(sizes.where(F.col("rows") > CELL_ROWS).select("word", "kind", F.ceil(F.col("rows") / CELL_ROWS).cast("long").alias("cells")))
+    blocks = sizes.count()
+    if not blocks:
+        return entries.select("word", plain, "key", "n", "sketch")
+    cut = entries.join(F.broadcast(sizes) if blocks <= MOST_BLOCKS else sizes, ["word", "kind"], "left").withColumn("cells", F.coalesce("cells", F.lit(1).cast("long")))
+    cut = cut.withColumn("own", F.pmod("part", "cells")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = ((F.col("own") == high) & (low != high)).cast("long")
+    return cut.select("word", (F.shiftleft(low, 22) + F.shiftleft(high, 2) + F.col("kind") * 2 + side).alias("cell"), "key", "n", "sketch")
+
+
 def _compare(block: np.ndarray, side: np.ndarray, sketch: np.ndarray, n: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within one block whose sketches lie within the radius; rows come sorted by (block, population count).
 
@@ -209,9 +241,9 @@ def _pairs(ratio: float):
 
 def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(key_a, key_b, shared, size_a, size_b)``: each pair of classes whose word sets are at least ``threshold`` similar."""
-    histogram = classes.sparkSession.sparkContext.broadcast(_histogram(classes))
+    common = classes.sparkSession.sparkContext.broadcast(_common_words(classes))
     ratio = (1 - threshold) / (1 + threshold)
-    entries = classes.mapInArrow(_entries(histogram, threshold), "word long, cell long, key binary, n int, sketch binary")
+    entries = _in_cells(classes, common, threshold)
     block = ("word", F.expr("shiftright(cell, 2)"))
     near = entries.repartition(*block).sortWithinPartitions(*block).mapInArrow(_pairs(ratio), "x binary, y binary")
     near = stored(near.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct())

@@ -56,6 +56,19 @@ def test_hot_blocks_are_split_into_cells_without_loss(spark, monkeypatch):
     assert nd.near_duplicate_pairs(df).count() == 40 * 39 // 2
 
 
+@pytest.mark.parametrize("few, most, blocks", [(1, 1 << 21, 1 << 18), (2, 5, 1 << 18), (1, 1 << 21, 0)])
+def test_any_bound_of_counted_words_gives_the_same_pairs(spark, monkeypatch, few, most, blocks):
+    monkeypatch.setattr(nd, "FEW", few)
+    monkeypatch.setattr(nd, "MOST_WORDS", most)
+    monkeypatch.setattr(nd, "MOST_BLOCKS", blocks)
+    monkeypatch.setattr(nd, "CELL_ROWS", 8)
+    rows = [(f"id{i:04d}", t) for i, t in enumerate(texts(seed=9))]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert {(r["id_a"], r["id_b"]) for r in nd.near_duplicate_pairs(df).collect()} == brute(rows)
+    words, n = nd._common_words(nd.classes_of(df, "id", "text", 25)[1])
+    assert len(words) <= most and (len(n) == 0 or n.min() >= few)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (50, 50)]
     out = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges, "key_a int, key_b int")).collect()}
