@@ -3,10 +3,11 @@
 Vendored copies are found by their content.  The normalised token stream of each code file is hashed in runs of ``GRAM``
 tokens and winnowed: of every ``WINDOW`` consecutive hashes the smallest is a fingerprint.  Two files are alike when the
 fingerprints of both are those of either to ``LEAST_ALIKE`` or more.  A file is a common origin when the files like it, its own
-copies included, lie in ``LEAST_REPOS`` or more repositories, or in two of which one says of itself, by notice or place, that it
-is a third-party copy; a file is vendored when it is like one common origin.  So edited copies are found, and files put together
-from functions that come from several places are not.  A file of fewer than ``LEAST_PRINTS`` fingerprints is like those with the
-same tokens throughout, if it has ``LEAST_TOKENS`` of them: shorter ones (an empty package, an import) are the same by chance.
+copies included, lie in ``LEAST_REPOS`` or more repositories; a file is vendored when it is like one common origin.  So edited
+copies are found, and files put together from functions that come from several places are not.  A file of fewer than
+``LEAST_PRINTS`` fingerprints is like those with the same tokens throughout, if it has ``LEAST_TOKENS`` of them: shorter ones (an
+empty package, an import) are the same by chance.  No name, place or notice takes part in this.  Copies that recur nowhere can't
+be told by recurrence; those that say what they are get a reason of their own, ``third_party``.
 
 Files with the same fingerprints form one class; the join of classes is the exact one of ``near_duplicates``.  Of each class
 only ``LEAST_REPOS`` repositories are carried on, as more decide nothing.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from quillon.llm.near_duplicates import similar_classes
 from quillon.session import stored
 
-GRAM, WINDOW, LEAST_REPOS, LEAST_ALIKE, LEAST_PRINTS, LEAST_TOKENS = 6, 8, 3, 0.75, 12, 20
+GRAM, WINDOW, LEAST_REPOS, LEAST_ALIKE, LEAST_PRINTS, LEAST_TOKENS = 6, 8, 2, 0.75, 12, 20
 
 CODE = {"py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "css", "scss", "less", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "rs", "kt", "swift", "scala", "sh", "bash", "lua", "pl", "sql", "m", "vue"}
 COMMANDS = {"sh", "bash", "sql"}  # lists of commands that people write line by line
@@ -260,31 +261,30 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def source_kinds(df: DataFrame, least_repos: int = LEAST_REPOS, least_alike: float = LEAST_ALIKE) -> DataFrame:
-    """``(repo_id, path, reason, shared_prints)``: one row per file; ``reason`` is generated, lock, minified, data, vendored or null.
+def source_kinds(df: DataFrame, least_repos: int = LEAST_REPOS, least_alike: float = LEAST_ALIKE, marks: bool = True) -> DataFrame:
+    """``(repo_id, path, reason, shared_prints)``: one row per file; ``reason`` is generated, lock, minified, data, vendored, third_party or null.
 
-    ``shared_prints`` is the likeness to the common origin a file is most like, 1 where it is one itself, 0 without one, and null
-    for what isn't compared: no code, data, no text, or too few tokens.  A file listed twice counts once (a reason found in one
-    listing holds).  Null paths and texts are judged by what is there.  Files in vendor folders and with notices are vendored
-    whether or not copies exist.
+    Fingerprints alone decide ``vendored``.  ``third_party`` is a file that recurs nowhere but says by its notice or place that it is
+    a copy; ``marks=False`` leaves those out.  ``shared_prints`` is the likeness to the common origin a file is most like, 1 where it
+    is one itself, 0 without one, and null for what isn't compared: no code, data, no text, or too few tokens.  A file listed twice
+    counts once (a reason found in one listing holds).  Null paths and texts are judged by what is there.
     """
     seen = df.select("repo_id", "path", "text").mapInArrow(_scan, "repo_id string, path string, reason string, marked boolean, key binary, prints array<long>")
-    files = stored(seen.withColumns({"file": F.xxhash64("repo_id", "path"), "repo": F.xxhash64("repo_id")}))
+    files = stored(seen.withColumns({"file": F.unhex(F.md5(F.to_json(F.struct("repo_id", "path")))), "repo": F.unhex(F.md5(F.coalesce("repo_id", F.lit(""))))}))
     compared = files.where("key is not null")
     classes = stored(compared.where("prints is not null").groupBy("key").agg(F.first("prints").alias("words")))
     near = similar_classes(classes, least_alike).select("key_a", "key_b", (F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("alike"))
     near = stored(near)
-    # repositories of each class, one with a mark first
-    first = Window.partitionBy("key").orderBy(F.col("marked").desc(), "repo")
-    places = compared.groupBy("key", "repo").agg(F.max("marked").alias("marked")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max(2, least_repos)).drop("nth")
-    places = stored(places)
+    # of each class no more repositories than decide
+    first = Window.partitionBy("key").orderBy("repo")
+    places = stored(compared.select("key", "repo").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= least_repos).drop("nth"))
     both = near.select(F.col("key_a").alias("origin"), F.col("key_b").alias("key"), "alike").unionByName(near.select(F.col("key_b").alias("origin"), F.col("key_a").alias("key"), "alike"))
-    around = both.join(places, "key").select("origin", "repo", "marked").unionByName(places.select(F.col("key").alias("origin"), "repo", "marked"))
-    spread = around.groupBy("origin", "repo").agg(F.max("marked").alias("marked")).groupBy("origin").agg(F.count("*").alias("repos"), F.max("marked").alias("marked"))
-    origins = stored(spread.where((F.col("repos") >= least_repos) | ((F.col("repos") >= 2) & F.col("marked"))).select("origin"))
+    around = both.join(places, "key").select("origin", "repo").unionByName(places.select(F.col("key").alias("origin"), "repo"))
+    origins = stored(around.distinct().groupBy("origin").agg(F.count("*").alias("repos")).where(F.col("repos") >= least_repos).select("origin"))
     like = both.join(origins, "origin").select("key", "alike").unionByName(origins.select(F.col("origin").alias("key"), F.lit(1.0).alias("alike"))).groupBy("key").agg(F.max("alike").alias("alike"))
     shared = compared.select("file", "key").join(like, "key").groupBy("file").agg(F.max("alike").alias("alike"))
     one = files.groupBy("file").agg(F.first("repo_id").alias("repo_id"), F.first("path").alias("path"), F.max("reason").alias("reason"), F.max("marked").alias("marked"), F.max(F.col("key").isNotNull()).alias("compared"))
-    vendored = F.col("marked") | F.col("alike").isNotNull()
     out = one.join(shared, "file", "left")
-    return out.select("repo_id", "path", F.coalesce("reason", F.when(vendored, "vendored")).alias("reason"), F.round(F.when(F.col("compared"), F.coalesce("alike", F.lit(0.0))), 4).alias("shared_prints"))
+    said = F.when(F.col("marked"), "third_party") if marks else F.lit(None).cast("string")
+    reason = F.coalesce("reason", F.when(F.col("alike").isNotNull(), "vendored"), said)
+    return out.select("repo_id", "path", reason.alias("reason"), F.round(F.when(F.col("compared"), F.coalesce("alike", F.lit(0.0))), 4).alias("shared_prints"))

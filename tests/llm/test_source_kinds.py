@@ -67,10 +67,13 @@ def test_edited_and_short_copies_in_many_repositories(spark):
     rows = [(f"r{i}", "util/x.py", t) for i, t in enumerate(edited)] + [(f"r{i}", "util/short.py", short.replace("\n", "\n\n") if i else short) for i in range(3)]
     rows += [(f"s{i}", "own.py", "\n".join(functions[(i + k) % 6] for k in range(3))) for i in range(6)]  # all of it from others, of which none is its origin
     rows += [(f"r{i}", "pkg/__init__.py", "from .x import a, b, c, d, e") for i in range(5)] + [(f"q{i}", "two.py", body(5)) for i in range(2)]
-    rows += [("v", "vendor/y.py", body(6)), ("w", "lib/y.py", body(6))]
-    got = {(r["repo_id"], r["path"]): r for r in sk.source_kinds(spark.createDataFrame(rows, "repo_id string, path string, text string")).collect()}
+    rows += [("v", "vendor/y.py", body(6)), ("w", "lib/y.py", body(6)), ("v", "vendor/once.py", body(8))]
+    df = spark.createDataFrame(rows, "repo_id string, path string, text string")
+    assert {r["path"] for r in sk.source_kinds(df, marks=False).where("reason is null").collect()} == {"own.py", "pkg/__init__.py", "vendor/once.py"}
+    got = {(r["repo_id"], r["path"]): r for r in sk.source_kinds(df).collect()}
     found = {k for k, r in got.items() if r["reason"] == "vendored"}
-    assert found == {(f"r{i}", "util/x.py") for i in range(4)} | {(f"r{i}", "util/short.py") for i in range(3)} | {("v", "vendor/y.py"), ("w", "lib/y.py")}
+    assert found == {(f"r{i}", "util/x.py") for i in range(4)} | {(f"r{i}", "util/short.py") for i in range(3)} | {("v", "vendor/y.py"), ("w", "lib/y.py"), ("q0", "two.py"), ("q1", "two.py")}
+    assert got["v", "vendor/once.py"]["reason"] == "third_party"
     assert got["r0", "util/x.py"]["shared_prints"] >= sk.LEAST_ALIKE and got["r0", "util/short.py"]["shared_prints"] == 1
     assert got["s0", "own.py"]["shared_prints"] == 0 and got["r0", "pkg/__init__.py"]["shared_prints"] is None
 
