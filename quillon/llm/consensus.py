@@ -6,14 +6,17 @@ Model: annotator ``i`` knows the true class of an item with probability ``s_i``
     agree_ij - sum_k m_i(k) m_j(k) = s_i s_j (1 - sum_k prior_k^2)
 
 so the corrected agreements ``c_ij`` are ``s_i s_j``, and a triplet of annotators solves each of them:
-``s_i^2 = c_ij c_ik / c_jk``.  Triplets are pooled with the number of items behind them as weights.  A vote for label ``l``
+``s_i^2 = c_ij c_ik / c_jk``.  Triplets are pooled, each weighted by the geometric mean of the items behind its three pairs, so
+the sums over all triplets are matrix products.  A vote for label ``l``
 then weighs ``log(s_i [l = k] + (1 - s_i) q_i(l))`` for class ``k``; the prior is added and the largest sum wins.
 
 Annotators who swap or shift classes break the model's symmetry: their errors carry information too.  So the log-odds are
 refined: the triplet consensus gives each annotator's votes by class, these give class-wise log-odds, and so on for
 ``REFINEMENTS`` rounds; only these ``annotators x classes x classes`` sums go to the driver.
 
-Only the table of annotator pairs goes to the driver: at most ``MAX_ANNOTATORS``^2 / 2 rows, checked.
+Up to ``DENSE`` annotators the table of their pairs is one matrix, counted by products of indicator matrices within tasks and
+solved on the driver.  With more of them pairs are counted by a join of the votes of an item, and the sums over triplets by a
+join of pairs; only one row per annotator goes to the driver.
 """
 
 from __future__ import annotations
@@ -28,8 +31,11 @@ from pyspark.sql import functions as F
 
 from quillon.session import stored
 
-MAX_ANNOTATORS = 5_000
+#: Annotators whose pairs are held as a matrix (8 bytes each, DENSE squared); the pairs of more are joined.
+DENSE = 2_048
 REFINEMENTS = 12
+#: Items whose indicator matrices are multiplied at a time.
+BLOCK = 1_024
 
 
 def clean_label(label: Column, classes: Sequence[str]) -> Column:
@@ -56,8 +62,8 @@ class Annotators:
     habit: np.ndarray  # q_i(k)
     prior: np.ndarray
     votes: np.ndarray
-    together: np.ndarray | None = None
-    agree: np.ndarray | None = None
+    together: np.ndarray | None = None  # pairs of votes that each takes part in
+    agree: np.ndarray | None = None  # and how many of them agree
     refined: np.ndarray | None = None  # [annotator, class, label] probabilities from the consensus
 
     @property
@@ -75,30 +81,39 @@ class Annotators:
         return np.log(np.maximum(chance + self.skill[:, None, None] * np.eye(k)[None], 1e-6))
 
 
-def solve_triplets(together: np.ndarray, agree: np.ndarray, marginal: np.ndarray, names: list[str], rounds: int = 12) -> Annotators:
-    """Annotators from pair counts: items labelled by both, items labelled alike, and each one's label counts."""
+def triplet_sums(together: np.ndarray, excess: np.ndarray) -> np.ndarray:
+    """``[annotator, 3]``: over all triplets the weighted sums of ``e_ij e_ik`` and of ``e_jk``, and over pairs that of ``e_ij``."""
+    w = np.sqrt(together.astype(float))
+    np.fill_diagonal(w, 0)
+    we = w * excess
+    return np.stack([((we @ w) * we).sum(1), ((w @ we) * w).sum(1), (w * we).sum(1)], 1)
+
+
+def joined_triplet_sums(pairs: DataFrame) -> DataFrame:
+    """``(i, top, bottom, alone)``, the same sums from ``pairs(i, j, n, e)``, which holds each pair both ways, by joins of pairs."""
+    p = pairs.select("i", "j", F.sqrt("n").alias("w"), "e")
+    ij = p.select("i", "j", F.col("w").alias("w1"), F.col("e").alias("e1"))
+    jk = p.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("w").alias("w2"), F.col("e").alias("e2"))
+    ik = p.select("i", F.col("j").alias("k"), F.col("w").alias("w3"), F.col("e").alias("e3"))
+    w = F.col("w1") * F.col("w2") * F.col("w3")
+    three = ij.join(jk, "j").join(ik, ["i", "k"]).groupBy("i").agg(F.sum(w * F.col("e1") * F.col("e3")).alias("top"), F.sum(w * F.col("e2")).alias("bottom"))
+    one = p.groupBy("i").agg(F.sum(F.col("w") * F.col("w") * F.col("e")).alias("alone"))
+    return one.join(three, "i", "left").select("i", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("bottom", F.lit(0.0)).alias("bottom"), "alone")
+
+
+def solve_triplets(sums: np.ndarray, marginal: np.ndarray, names: list[str], pairs: np.ndarray, rounds: int = 12) -> Annotators:
+    """Annotators from their triplet sums, their label counts and the pairs of votes that each takes part in."""
     votes = marginal.sum(1)
     freq = (marginal + 1e-9) / np.maximum(votes, 1e-9)[:, None]
     prior = marginal.sum(0) / max(marginal.sum(), 1)
-    n = together.astype(float)
-    g = len(names)
-    skill = np.full(g, 0.6)
-    excess = np.divide(agree, n, out=np.zeros_like(n), where=n > 0) - freq @ freq.T
+    top, bottom, alone = sums.T
+    skill = np.full(len(names), 0.6)
     for _ in range(rounds):
-        c = excess / max(1e-9, 1 - (prior**2).sum())
-        for i in range(g):
-            # every triplet (i, j, k), weighted by the rarest of its three pairs
-            w = np.minimum(np.minimum(n[i][:, None], n[i][None, :]), n)
-            w[i, :] = w[:, i] = 0
-            np.fill_diagonal(w, 0)
-            top, bottom = (w * c[i][:, None] * c[i][None, :]).sum(), (w * c).sum()
-            if bottom > 0:
-                skill[i] = np.sqrt(np.clip(top / bottom, 1e-4, 0.995**2))
-                if (n[i] * c[i]).sum() < 0:
-                    skill[i] = 0.01
+        room = max(1e-9, 1 - (prior**2).sum())
+        found = np.sqrt(np.clip(top / np.where(bottom > 0, bottom, 1) / room, 1e-4, 0.995**2))
+        skill = np.where(bottom > 0, np.where(alone < 0, 0.01, found), skill)
         # annotators with no triplet, and the noise of rare ones: shrink towards the pooled skill
         pooled = (skill * votes).sum() / max(votes.sum(), 1)
-        pairs = n.sum(1)
         skill = np.clip((skill * pairs + pooled * 10) / (pairs + 10), 0.01, 0.99)
         new = (votes[:, None] * skill[:, None] * freq).sum(0)  # those who know more tell more about the classes
         new /= max(new.sum(), 1e-9)
@@ -111,37 +126,67 @@ def solve_triplets(together: np.ndarray, agree: np.ndarray, marginal: np.ndarray
     return Annotators(names, skill, habit, prior, votes)
 
 
-def fit(votes: DataFrame, item: Sequence[str], classes: Sequence[str]) -> tuple[Annotators, DataFrame]:
+def _count_pairs(several: DataFrame, at: dict[str, int], of: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of the items that two annotators labelled, and labelled alike."""
+    size = len(at)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        together, agree = np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)
+        for b in batches:
+            for lo in range(0, len(b), BLOCK):
+                row, who, said = _flat(b["votes"].iloc[lo : lo + BLOCK], at, of)
+                ones = np.zeros((len(of), int(row.max()) + 1, size), np.float32)
+                ones[said, row, who] = 1
+                for one in ones:
+                    agree += one.T @ one
+                every = ones.sum(0)
+                together += every.T @ every
+        a, b = np.nonzero(np.triu(together, 1))
+        yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "n": together[a, b].astype(np.int64), "same": agree[a, b].astype(np.int64)})
+
+    got = several.select("votes").mapInPandas(count, "a int, b int, n long, same long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).toPandas()
+    together, agree = np.zeros((size, size)), np.zeros((size, size))
+    a, b = got["a"].to_numpy(), got["b"].to_numpy()
+    together[a, b] = together[b, a] = got["n"]
+    agree[a, b] = agree[b, a] = got["same"]
+    return together, agree
+
+
+def _join_pairs(votes: DataFrame, item: Sequence[str], freq: DataFrame) -> DataFrame:
+    """``(i, j, n, same, e)`` of all pairs, both ways; ``freq(annotator, shares)`` has each one's share of every label."""
+    x = votes.select(*item, F.col("annotator").alias("i"), F.col("label").alias("x"))
+    y = votes.select(*item, F.col("annotator").alias("j"), F.col("label").alias("y"))
+    pairs = x.join(y, list(item)).where("i <> j").groupBy("i", "j").agg(F.count("*").alias("n"), F.sum((F.col("x") == F.col("y")).cast("long")).alias("same"))
+    both = pairs.join(freq.select(F.col("annotator").alias("i"), F.col("shares").alias("p")), "i").join(freq.select(F.col("annotator").alias("j"), F.col("shares").alias("q")), "j")
+    chance = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return both.select("i", "j", "n", "same", (F.col("same") / F.col("n") - chance).alias("e"))
+
+
+def fit(votes: DataFrame, item: Sequence[str], classes: Sequence[str], refinements: int = REFINEMENTS, dense: int = DENSE) -> tuple[Annotators, DataFrame]:
     """The annotators, and the votes gathered by item: ``(*item, votes array)``; an item has at most one vote of each annotator."""
-    spark = votes.sparkSession
     gathered = stored(votes.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct("annotator", "label"))).alias("votes")))
-    counts = votes.groupBy("annotator", "label").count().limit(MAX_ANNOTATORS * len(classes) + 1).toPandas()
-    names = sorted(counts["annotator"].unique())
-    if len(names) > MAX_ANNOTATORS:
-        raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
+    flat = gathered.select(*item, F.explode("votes").alias("v")).select(*item, "v.annotator", "v.label")
+    wide = flat.groupBy("annotator").agg(*[F.count_if(F.col("label") == c).cast("double").alias(f"n{k}") for k, c in enumerate(classes)])
+    counts = wide.orderBy("annotator").toPandas()  # a row per annotator
+    names = counts["annotator"].tolist()
     at, of = {x: i for i, x in enumerate(names)}, {x: i for i, x in enumerate(classes)}
-    marginal = np.zeros((len(names), len(classes)))
-    for a, label, c in counts.itertuples(index=False):
-        marginal[at[a], of[label]] = c
-    pairs = F.explode(
-        F.flatten(
-            F.transform(
-                "votes",
-                lambda x, i: F.transform(
-                    F.slice("votes", i + 2, F.size("votes")), lambda y: F.struct(x["annotator"].alias("a"), y["annotator"].alias("b"), (x["label"] == y["label"]).cast("int").alias("same"))
-                ),
-            )
-        )
-    )
-    agreed = gathered.where(F.size("votes") > 1).select(pairs.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"), F.sum("p.same").alias("same")).toPandas()
-    together, agree = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
-    for a, b, n, same in agreed.itertuples(index=False):
-        together[at[a], at[b]] = together[at[b], at[a]] = n
-        agree[at[a], at[b]] = agree[at[b], at[a]] = same
-    model = solve_triplets(together, agree, marginal, names)
-    model.together, model.agree = together, agree
-    several = gathered.where(F.size("votes") > 1).select("votes")
-    for _ in range(REFINEMENTS if len(names) else 0):
+    marginal = counts[[f"n{k}" for k in range(len(classes))]].to_numpy(float)
+    several = stored(gathered.where(F.size("votes") > 1).select("votes")) if len(names) else gathered.select("votes")
+    if len(names) <= dense:
+        together, agree = _count_pairs(several, at, of)
+        freq = (marginal + 1e-9) / np.maximum(marginal.sum(1), 1e-9)[:, None]
+        sums = triplet_sums(together, np.divide(agree, together, out=np.zeros_like(agree), where=together > 0) - freq @ freq.T)
+        pairs, alike = together.sum(1), agree.sum(1)
+    else:
+        total = sum((F.col(f"n{k}") for k in range(len(classes))), F.lit(0.0))
+        shares = wide.select("annotator", F.array(*[(F.col(f"n{k}") + 1e-9) / total for k in range(len(classes))]).alias("shares"))
+        joined = stored(_join_pairs(flat, item, shares))
+        rows = joined_triplet_sums(joined).join(joined.groupBy("i").agg(F.sum("n").alias("pairs"), F.sum("same").alias("alike")), "i").toPandas().set_index("i")
+        rows = rows.reindex(names).fillna(0.0)
+        sums, pairs, alike = rows[["top", "bottom", "alone"]].to_numpy(float), rows["pairs"].to_numpy(float), rows["alike"].to_numpy(float)
+    model = solve_triplets(sums, marginal, names, pairs)
+    model.together, model.agree = pairs, alike
+    for _ in range(refinements if len(names) else 0):
         before = model.refined
         _refine(model, several, at, of)
         if before is not None and np.abs(model.refined - before).max() < 1e-3:
@@ -149,11 +194,17 @@ def fit(votes: DataFrame, item: Sequence[str], classes: Sequence[str]) -> tuple[
     return model, gathered
 
 
-def _posterior(votes: pd.Series, at: dict[str, int], of: dict[str, int], weights: np.ndarray, log_prior: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Log scores by item and class, and the votes flat: item, annotator, label."""
+def _flat(votes: pd.Series, at: dict[str, int], of: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """The votes of many items in a row: item, annotator, label."""
     row = np.repeat(np.arange(len(votes)), votes.str.len().to_numpy().astype(np.int64))
     who = np.array([at[v["annotator"]] for vs in votes for v in vs], dtype=np.int64)
     said = np.array([of[v["label"]] for vs in votes for v in vs], dtype=np.int64)
+    return row, who, said
+
+
+def _posterior(votes: pd.Series, at: dict[str, int], of: dict[str, int], weights: np.ndarray, log_prior: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Log scores by item and class, and the votes flat: item, annotator, label."""
+    row, who, said = _flat(votes, at, of)
     score = np.tile(log_prior, (len(votes), 1))
     np.add.at(score, row, weights[who, said])
     return score, row, who, said
@@ -183,12 +234,13 @@ def _refine(model: Annotators, gathered: DataFrame, at: dict[str, int], of: dict
     model.prior = (sums[-len(of) :] + 1e-6) / (sums[-len(of) :] + 1e-6).sum()
 
 
-def consensus(votes: DataFrame, item: Sequence[str], classes: Sequence[str], least_votes: int = 2) -> DataFrame:
+def consensus(votes: DataFrame, item: Sequence[str], classes: Sequence[str], least_votes: int = 2, refinements: int = REFINEMENTS) -> DataFrame:
     """``(*item, label, confidence, n_votes, agreement)`` for items with ``least_votes`` annotators or more.
 
     ``agreement`` is the share of agreeing pairs of votes.  Ties go to the class listed first.  No votes, no rows.
+    ``refinements=0`` gives the labels of the triplet solution itself.
     """
-    model, gathered = fit(votes, item, classes)
+    model, gathered = fit(votes, item, classes, refinements)
     weights, log_prior = model.weights(), np.log(np.maximum(model.prior, 1e-9))
     at, of = {x: i for i, x in enumerate(model.names)}, {x: i for i, x in enumerate(classes)}
 
@@ -215,9 +267,9 @@ def consensus(votes: DataFrame, item: Sequence[str], classes: Sequence[str], lea
 def reliability(votes: DataFrame, item: Sequence[str], classes: Sequence[str]) -> DataFrame:
     """One row per annotator: ``(annotator, votes, paired_votes, observed_agreement, skill, accuracy)``; skill 0 is a guesser."""
     model, _ = fit(votes, item, classes)
-    pairs = model.together.sum(1)
+    pairs = model.together
     rows = [
-        (name, int(model.votes[i]), int(pairs[i]), round(float(model.agree[i].sum() / pairs[i]), 6) if pairs[i] else None, round(float(model.skill[i]), 6), round(float(model.accuracy[i]), 6))
+        (name, int(model.votes[i]), int(pairs[i]), round(float(model.agree[i] / pairs[i]), 6) if pairs[i] else None, round(float(model.skill[i]), 6), round(float(model.accuracy[i]), 6))
         for i, name in enumerate(model.names)
     ]
     return votes.sparkSession.createDataFrame(rows, "annotator string, votes long, paired_votes long, observed_agreement double, skill double, accuracy double")

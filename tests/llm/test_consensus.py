@@ -36,6 +36,8 @@ def test_consensus_beats_the_majority_and_ranks_annotators(spark):
         tally.setdefault(a, []).append(label)
     majority = np.mean([max(CLASSES, key=tally[f"A{i}"].count) == CLASSES[y] for i, y in enumerate(truth)])
     assert right > majority + 0.03 and right > 0.85
+    plain = {r["answer"]: r["label"] for r in c.consensus(votes, ["answer", "claim"], CLASSES, refinements=0).collect()}
+    assert majority < np.mean([plain[f"A{i}"] == CLASSES[y] for i, y in enumerate(truth)]) <= right + 0.01  # triplets alone
     rows = {r["annotator"]: r for r in c.reliability(votes, ["answer", "claim"], CLASSES).collect()}
     accuracy = {k: r["accuracy"] for k, r in rows.items()}
     assert accuracy["g0"] > accuracy["g4"] > accuracy["g5"] > max(accuracy["random"], accuracy["swap"])
@@ -48,10 +50,32 @@ def test_triplets_recover_skills_from_exact_moments():
     agree = np.outer(s, s) * (1 - (prior**2).sum()) + (prior**2).sum()
     n = np.full((4, 4), 1e6)
     np.fill_diagonal(n, 0)
-    found = c.solve_triplets(n, agree * n, np.tile(prior * 1e6, (4, 1)), list("abcd"))
+    sums = c.triplet_sums(n, agree - (prior**2).sum() * (1 - np.eye(4)))
+    found = c.solve_triplets(sums, np.tile(prior * 1e6, (4, 1)), list("abcd"), n.sum(1))
     assert np.allclose(found.skill, s, atol=0.02)
 
 
+def test_triplet_sums_against_brute_force():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 9, (6, 6))
+    n = np.triu(n, 1) + np.triu(n, 1).T
+    e = rng.normal(size=(6, 6))
+    e = np.triu(e, 1) + np.triu(e, 1).T
+    w = np.sqrt(n)
+    for i, (top, bottom, alone) in enumerate(c.triplet_sums(n, e)):
+        three = [(j, k) for j in range(6) for k in range(6) if len({i, j, k}) == 3]
+        assert np.isclose(top, sum(w[i, j] * w[i, k] * w[j, k] * e[i, j] * e[i, k] for j, k in three))
+        assert np.isclose(bottom, sum(w[i, j] * w[i, k] * w[j, k] * e[j, k] for j, k in three)) and np.isclose(alone, (n[i] * e[i]).sum())
+
+
+def test_joined_pairs_give_what_matrices_give(spark):
+    truth, rows = simulated(200, seed=8)
+    votes = spark.createDataFrame(rows, "answer string, claim int, annotator string, label string")
+    dense, _ = c.fit(votes, ["answer", "claim"], CLASSES, refinements=0)
+    joined, _ = c.fit(votes, ["answer", "claim"], CLASSES, refinements=0, dense=2)
+    assert dense.names == joined.names and np.allclose(dense.skill, joined.skill) and np.allclose(dense.together, joined.together) and np.allclose(dense.agree, joined.agree)
+
+
 def test_usable_votes(spark):
     rows = [("A", 1, "g", " Supported ", "2024-01-01", 1), ("A", 1, "g", "NOT_A-CLAIM", "2024-01-02", 2), ("A", 1, "g", "see note", "2024-01-03", 3), ("A", 1, "h", "un supported", "2024-01-01", 4), ("A", 1, "i", None, "2024-01-01", 5), (None, 1, "j", "supported", "2024-01-01", 6), ("A", 2, "g", "contradicted", None, 7), ("A", 1, "g", "NOT_A-CLAIM", "2024-01-02", 2)]
     df = spark.createDataFrame(rows, SCHEMA.replace("t timestamp", "t string")).withColumn("label", F.lit("clash"))
