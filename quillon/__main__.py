@@ -45,9 +45,10 @@ def index(root: str, place: str) -> int:
     rows = walked.withColumns({"repo_id": F.lit(os.path.basename(os.path.realpath(root))), "reason": reason, "language": paths.language_of(F.col("path"))}).cache()
     kept = rows.where("reason is null").select("repo_id", "path", "language", "text", "file_hash")
     if tables.is_built():  # files that are gone come as removals
-        gone = tables.read("manifest").join(kept.select("path"), "path", "left_anti").select("path")
+        mine = tables.read("manifest").join(rows.select("repo_id").distinct(), "repo_id", "left_semi")
+        gone = mine.join(kept.select("repo_id", "path"), ["repo_id", "path"], "left_anti")
         none = lambda n: F.lit(None).cast("string").alias(n)
-        kept = kept.unionByName(gone.select(none("repo_id"), "path", none("language"), none("text"), none("file_hash")))
+        kept = kept.unionByName(gone.select("repo_id", "path", none("language"), none("text"), none("file_hash")))
     counts = apply_batch(tables, kept)
     built = KeywordIndex.build(tables.read("chunks"))
     tables.commit({"postings": built.postings, "lengths": built.lengths, "frequencies": built.frequencies}, {"chunker": CHUNKER_VERSION, "root": os.path.realpath(root)})

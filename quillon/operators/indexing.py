@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,23 +35,24 @@ class KeywordIndex:
         return KeywordIndex(postings, lengths, frequencies)
 
 
-def manifest_of(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(path, file_hash, chunk_ids)``: one row per file with the sorted ids of its chunks."""
-    ids = chunks.groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("chunk_ids"))
-    return files.select("path", "file_hash").join(ids, "path", "left").select("path", "file_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
+def manifest_of(files: DataFrame, chunks: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """``(*keys, file_hash, chunk_ids)``: one row per file with the sorted ids of its chunks."""
+    ids = chunks.groupBy(*keys).agg(F.sort_array(F.collect_set("id")).alias("chunk_ids"))
+    return files.select(*keys, "file_hash").join(ids, list(keys), "left").select(*keys, "file_hash", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
 
 
-def manifest_diff(old: DataFrame, new: DataFrame, key: str = "path", content: str = "file_hash") -> DataFrame:
-    """``(path, status, old_hash, new_hash)`` with status new, changed, unchanged or removed; a full outer join on the key."""
-    a, b = old.select(F.col(key).alias("o"), F.col(content).alias("old_hash")), new.select(F.col(key).alias("n"), F.col(content).alias("new_hash"))
-    status = F.when(F.col("o").isNull(), "new").when(F.col("n").isNull(), "removed").when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "unchanged").otherwise("changed")
-    return a.join(b, F.col("o") == F.col("n"), "full").select(F.coalesce("n", "o").alias(key), status.alias("status"), "old_hash", "new_hash")
+def manifest_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("path",), content: str = "file_hash") -> DataFrame:
+    """``(*keys, status, old_hash, new_hash)`` with status new, changed, unchanged or removed; a full outer join on the keys."""
+    a = old.select(*keys, F.col(content).alias("old_hash"), F.lit(True).alias("_old"))
+    b = new.select(*keys, F.col(content).alias("new_hash"), F.lit(True).alias("_new"))
+    status = F.when(F.col("_old").isNull(), "new").when(F.col("_new").isNull(), "removed").when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "unchanged").otherwise("changed")
+    return a.join(b, list(keys), "full").select(*keys, status.alias("status"), "old_hash", "new_hash")
 
 
-def stale_ids(old: DataFrame, new: DataFrame, key: str = "path", ids: str = "chunk_ids") -> DataFrame:
-    """``(path, id)``: chunk ids of the old manifest that the new one no longer has for the same file."""
-    before = old.select(key, F.explode(ids).alias("id"))
-    return before.join(new.select(key, F.explode(ids).alias("id")), [key, "id"], "left_anti").distinct()
+def stale_ids(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("path",), ids: str = "chunk_ids") -> DataFrame:
+    """``(*keys, id)``: chunk ids of the old manifest that the new one no longer has for the same file."""
+    before = old.select(*keys, F.explode(ids).alias("id"))
+    return before.join(new.select(*keys, F.explode(ids).alias("id")), [*keys, "id"], "left_anti").distinct()
 
 
 def run_report(diff: DataFrame) -> DataFrame:
@@ -59,11 +61,11 @@ def run_report(diff: DataFrame) -> DataFrame:
     return diff.agg(F.count("*").alias("files"), *[F.count_if(F.col("status") == n).alias(n) for n in names])
 
 
-def write_ahead(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``(path, chunk_ids)``: the union of old and new ids of each file, which a run records before it changes anything."""
-    both = old.select("path", F.col("chunk_ids").alias("a")).join(new.select("path", F.col("chunk_ids").alias("b")), "path", "full")
+def write_ahead(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """``(*keys, chunk_ids)``: the union of old and new ids of each file, which a run records before it changes anything."""
+    both = old.select(*keys, F.col("chunk_ids").alias("a")).join(new.select(*keys, F.col("chunk_ids").alias("b")), list(keys), "full")
     none = F.array().cast("array<string>")
-    return both.select("path", F.sort_array(F.array_union(F.coalesce("a", none), F.coalesce("b", none))).alias("chunk_ids"))
+    return both.select(*keys, F.sort_array(F.array_union(F.coalesce("a", none), F.coalesce("b", none))).alias("chunk_ids"))
 
 
 def outline(chunks: DataFrame) -> DataFrame:

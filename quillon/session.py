@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def create_session(master: str = "local[*]", app: str = "quillon", shuffle_parti
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    importable(spark)
+    return spark
 
 
 def importable(spark: SparkSession) -> None:
@@ -42,6 +46,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class FileSystem:
+    """Small files and folders through the Hadoop file system of a path, so that any shared storage will do."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._java = spark._jvm.org.apache.hadoop.fs
+        self._jvm = spark._jvm
+        self._fs = self._java.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        at = self._java.Path(folder)
+        return [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def read(self, path: str) -> str:
+        stream = self._fs.open(self._java.Path(path))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> bool:
+        """Write a file that isn't there yet; false, and nothing written, if it is."""
+        try:
+            stream = self._fs.create(self._java.Path(path), False)
+        except Exception as e:  # the file system's own exception for a file that exists
+            if "exists" in str(e).lower():
+                return False
+            raise
+        stream.write(text.encode("utf-8"))
+        stream.close()
+        return True
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._java.Path(path), True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -55,12 +94,27 @@ def shared_dir(spark: SparkSession) -> str:
     fallback = getattr(shared_dir, "fallback", None)
     if fallback is None:
         fallback = shared_dir.fallback = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     return fallback
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` into the shared folder and return it as a scan of what was written: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/quillon-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+_written: dict[str, list[str]] = {}
+
+
+def remove_stored(spark: SparkSession) -> int:
+    """Remove what ``stored`` wrote in this application; to be called when no result of it is read any more.  Returns how many tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    files = FileSystem(spark, shared_dir(spark))
+    for path in paths:
+        files.delete(path)
+    return len(paths)

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from quillon.operators.search import cosine
-from quillon.sources.tables import VersionedTables
+from quillon.sources.tables import Merge, VersionedTables
 
 
 class VectorStore(Protocol):
@@ -27,19 +27,17 @@ class VectorTable:
         self.tables, self.dim, self.name = tables, dim, name
 
     def _has(self) -> bool:
-        state = self.tables.current()
-        return bool(state and self.name in state["tables"])
+        return self.tables.has(self.name)
 
     def upsert(self, rows: DataFrame) -> None:
         wrong = rows.where(f"embedding is null or size(embedding) <> {self.dim}").limit(1).collect()
         if wrong:
             raise ValueError(f"vector of {wrong[0]['id']!r} is not of length {self.dim}")
-        self.tables.commit({self.name: self.tables.upsert(self.name, rows.select("id", "path", "embedding"), "id")})
+        self.tables.commit({self.name: Merge(rows.select("id", "path", "embedding"), ["id"])})
 
     def delete(self, ids: DataFrame) -> None:
         if self._has():
-            rows = self.tables.read(self.name)
-            self.tables.commit({self.name: rows.join(ids.select("id").distinct(), "id", "left_anti").select(rows.columns)})
+            self.tables.commit({self.name: Merge(self.tables.read(self.name).limit(0), ["id"], ids.select("id"))})
 
     def count(self) -> int:
         return self.tables.read(self.name).count() if self._has() else 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import answering, repo_map, walking
 from quillon.sources import records
 from quillon.sources.repository import GitSourceError, RepositorySource, ignore_rules, ignored, sync_repository
-from quillon.sources.tables import IndexMismatchError, VersionedTables
+from quillon.sources.tables import ConcurrentCommitError, IndexMismatchError, Merge, VersionedTables
 
 
 def write(root, files):
@@ -69,8 +69,21 @@ def test_versioned_tables(spark, tmp_path):
     with pytest.raises(Exception):  # a write that fails leaves the old version current
         t.commit({"files": df.select(F.raise_error(F.lit("no")).alias("path"))})
     assert t.read("files").count() == 2
-    t.commit({"files": t.upsert("files", spark.createDataFrame([("b", 2), ("c", 2)], df.schema), "path", spark.createDataFrame([("a",)], "path string"))})
-    assert sorted(map(tuple, t.read("files").collect())) == [("b", 2), ("c", 2)]
+    t.commit({"keyed": Merge(df, ["path"])})
+    t.commit({"keyed": Merge(spark.createDataFrame([("b", 2), ("c", 2)], df.schema), ["path"], spark.createDataFrame([("a",)], "path string"))})
+    assert sorted(map(tuple, t.read("keyed").collect())) == [("b", 2), ("c", 2)] and t.read("files").count() == 2
+    before = t.current()["tables"]["keyed"]["parts"]
+    t.commit({"keyed": Merge(spark.createDataFrame([("c", 3)], df.schema), ["path"])})
+    after = t.current()["tables"]["keyed"]["parts"]
+    assert set(before) == set(after) and sum(before[k] != after[k] for k in before) == 1  # one changed key, one part written
+    t.commit({"keyed": Merge(df.limit(0), ["path"], spark.createDataFrame([("b",), ("c",)], "path string"))})
+    assert t.read("keyed").count() == 0
+    other, now = VersionedTables(spark, t.root), t.current()
+    other.current = lambda: now  # a writer that read the same version
+    t.commit({"files": df})
+    with pytest.raises(ConcurrentCommitError):
+        other.commit({"files": df.limit(0)})
+    assert t.read("files").count() == 2
     t.check(model="m1")
     with pytest.raises(IndexMismatchError):
         t.check(model="m2")

@@ -22,6 +22,20 @@ def test_incremental_index(spark, tmp_path):
     assert sorted(map(tuple, fresh.read("chunks").collect())) == sorted(map(tuple, t.read("chunks").collect()))
 
 
+def test_repositories_and_order_within_a_batch(spark, tmp_path):
+    t = VersionedTables(spark, str(tmp_path / "i"))
+    rows = [(r, "README.md", "markdown", f"# {r}\nx\n", r) for r in ("r", "s")]
+    assert apply_batch(t, spark.createDataFrame(rows, SCHEMA)) == {"new": 2}
+    assert {(r["repo_id"], r["path"]) for r in t.read("chunks").collect()} == {("r", "README.md"), ("s", "README.md")}
+    before = t.current()
+    assert apply_batch(t, spark.createDataFrame(rows, SCHEMA)) == {"unchanged": 2} and t.current() == before
+    batch = [("r", "README.md", "markdown", "# new\n", "2", 1), ("r", "README.md", None, None, None, 2)]  # changed, then removed
+    assert apply_batch(t, spark.createDataFrame(batch, SCHEMA + ", seq long")) == {"removed": 1}
+    assert [(r["repo_id"], r["path"]) for r in t.read("manifest").collect()] == [("s", "README.md")]
+    parts = before["tables"]["chunks"]["parts"]
+    assert sum(t.current()["tables"]["chunks"]["parts"].get(k) != v for k, v in parts.items()) == 1
+
+
 def test_index_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([("r", "a.py", "python", "x = 1\n", "1")], SCHEMA).write.parquet(source)
