@@ -66,7 +66,9 @@ def with_ids(chunks: DataFrame) -> DataFrame:
 
 def coverage(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(repo_id, path, lines, covered)``: lines with any word, and how many of them lie in a chunk of the file."""
-    lines = files.select("repo_id", "path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(F.col("line").rlike(CONTENT)).select("repo_id", "path", (F.col("pos") + 1).alias("n"))
-    inside = chunks.select("repo_id", "path", F.explode(F.sequence("start_line", "end_line")).alias("n")).distinct()
-    hit = lines.join(inside.withColumn("hit", F.lit(1)), ["repo_id", "path", "n"], "left")
-    return hit.groupBy("repo_id", "path").agg(F.count("*").alias("lines"), F.count("hit").alias("covered"))
+    content = F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.when(line.rlike(CONTENT), i + 1)), lambda n: n.isNotNull())
+    lines = files.where(F.col("text").rlike(CONTENT)).select("repo_id", "path", content.alias("content"))
+    spans = chunks.groupBy("repo_id", "path").agg(F.collect_set(F.struct("start_line", "end_line")).alias("spans"))
+    inside = F.filter("content", lambda n: F.exists("spans", lambda s: n.between(s["start_line"], s["end_line"])))
+    both = lines.join(spans, ["repo_id", "path"], "left")
+    return both.select("repo_id", "path", F.size("content").cast("long").alias("lines"), F.when(F.col("spans").isNull(), 0).otherwise(F.size(inside)).cast("long").alias("covered"))

@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ RRF_K = 60
 DIGITS = 6  # scores are rounded before ranking, so ties do not hang on the order of summation
 #: Numbers of queries' vectors held by one task (8 bytes each); more queries are searched in several passes.
 QUERY_CELLS = 1 << 23
+#: Queries that are multiplied with a batch at a time.
+QUERY_TILE = 256
 
 
 def top_k(hits: DataFrame, k: int, by: Sequence[Column], key: str = "query_id") -> DataFrame:
@@ -52,54 +55,76 @@ def bm25(index: KeywordIndex, queries: DataFrame, k: int = 30) -> DataFrame:
 def cosine(vectors: DataFrame, queries: DataFrame, k: int = 10, only: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Exact cosine top ``k``: ``(query_id, id, score, rank)``; ``only`` keeps the vectors of some ids before the search.
 
-    Each task multiplies its vectors with the queries and keeps its best ``k`` per query, so only those are shuffled.
-    Queries beyond ``QUERY_CELLS`` numbers go in passes.  A zero vector has similarity 0.
+    Each task multiplies its vectors with the queries, tile by tile, and keeps its best ``k`` per query, so only those are
+    shuffled.  Queries beyond ``QUERY_CELLS`` numbers go in passes.  A zero vector has similarity 0.
     """
     base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null")
     if only is not None:
         base = base.join(only.select(F.col(only.columns[0]).alias("id")).distinct(), "id", "left_semi")
     wanted = queries.select(F.col("query_id"), F.col(vector_col).alias("v")).where("v is not null")
     size = wanted.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    if not size["n"]:
+    if not size["n"] or k < 1:
         return base.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    passes = max(1, -(-size["n"] * size["d"] // QUERY_CELLS))
+    passes = max(1, -(-size["n"] * max(size["d"], k) // QUERY_CELLS))
     id_type, query_type = base.schema["id"].dataType.simpleString(), wanted.schema["query_id"].dataType.simpleString()
 
     def one(part: DataFrame) -> DataFrame:
         rows = part.toArrow()
-        matrix = _unit(np.stack(rows.column("v").to_pylist()).astype(np.float64)) if rows.num_rows else np.zeros((0, size["d"]))
+        matrix = _unit(_matrix(rows.column("v"))) if rows.num_rows else np.zeros((0, size["d"]))
         held = base.sparkSession.sparkContext.broadcast((rows.column("query_id").combine_chunks(), matrix))  # at most QUERY_CELLS numbers
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = held.value
-            if not len(q):
-                return
-            best_score = np.full((len(q), 0), -np.inf)
-            best_id: np.ndarray = np.zeros((len(q), 0), dtype=object)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = np.array(b.column("id").to_pylist(), dtype=object)
-                v = _unit(np.asarray(b.column("v").flatten(), dtype=np.float64).reshape(b.num_rows, -1))
-                score = np.round(q @ v.T, DIGITS)
-                if score.shape[1] > 4 * k:  # all that reach the k-th score, so ties are settled by id below
-                    cut = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-                    keep = (score >= cut[:, None]).any(0)
-                    score, ids = score[:, keep], ids[keep]
-                score = np.concatenate([best_score, score], 1)
-                name = np.concatenate([best_id, np.broadcast_to(ids, (len(q), len(ids)))], 1)
-                order = np.array([sorted(range(score.shape[1]), key=lambda j: (-score[i, j], name[i, j]))[:k] for i in range(len(q))])
-                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
-            if best_id.shape[1]:
-                n = best_id.shape[1]
-                yield pa.record_batch([names.take(pa.array(np.repeat(np.arange(len(q)), n))), pa.array(best_id.ravel().tolist()), pa.array(best_score.ravel())], ["query_id", "id", "score"])
-
-        return base.mapInArrow(search, f"query_id {query_type}, id {id_type}, score double")
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((len(q[lo : lo + QUERY_TILE]), 0)), np.zeros((len(q[lo : lo + QUERY_TILE]), 0), np.int64)) for lo in range(0, len(q), QUERY_TILE)]
+            ids: pa.Array = pa.array([], pa.string() if id_type == "string" else pa.int64())
+            for b in batches if len(q) else ():
+                v = _unit(_matrix(b.column("v")))
+                # ids are compared by their place among all kept and new ones
+                both = pa.concat_arrays([ids, b.column("id").cast(ids.type)])
+                order = np.asarray(pc.sort_indices(both))
+                place = np.empty(len(both), np.int64)
+                place[order] = np.arange(len(both))
+                used = np.zeros(len(both), bool)
+                for t, (score, at) in enumerate(best):
+                    new = np.round(q[t * QUERY_TILE : (t + 1) * QUERY_TILE] @ v.T, DIGITS)
+                    kept_score, kept_at = _best(new, place[len(ids) :], k)
+                    score, at = _best(np.concatenate([score, kept_score], 1), np.concatenate([place[at], kept_at], 1), k)
+                    best[t] = score, at
+                    used[at.ravel()] = True
+                # ids that none of the best lists names any more are dropped
+                left = np.flatnonzero(used)
+                ids = both.take(pa.array(order[left]))
+                best = [(score, np.searchsorted(left, at)) for score, at in best]
+            for t, (score, at) in enumerate(best):
+                n = score.shape[1]
+                if n:
+                    who = pa.array(np.repeat(np.arange(len(score)) + t * QUERY_TILE, n))
+                    yield pa.record_batch([names.take(who), ids.take(pa.array(at.ravel())), pa.array(score.ravel())], ["query_id", "id", "score"])
+
+        return base.mapInArrow(search, f"query_id {query_type}, id {'string' if id_type == 'string' else 'long'}, score double").withColumn("id", F.col("id").cast(id_type))
 
     parts = [one(wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)) for p in range(passes)]
     return top_k(reduce(DataFrame.unionByName, parts), k, [F.desc("score"), F.asc("id")]).select("query_id", "id", "score", "rank")
 
 
+def _best(score: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` highest scores of each row and their places, equal scores by the lower place; ``place`` is one row or one of each."""
+    place = np.broadcast_to(place, score.shape)
+    if score.shape[1] > k:
+        # all above the k-th score, and of those equal to it the lowest places
+        cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        rank = np.where(score > cut, -1, np.where(score == cut, place, np.iinfo(np.int64).max))
+        take = np.argpartition(rank, k - 1, axis=1)[:, :k]
+        score, place = np.take_along_axis(score, take, 1), np.take_along_axis(place, take, 1)
+    order = np.lexsort((place, -score), axis=1)
+    return np.take_along_axis(score, order, 1), np.take_along_axis(place, order, 1)
+
+
+def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESAMPLES = 10_000
-#: Items that are drawn at a time.
-DRAWN = 1 << 21
+#: Resamples of one task, and numbers that are drawn at a time.
+BLOCK, DRAWN = 1_000, 1 << 21
 
 
 def sign_test(better: Column, worse: Column) -> Column:
@@ -76,53 +75,82 @@ def paired_counts(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> D
     return out.withColumn("sign_p", F.round(sign_test(F.col("better"), F.col("worse")), 6))
 
 
+def _blocks(values: DataFrame, by: str, resamples: int, columns: Sequence[str]) -> DataFrame:
+    """Counted values once for each block of resamples; a block of one comparison is a task."""
+    return values.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // BLOCK) - 1)))).select(by, "block", *columns)
+
+
+def _means(values: np.ndarray, counts: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Sums of ``counts.sum()`` values drawn with replacement, ``draws`` times: how often each value is drawn is multinomial."""
+    n, share = int(counts.sum()), counts / counts.sum()
+    step = max(1, DRAWN // len(values))
+    return np.concatenate([rng.multinomial(n, share, size=min(step, draws - lo)) @ values for lo in range(0, draws, step)])
+
+
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, by: str, order: str, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """``(by, n, mean_diff, ci_low, ci_high, significant)``: a percentile interval of the mean difference for each comparison.
 
-    Draws are those of the standard library's generator, so a run can be repeated exactly; one comparison is one task.
+    Equal differences are counted first, so a task holds the different ones; blocks of ``BLOCK`` resamples are tasks of their own.
+    Draws depend on the seed and the block alone (``order`` is not needed for that).
     """
     kind = pairs.schema[by].dataType.simpleString()
+    counted = pairs.select(by, (F.col(a) - F.col(b)).alias("d")).where("d is not null").groupBy(by, "d").agg(F.count("*").alias("c"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        diffs = (g[a] - g[b]).tolist()
-        rng, n = random.Random(seed), len(diffs)
-        means = sorted(sum(rng.choices(diffs, k=n)) / n for _ in range(resamples))
-        low, high = means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
-        return pd.DataFrame([(g[by].iat[0], n, sum(diffs) / n, low, high, bool(low > 0 or high < 0))], columns=[by, "n", "mean_diff", "ci_low", "ci_high", "significant"])
+        g = g.sort_values("d")
+        block = int(g["block"].iat[0])
+        draws = min(BLOCK, resamples - block * BLOCK)
+        sums = _means(g["d"].to_numpy(), g["c"].to_numpy(), draws, np.random.default_rng((seed, block)))
+        return pd.DataFrame({by: [g[by].iat[0]], "means": [sums / g["c"].sum()]})
 
-    return pairs.select(by, order, a, b).groupBy(by).applyInPandas(run, f"`{by}` {kind}, n long, mean_diff double, ci_low double, ci_high double, significant boolean")
+    means = _blocks(counted, by, resamples, ["d", "c"]).groupBy(by, "block").applyInPandas(run, f"`{by}` {kind}, means array<double>")
+    sorted_ = F.array_sort(F.flatten(F.collect_list("means")))
+    ends = means.groupBy(by).agg(sorted_.alias("m")).select(by, F.get("m", int(0.025 * resamples)).alias("ci_low"), F.get("m", int(0.975 * resamples) - 1).alias("ci_high"))
+    out = counted.groupBy(by).agg(F.sum("c").alias("n"), (F.sum(F.col("d") * F.col("c")) / F.sum("c")).alias("mean_diff")).join(ends, by)
+    return out.select(by, "n", "mean_diff", "ci_low", "ci_high", ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)).alias("significant"))
 
 
 def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, by: str, null: float = 0.0, alternative: str = "two-sided", resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """Two-stage resampling, clusters and then their items: ``(by, n, clusters, estimate, low, high, p)``."""
+    """Two-stage resampling, clusters and then their items: ``(by, n, clusters, estimate, low, high, p)``.
+
+    A cluster drawn ``t`` times gives ``t`` times its items, each drawn anew.  Equal values of a cluster are counted first, and
+    blocks of resamples are tasks of their own.
+    """
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(f"unknown alternative {alternative!r}")
     kind = rows.schema[by].dataType.simpleString()
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(cluster).cast("string").alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=[value]).sort_values([cluster, value])
-        groups = [x.to_numpy(float) for _, x in g.groupby(cluster)[value]]
-        if not groups:
-            return pd.DataFrame([], columns=["by"])
-        rng = np.random.default_rng(seed)
-        sums, sizes = np.zeros(resamples), np.zeros(resamples)
-        drawn = rng.integers(len(groups), size=(resamples, len(groups)))
-        for k, x in enumerate(groups):
-            times = (drawn == k).sum(1)
-            for t in np.unique(times[times > 0]):
-                at = np.flatnonzero(times == t)
-                step = max(1, DRAWN // (t * len(x)))
-                for lo in range(0, len(at), step):
-                    part = at[lo : lo + step]
-                    sums[part] += x[rng.integers(len(x), size=(len(part), t * len(x)))].sum(1)
-                sizes[at] += t * len(x)
-        boot = sums / sizes
-        estimate = float(g[value].mean())
-        shift = boot - estimate
-        extreme = np.abs(shift) >= abs(estimate - null) if alternative == "two-sided" else shift >= estimate - null if alternative == "greater" else shift <= estimate - null
-        low, high = np.nanpercentile(boot, [2.5, 97.5])
-        return pd.DataFrame([(g[by].iat[0], len(g), len(groups), estimate, low, high, (1 + extreme.sum()) / (resamples + 1))], columns=["by", "n", "clusters", "estimate", "low", "high", "p"])
-
-    return rows.select(by, cluster, value).groupBy(by).applyInPandas(run, f"by {kind}, n long, clusters long, estimate double, low double, high double, p double").withColumnRenamed("by", by)
+        g = g.sort_values(["k", "v"])
+        block = int(g["block"].iat[0])
+        draws = min(BLOCK, resamples - block * BLOCK)
+        rng = np.random.default_rng((seed, block))
+        groups = [(x["v"].to_numpy(), x["c"].to_numpy()) for _, x in g.groupby("k")]
+        times = rng.multinomial(len(groups), np.full(len(groups), 1 / len(groups)), size=draws)
+        sums, sizes = np.zeros(draws), np.zeros(draws)
+        for at, (v, c) in enumerate(groups):
+            for t in np.unique(times[:, at]):
+                mine = np.flatnonzero(times[:, at] == t)
+                if t:
+                    sums[mine] += _means(v, c * t, len(mine), rng)
+                    sizes[mine] += t * c.sum()
+        return pd.DataFrame({by: [g[by].iat[0]], "means": [sums / sizes]})
+
+    means = _blocks(counted, by, resamples, ["k", "v", "c"]).groupBy(by, "block").applyInPandas(run, f"`{by}` {kind}, means array<double>")
+    means = means.groupBy(by).agg(F.array_sort(F.flatten(F.collect_list("means"))).alias("m"))
+    whole = counted.groupBy(by).agg(F.sum("c").alias("n"), F.countDistinct("k").alias("clusters"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("estimate"))
+    out = whole.join(means, by)
+    shift = F.col("estimate") - null
+    far = {"two-sided": lambda m: F.abs(m - F.col("estimate")) >= F.abs(shift), "greater": lambda m: m - F.col("estimate") >= shift, "less": lambda m: m - F.col("estimate") <= shift}[alternative]
+
+    def percentile(q: float) -> Column:
+        at = q * (resamples - 1)
+        low = int(at)
+        a, b = F.get("m", low), F.get("m", min(low + 1, resamples - 1))
+        return a + (b - a) * (at - low)
+
+    return out.select(by, "n", "clusters", "estimate", percentile(0.025).alias("low"), percentile(0.975).alias("high"), ((1 + F.size(F.filter("m", far))) / (resamples + 1)).alias("p"))
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:

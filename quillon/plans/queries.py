@@ -657,7 +657,7 @@ def revenue_by_nation(spark, d):
     """Revenue of shipped lines by nation of the customer and year."""
     line = table(spark, d, "lineitem").select("l_orderkey", F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).alias("cents"), F.year("l_shipdate").alias("year"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    buyers = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    buyers = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("n_name", "year").agg(F.sum("cents").alias("revenue_cents"), F.count("*").alias("lines"))
 

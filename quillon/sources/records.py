@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.session import stored
+
 QUESTION_SCHEMA = "id string, question string, type string, gold_files array<string>, acceptable_files array<string>, gold_symbols array<string>, gold_dirs array<string>, key_facts array<string>"
 
 
@@ -105,10 +107,17 @@ def merge_results(done: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def opaque_codes(answers: DataFrame, key: str, seed: str = "0") -> DataFrame:
-    """Adds ``code``: answers numbered in an order that tells nothing about them."""
-    order = Window.orderBy(F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string"))), key)
-    keys = answers.select(key).distinct().withColumn("code", F.format_string("A%05X", F.row_number().over(order)))
-    return answers.join(keys, key)
+    """Adds ``code``: answers numbered in an order that tells nothing about them.
+
+    Numbers are ranks within ranges of the hash and what the ranges before hold, so no task sorts all rows.
+    """
+    hashed = F.md5(F.concat(F.lit(seed + "|"), F.col(key).cast("string")))
+    keys = answers.select(key).distinct().withColumn("h", hashed)
+    ranged = stored(keys.repartitionByRange("h", key).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # a row per range
+    number = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy("h", key))
+    return answers.join(ranged.join(offsets, "part").select(key, F.format_string("A%05X", number).alias("code")), key)
 
 
 def sample_for_review(rows: DataFrame, key: str, size: int, seed: str = "0") -> DataFrame:
