@@ -142,3 +142,52 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
     next_role, next_text = F.lead("role").over(order), F.lead("text").over(order)
     rows = messages.where("role in ('user', 'assistant')").withColumns({"answer": F.when(next_role == "assistant", next_text)})
     return rows.where("role = 'user' and answer is not null").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+#: What judging models are told (own wording).
+JUDGE_SYSTEM = 'You check an answer against the sources it cites. Reply with one JSON object: {"verdict": "supported" | "partially_supported" | "unsupported", "unsupported_claims": [...], "reason": "..."}.'
+CLAIM_SYSTEM = 'You check one claim against the sources it cites. Reply with one JSON object: {"label": "supported" | "unsupported" | "contradicted" | "not a claim", "reason": "..."}.'
+
+
+def cited_block(sources: Column, cited: Column) -> Column:
+    """The cited sources under their own numbers; ``sources`` is an array of ``struct<path, start_line, end_line, text>``."""
+    one = lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("] "), location(F.element_at(sources, n)["path"], F.element_at(sources, n)["start_line"], F.element_at(sources, n)["end_line"]), F.lit("\n"), F.element_at(sources, n)["text"])
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(cited)), one), "\n\n")
+
+
+def judge_message(question: Column, answer: Column, block: Column) -> Column:
+    """What a judge of whole answers reads; null, and so no call, where nothing is cited."""
+    return F.when(F.length(block) > 0, F.concat(F.lit("<sources>\n"), block, F.lit("\n</sources>\n\nQuestion: "), F.trim(question), F.lit("\n\nAnswer: "), F.trim(answer)))
+
+
+def claim_message(claim: Column, block: Column) -> Column:
+    return F.when(F.length(block) > 0, F.concat(F.lit("<sources>\n"), block, F.lit("\n</sources>\n\nClaim: "), F.trim(claim)))
+
+
+def judge_answers(answers: DataFrame, provider: Provider, keep: Sequence[str], consent: bool = False) -> DataFrame:
+    """``(*keep, verdict, claims, reason, error)`` of answers ``(question, reply, sources, cited)`` by a judging model.
+
+    Only cited sources are shown; without any there is no verdict and the reason says so; a reply that was cut off is an error.
+    """
+    from quillon.functions.replies import verdict
+
+    asked = answers.withColumn("message", judge_message(F.col("question"), F.col("reply"), cited_block(F.col("sources"), F.col("cited"))))
+    got = complete(asked, provider, keep, JUDGE_SYSTEM, consent=consent).withColumn("v", verdict(F.col("reply")))
+    none, cut = F.col("finish") == "no_context", F.col("finish") != "stop"
+    return got.select(
+        *keep, F.when(~cut, F.col("v.verdict")).alias("verdict"), F.when(~cut, F.col("v.claims")).alias("claims"), F.when(none, "nothing is cited").otherwise(F.col("v.reason")).alias("reason"),
+        F.when(none, None).when(F.col("error").isNotNull(), F.col("error")).when(cut, F.concat(F.lit("the reply ended with "), "finish")).otherwise(F.col("v.error")).alias("error"),
+    )
+
+
+def judge_claims(claims: DataFrame, provider: Provider, keep: Sequence[str], consent: bool = False) -> DataFrame:
+    """``(*keep, label, by, reason, error)`` of claims ``(text, cites, sources, cited)``: by rule without citations, else by a model."""
+    from quillon.functions.replies import label
+
+    ruled = judge_by_rule(claims).withColumn("message", F.when(F.col("by").isNull(), claim_message(F.col("text"), cited_block(F.col("sources"), F.col("cited")))))
+    got = complete(ruled, provider, [*keep, "label", "by"], CLAIM_SYSTEM, consent=consent).withColumn("v", label(F.col("reply")))
+    rule = F.col("by") == "rule"
+    return got.select(
+        *keep, F.when(rule, F.col("label")).otherwise(F.col("v.label")).alias("label"), F.coalesce("by", F.lit("judge")).alias("by"), F.when(rule, None).otherwise(F.col("v.reason")).alias("reason"),
+        F.when(rule, None).otherwise(F.coalesce("error", "v.error")).alias("error"),
+    )

@@ -77,6 +77,9 @@ class FileSystem:
         stream.close()
         return True
 
+    def size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._java.Path(path)).getLength()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._java.Path(path), True)
 
