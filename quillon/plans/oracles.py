@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from quillon.functions.identifiers import STOPWORDS
-from quillon.functions.paths import CHANGE_WORDS, CHANGELOG_PATH, CODE_EXTENSIONS, CONFIG_EXTENSIONS, CONFIG_NAMES, DOC_EXTENSIONS, TEST_PATH, TEST_WORDS
-from quillon.operators import walking
+# What the SQL expects, spelled here apart from the code that is checked (fixed values).
+STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "can", "do", "does", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with")
+TEST_WORDS = ("test", "tests", "testing", "tested", "spec", "specs", "mock", "mocks", "fixture", "fixtures", "pytest", "vitest", "jest", "unittest")
+CHANGE_WORDS = ("changelog", "changelogs", "release", "releases", "version", "versions", "history", "news", "upgrade", "upgrading", "changed", "change", "changes", "deprecated", "deprecation", "deprecations", "dropped", "introduced", "regression", "migrate", "migrating", "migration")
+TEST_PATH = r'(?i)(^|/)(tests?|__tests__|specs?|e2e|integration|fixtures|__mocks__)/|(^|/)(test_[^/]*|conftest\.py)$|_test\.[a-z]+$|\.(test|spec|itest)\.[a-z]+$'
+CHANGELOG_PATH = r'(?i)(^|/)(changelog|changes|change[-_]?log|history|news|releases?|release[-_]?notes|whats[-_]?new|upgrading)([-_][0-9][a-zA-Z0-9_.-]*)?(\.(md|markdown|rst|txt))?$'
+CODE_EXTENSIONS = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".sh": "shell", ".sql": "sql", ".html": "html", ".css": "css", ".scss": "scss", ".vue": "vue", ".svelte": "svelte"}
+DOC_EXTENSIONS = {".md": "markdown", ".markdown": "markdown", ".rst": "rst", ".txt": "text"}
+CONFIG_EXTENSIONS = {".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".ini": "ini", ".cfg": "ini", ".rules": "rules", ".gradle": "gradle", ".xml": "xml"}
+CONFIG_NAMES = {"Dockerfile": "dockerfile", "Makefile": "makefile", ".gitignore": "gitignore", ".env.example": "dotenv", ".env.sample": "dotenv", ".env.template": "dotenv"}
+SECRET_NAME = r'(?i)^(\.env|.*\.pem|.*\.key|.*\.p12|.*\.pfx|.*\.keystore|.*\.jks|id_(rsa|dsa|ecdsa|ed25519)[^/]*|.*firebase-adminsdk.*\.json|.*\.tfstate(\.backup)?|\.npmrc|\.pypirc|\.netrc)$'
+ENV_NAME = r'(?i)^\.env\..+$'
+ENV_SAMPLE = r'(?i)\.(example|sample|template)$'
+SECRET_TEXT = r'-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bgithub_pat_[A-Za-z0-9_]{22}|\bxox[abprs]-[A-Za-z0-9-]{10}|\bAIza[A-Za-z0-9_-]{35}|\bsk-(ant-)?[A-Za-z0-9_-]{20}|\b[sr]k_live_[A-Za-z0-9]{16}'
+LOCK_NAMES = ("package-lock.json", "pnpm-lock.yaml", "go.sum", "bun.lockb")
+GENERATED_ENDINGS = (".min.js", ".min.css", ".map", ".lock")
 
 
 def _s(values) -> str:
@@ -83,6 +96,34 @@ dr as (select repo_id, x.d as directory, any_value(x.k) as depth, count(*) as fi
 TEST_DIRS = DIRS + f", td as (select repo_id, directory, files from dr where regexp_matches(directory || '/x', '{TEST_PATH}')), td1 as (select * from td t where not exists (select 1 from td o where o.repo_id = t.repo_id and starts_with(t.directory, o.directory || '/')))"
 
 
+CLIP = lambda c, n: f"case when length({FLAT(c)}) > {n} then rtrim(substr({FLAT(c)}, 1, {n - 1})) || '…' else {FLAT(c)} end"
+FLAT = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+PROSE = "regexp_replace(regexp_replace(answer, '(?s)```.*?```', 'x', 'g'), '`[^`\\n]*`', 'x', 'g')"
+#: Numbers in single brackets that follow no name, call or index, as all of these answers cite.
+CITED = f"flatten(list_transform(regexp_extract_all({PROSE}, '(^|[^\\w)\\]])((?:\\[[0-9]+\\])+)', 2), lambda g: list_transform(regexp_extract_all(g, '[0-9]+'), lambda v: v::int)))"
+
+
+def _made_up(row: str) -> str:
+    """The reports of an answer's cited numbers against six sources of one made-up file each."""
+    return f"""{ANSWERS}, m0 as (select result_id, coalesce(answer, '') as answer from a), m as (select result_id, {CITED} as ns from m0),
+ ci as (select result_id, len(ns) as markers, list_filter(list_zip(ns, range(1, len(ns) + 1)), lambda z: list_position(ns, z[1]) = z[2]) as z from m),
+ cr as (select result_id, markers, list_transform(list_filter(z, lambda x: x[1] between 1 and 6), lambda x: x[1]) as cited, list_transform(list_filter(z, lambda x: x[1] not between 1 and 6), lambda x: x[1]) as invalid from ci){row}"""
+
+
+def _retrieval() -> str:
+    """Vector search as retrieval: a vector's label is its file, a query's own label is gold, the next one acceptable."""
+    hits = f"{VECTORS}, {_cosine(11)}, h as (select query_id, id, label, row_number() over (partition by query_id order by rank) r from nn join v on v.vec_id = nn.id where query_id <> id)"
+    measures = ["count(*) as questions"]
+    for kind, c in (("strict", "rk"), ("lenient", "lrk")):
+        measures += [f"round(avg(case when {c} <= {k} then 1.0 else 0.0 end), 6) as {kind}_hit_{k}" for k in (1, 3, 5, 10)] + [f"round(avg(case when {c} <= 10 then 1.0 / {c} else 0.0 end), 6) as {kind}_mrr"]
+    measures += ["round(avg(inc::int), 6) as context_recall", "round(avg(linc::int), 6) as lenient_context_recall", "round(avg(sym::int), 6) as symbol_in_context", "round(avg(area), 6) as area_coverage", "0.0 as overview_rate", "round(avg(tokens), 6) as avg_tokens", "round(avg(n), 6) as avg_sources"]
+    return f"""with {hits}, fr as (select query_id, label, row_number() over (partition by query_id order by min(r)) fr from h group by query_id, label), q as (select vec_id query_id, label, 'kind' || (label % 3) as type from v where vec_id % 20 = 0),
+ x as (select q.*, min(fr.fr) filter (fr.label = q.label) rk, min(fr.fr) filter (fr.label in (q.label, (q.label + 1) % 10)) lrk from q left join fr using (query_id) group by all),
+ s as (select query_id, list(label) ls, bool_or(id % 7 = 0) sy, sum(id % 50) tokens, count(*) n from h where r <= 4 group by query_id),
+ y as (select x.*, list_contains(ls, label) inc, list_contains(ls, label) or list_contains(ls, (label + 1) % 10) linc, case when query_id % 40 = 0 then sy end sym, case when query_id % 60 = 0 then (list_contains(ls, label)::int + 0) / 2.0 end area, tokens, n from x join s using (query_id))
+ select coalesce(type, '(all)') as type, {", ".join(measures)} from y group by rollup (type)"""
+
+
 def oracle_sql() -> dict[str, str]:
     mean = lambda e, n: f"round(avg(case when error is null then ({e})::double end), 6) as {n}"
     summary = ", ".join(
@@ -92,12 +133,12 @@ def oracle_sql() -> dict[str, str]:
             mean("coalesce(truncated, false)::int", "truncation_rate"), mean("tokens_in", "avg_tokens_in"), mean("tokens_out", "avg_tokens_out"), mean("seconds", "avg_seconds"),
         ]
     )
-    skip = f"""case when regexp_matches({NAME}, '{walking.SECRET_NAME}') or (regexp_matches({NAME}, '{walking.ENV_NAME}') and not regexp_matches({NAME}, '{walking.ENV_SAMPLE}')) then 'secret_file'
- when list_contains({_s(walking.LOCK_NAMES)}, {NAME}) or {' or '.join(f"ends_with({NAME}, '{e}')" for e in walking.GENERATED_ENDINGS)} then 'lockfile_or_generated'
+    skip = f"""case when regexp_matches({NAME}, '{SECRET_NAME}') or (regexp_matches({NAME}, '{ENV_NAME}') and not regexp_matches({NAME}, '{ENV_SAMPLE}')) then 'secret_file'
+ when list_contains({_s(LOCK_NAMES)}, {NAME}) or {' or '.join(f"ends_with({NAME}, '{e}')" for e in GENERATED_ENDINGS)} then 'lockfile_or_generated'
  when ({KIND}) is null then 'unsupported_type' when coalesce(size, strlen(text)) > case when ({KIND}) = 'config' then 200000 else 1000000 end then 'too_large'
  when text is null then 'unreadable' when contains(substr(text, 1, 8192), chr(0)) then 'binary' when not regexp_matches(text, '\\S') then 'empty'
  when ({KIND}) <> 'doc' and list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 2000 then 'minified_or_generated'
- when regexp_matches(text, '{walking.SECRET_TEXT}') then 'secret_pattern' end"""
+ when regexp_matches(text, '{SECRET_TEXT}') then 'secret_pattern' end"""
     windows = f"""n as (select *, length(regexp_replace(text, '\\s+$', '')) - length(replace(regexp_replace(text, '\\s+$', ''), chr(10), '')) + 1 ln, string_split(text, chr(10)) ls from files where regexp_matches(text, '[\\p{{L}}\\p{{N}}_]')),
  w0 as (select *, unnest(range(0, greatest(0, ln - 11) + 1, 50)) s from n), win as (select repo_id, path, (s + 1)::int start_line, least(s + 60, ln)::int end_line, array_to_string(ls[s + 1:least(s + 60, ln)], chr(10)) wt from w0),
  wins as (select * from win where regexp_matches(wt, '[\\p{{L}}\\p{{N}}_]'))"""
@@ -188,14 +229,26 @@ def oracle_sql() -> dict[str, str]:
         "experiment_jobs": "select g.grader as model, m.source as repo, x.prompt, x.context from (values ('P0', 'live', null), ('P1', 'frozen', ['judge-m00', 'judge-m01'])) x(prompt, context, models), graders g, mix_targets m where g.role = 'model' and (x.models is null or list_contains(x.models, g.grader))",
         "determinism": f"with {STUDY}, p as (select repo, prompt, id, count(*) runs, count(distinct answer) texts from st where answer is not null group by 1, 2, 3) select repo, prompt, count(*) as repeated, count(*) filter (texts = 1) as identical from p where runs > 1 group by 1, 2",
         "review_sample": f"with {ANSWERS}, {VERDICTS} select result_id, code from a where code in (select answer from ver) order by md5('0|' || result_id), result_id limit 50",
-        "resume_run": f"with {ANSWERS} select distinct id from a where error is not null and id not in (select id from a where error is null)",
-        "failed_answers": f"with {ANSWERS} select id, count(*) as runs, count(error) as failed from a group by id having count(error) > 0",
+        "resume_run": f"with {ANSWERS}, r as (select id, error is not null or not coalesce(grounded, false) as bad from a) select distinct id from r where bad and id not in (select id from r where not bad)",
+        "failed_answers": f"with {ANSWERS}, r as (select id, error is not null or not coalesce(grounded, false) as bad from a) select id, count(*) as runs, count(*) filter (bad) as failed from r group by id having count(*) filter (bad) > 0",
         "citation_counts": f"""with {ANSWERS}, x as (select result_id, cited, list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(answer, '(?s)```.*?```', ' ', 'g'), '`[^`\\n]*`', ' ', 'g'), ' \\[([0-9]+)\\]', 1), lambda v: v::int)) f from a where answer is not null)
  select result_id, len(f) as found, len(coalesce(cited, [])) as reported, len(list_filter([1, 2, 3, 4, 5, 6], lambda n: not list_contains(f, n))) as uncited_of_6 from x""",
         "answer_warnings": f"""with {ANSWERS} select result_id, case when coalesce(no_context, false) then 'No relevant code was found, so nothing was answered.' else concat_ws(' ', case when coalesce(refused, false) then 'The model declined to answer.' when not coalesce(grounded, false) then 'The answer cites no retrieved code.' end, case when coalesce(truncated, false) then 'The answer was cut off.' end) end as notes from a""",
         "claims_by_rule": "select case when coalesce(length(trim(cites)), 0) = 0 then 'rule' else 'model' end as by, count(*) as claims from (select * from claims qualify row_number() over (partition by label_id) = 1) group by 1",
         "text_forms": f"""with {ANSWERS}, x as (select *, trim(regexp_replace(answer, '\\s+', ' ', 'g')) fl from a where answer is not null) select result_id, case when length(fl) > 80 then rtrim(substr(fl, 1, 79)) || '…' else fl end as clipped, repeat('`', greatest(3, coalesce(list_max(list_transform(regexp_extract_all(answer, '`+'), lambda r: length(r))), 0) + 1)) as fence,
  case when substr(answer, 1, 1) in ('=', '+', '-', '@') then '''' || answer else answer end as cell, len({_words('answer')}) as words from x""",
+        "retrieval_report": _retrieval(),
+        "cited_numbers": "with " + _made_up("") + " select result_id, list_aggregate(cited, 'string_agg', ',') as cited, list_aggregate(invalid, 'string_agg', ',') as invalid, markers as marker_count, len(cited) > 0 as grounded, case when len(cited) + len(invalid) > 0 then len(cited) / (len(cited) + len(invalid)) end as validity from cr",
+        "answer_scores": "with " + _made_up("") + """ select result_id as query_id, case when result_id % 5 = 0 then 'unanswerable' else 'locate' end as type, len(cited) > 0 as grounded,
+ case when result_id % 5 <> 0 and len(cited) > 0 then round(len(list_filter(cited, lambda n: n = 1 + result_id % 6 or n = 1 + (result_id + 1) % 6 or (n <= 2 and result_id % 4 = 0))) / len(cited), 6) end as precision,
+ case when result_id % 5 <> 0 then (list_contains(cited, 1 + result_id % 6) or list_contains(cited, 1 + (result_id + 1) % 6))::int end as gold_cited, round((6 - len(cited)) / 6.0, 6) as uncited_share from cr""",
+        "gold_supplied": f"with {ANSWERS} select result_id, case when length(question) % 3 = 0 then null else (length(question) % 4 = length(question) % 6)::int end as gold_supplied from a where question is not null",
+        "judge_kappa_units": f"""with {PAIRS}, t as (select judge, count(*) n, count(distinct answer) units, count(*) filter (ml = pl) s from pr group by judge), m1 as (select judge, ml l, count(*) x from pr group by 1, 2), m2 as (select judge, pl l, count(*) y from pr group by 1, 2), e as (select judge, sum(x * y) xy from m1 join m2 using (judge, l) group by judge)
+ select judge, n, units, round((s / n - xy / (n * n)) / (1 - xy / (n * n)), 6) as estimate, true as inside from t join e using (judge)""",
+        "paired_intervals": "with " + LABEL_RANKS + ", " + _cosine(11, "b.label % 2 = 0", "ne") + """, fb as (select ne.query_id, min(ne.rank) r from ne join v o on o.vec_id = ne.query_id join v t on t.vec_id = ne.id where ne.query_id <> ne.id and o.label = t.label group by 1)
+ select 'all-even' as pair, count(*) as n, round(avg(case when rank <= 10 then round(1.0 / rank, 6) else 0 end - case when r <= 10 then round(1.0 / r, 6) else 0 end), 6) as mean_diff, true as inside from gr left join fb using (query_id)""",
+        "structured_coverage": f"with {FILES} select true as complete, count(*) as files from files where regexp_matches(text, '[\\p{{L}}\\p{{N}}_]')",
+        "condense_prompts": f"with {ANSWERS}, l as (select results_file c, result_id t, question, answer from a where answer is not null qualify row_number() over (partition by results_file order by result_id desc) <= 3) select c as conv_id, sha1('<conversation>' || chr(10) || chr(10) || string_agg('User: ' || ({CLIP('question', 300)}) || chr(10) || 'Assistant: ' || ({CLIP('answer', 600)}), chr(10) || chr(10) order by t) || chr(10) || chr(10) || '</conversation>') as message_hash from l group by c",
         "last_turns": f"with {ANSWERS} select results_file as conv_id, result_id as turn, question from a where answer is not null qualify row_number() over (partition by results_file order by result_id desc) <= 3",
         "hashed_questions": f"""with d as (select distinct question from answer_results where question is not null), t as (select question, unnest(flatten(list_transform({_words('question')}, lambda w: {_tokens('w')}))) k from d),
  h as (select question, ('0x' || substr(md5(k), 31, 2))::int % 64 axis, count(*)::double n from t group by 1, 2), z as (select question, sqrt(sum(n * n)) l from h group by 1), e as (select question, 0 axis, 1.0 n, 1.0 l from d where question not in (select question from h))
@@ -209,7 +262,7 @@ def oracle_sql() -> dict[str, str]:
         "test_directories": f"with {TEST_DIRS} select repo_id, directory, files from td1",
         "event_windows": "select date_trunc('day', ts) as start, event_type, count(*) as events, round(sum(\"value\"), 2) as \"value\" from events group by 1, 2",
         "event_examples": "with r as (select *, row_number() over (partition by event_type order by event_id) k from events) select event_type, count(*) as n, string_agg(event_id::varchar, ',' order by event_id) filter (k <= 5) as examples from r group by 1",
-        "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
+        "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1998-01-01')",
         "orders_with_returns": "select o_orderpriority, count(*) as orders, round(sum(o_totalprice), 2) as total from orders where o_orderkey in (select l_orderkey from lineitem where l_returnflag = 'R') group by 1",
         "revenue_by_nation": "select n_name, year(l_shipdate) as year, sum(floor(l_extendedprice * (1 - l_discount) * 100)::bigint)::bigint as revenue_cents, count(*) as lines from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2",
     }

@@ -13,7 +13,7 @@ from quillon.functions.claims import claim_rows
 from quillon.functions.embedding import HashEmbedder, embed, hashed_vector
 from quillon.functions.identifiers import query_tokens, words
 from quillon.functions.intents import overview_intent
-from quillon.operators import answering, chunking, evaluation, indexing, metrics, repo_map, search, selection, statistics, study, walking
+from quillon.operators import answering, assessment, chunking, evaluation, indexing, metrics, repo_map, search, selection, statistics, study, walking
 from quillon.operators.retrieval import Retriever
 from quillon.session import stored, table
 from quillon.sources import records
@@ -386,12 +386,13 @@ def paired_bootstrap(spark, d):
 
 
 def _grid_results(spark, d) -> DataFrame:
-    """All configurations on the questions that name an identifier; gold are the files that hold it."""
-    asked = questions(spark, d).withColumn("name", F.lower(F.regexp_extract("question", "`([^`/]+)`", 1))).where("name <> ''")
-    index = keyword_index(spark, d)
+    """All configurations on all stated questions; gold are the files that hold the rarest indexed term of a question."""
+    asked, index = questions(spark, d), keyword_index(spark, d)
+    terms = asked.select("query_id", F.explode(query_tokens(F.col("question"))).alias("term"))
+    rarest = terms.join(index.frequencies.join(terms.select("term").distinct(), "term", "left_semi"), "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
     c = stored(chunks(spark, d, "repo_id", "path", "symbol", "kind", "text").withColumn("path", F.concat_ws("/", "repo_id", "path")))
-    gold = index.postings.join(asked.select("query_id", F.col("name").alias("term")), "term").join(c.select("id", "path"), "id").select("query_id", "path").distinct()
-    asked = stored(asked.join(gold.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "question"))
+    gold = stored(index.postings.join(rarest, "term").join(c.select("id", "path"), "id").select("query_id", "path").distinct())
+    asked = stored(asked)
     embedder = HashEmbedder(256)
     vectors = embed(c.withColumn("t", text.embed_text(F.col("path"), F.col("symbol"), F.col("kind"), F.col("text"))), embedder, ["id"], "t")
     keyword = stored(search.bm25(index, asked, 30))
@@ -407,6 +408,66 @@ def ablation_pairs(spark, d):
     return evaluation.compare(_grid_results(spark, d), [("hybrid", "vector"), ("keyword", "vector"), ("vector + demote tests", "vector")], resamples=statistics.RESAMPLES)
 
 
+def retrieval_report(spark, d):
+    """Vector search as retrieval: a vector's label is its file, a query's own label is gold and the next one acceptable."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    hits = search.cosine(table(spark, d, "embeddings"), _vector_queries(spark, d), 11).where("query_id <> id").join(v, "id")
+    hits = hits.select("query_id", "id", F.col("label").cast("string").alias("path"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    name, none = F.col("label").cast("string"), F.lit(None).cast("array<string>")
+    asked = v.where("id % 20 = 0").select(
+        F.col("id").alias("query_id"), F.concat(F.lit("nearest to vec_"), "id").alias("question"), F.concat(F.lit("kind"), F.col("label") % 3).alias("type"), F.array(name).alias("gold_files"), F.array(((F.col("label") + 1) % 10).cast("string")).alias("acceptable_files"),
+        F.when(F.col("id") % 40 == 0, F.array(F.lit("C.seven"))).otherwise(none).alias("gold_symbols"), F.when(F.col("id") % 60 == 0, F.array(F.concat(F.lit("/"), name, F.lit("/")), F.lit("none"))).otherwise(none).alias("gold_dirs"),
+    )
+    sources = hits.where("rank <= 4").select("query_id", "path", F.lit("match").alias("role"), F.when(F.col("id") % 7 == 0, "seven").otherwise("other").alias("text"), (F.col("id") % 50).alias("tokens"))
+    inside = sources.withColumn("path", F.concat("path", F.lit("/x")))  # each label as a folder too
+    rows = assessment.question_results(asked, search.ranked_files(hits), sources).drop("area_coverage")
+    area = assessment.question_results(asked, search.ranked_files(hits), inside).select("query_id", "area_coverage")
+    return assessment.retrieval_report(rows.join(area, "query_id"))
+
+
+def _six(spark, d) -> DataFrame:
+    """Citations of all answers against six sources of one made-up file each, two of them in one folder."""
+    place = lambda n: F.concat(F.when(n <= 2, "src/a/file").otherwise("src/b/file"), n.cast("string"), F.lit(".py"))
+    spans = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.struct(place(n).alias("path"), F.lit(1).alias("start_line"), F.lit(400).alias("end_line")))
+    rows = answers(spark, d).select(F.col("result_id").alias("query_id"), "answer", "finish", spans.alias("spans"))
+    sources = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.struct(place(n).alias("path"), F.lit("").alias("text"), F.lit("match").alias("role")))
+    return citation_report(rows, "answer", "spans", ["query_id", "finish"]).withColumn("sources", sources)
+
+
+def cited_numbers(spark, d):
+    text_of = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda n: n.cast("string")), ","))
+    return _six(spark, d).select(F.col("query_id").alias("result_id"), text_of(F.col("cited")).alias("cited"), text_of(F.col("invalid")).alias("invalid"), "marker_count", "grounded", "validity")
+
+
+def answer_scores(spark, d):
+    """Scores of all answers: the gold file goes round with the id, the next one is acceptable, every fourth has a gold folder."""
+    file = lambda shift: F.concat(F.when(F.pmod(F.col("query_id") + shift, F.lit(6)) < 2, "src/a/file").otherwise("src/b/file"), (1 + F.pmod(F.col("query_id") + shift, F.lit(6))).cast("string"), F.lit(".py"))
+    reports = _six(spark, d)
+    none = F.lit(None).cast("array<string>")
+    asked = reports.select("query_id", F.when(F.col("query_id") % 5 == 0, "unanswerable").otherwise("locate").alias("type"), F.array(file(0)).alias("gold_files"), F.array(file(1)).alias("acceptable_files"), F.when(F.col("query_id") % 4 == 0, F.array(F.lit("src/a"))).otherwise(none).alias("gold_dirs"), none.alias("gold_symbols"))
+    return assessment.score_answers(reports, asked).select("query_id", "type", "grounded", "precision", F.col("gold_cited").cast("int").alias("gold_cited"), "uncited_share")
+
+
+def gold_supplied(spark, d):
+    """Whether the one made-up frozen source of a question is its gold file; a third of the questions has none frozen."""
+    rows = answers(spark, d).where("question is not null").select("result_id", "question")
+    asked = rows.select("question").distinct().withColumn("n", F.length("question"))
+    name = lambda k: F.concat(F.lit("file"), F.col("n") % k).alias("path")
+    out = assessment.supplied(rows, asked.where("n % 3 <> 0").select("question", name(6)), asked.select("question", name(4)))
+    return out.select("result_id", F.col("gold_supplied").cast("int").alias("gold_supplied"))
+
+
+def judge_kappa_units(spark, d):
+    """Kappa of each judge with its interval over resampled answers; the interval holds the estimate."""
+    rows = study.kappa_bootstrap(_judge_pairs(spark, d), "answer", "model_label", "person_label", "judge")
+    return rows.select("judge", "n", "units", F.round("estimate", 6).alias("estimate"), F.col("estimate").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+def paired_intervals(spark, d):
+    rows = paired_bootstrap(spark, d)
+    return rows.select("pair", "n", F.round("mean_diff", 6).alias("mean_diff"), F.col("mean_diff").between(F.col("ci_low"), F.col("ci_high")).alias("inside"))
+
+
 def answer_summary(spark, d):
     rows = answers(spark, d).withColumn("question_type", F.coalesce("question_type", F.lit("(none)")))
     out = rows.rollup("question_type").agg(F.grouping("question_type").alias("g"), *metrics.answer_summary())
@@ -535,14 +596,18 @@ def review_sample(spark, d):
 
 
 def resume_run(spark, d):
-    """Questions that failed in some run and succeeded in none: what a resumed run has left to do."""
-    rows = answers(spark, d).select("id", "error")
+    """Questions that failed or stayed without sources in some run and succeeded in none: what a resumed run has left to do."""
+    rows = answers(spark, d).select("id", _failure().alias("error"))
     return records.resume(rows.where("error is not null").select("id").distinct(), rows, ["id"])
 
 
 def failed_answers(spark, d):
-    """Questions with a failed run: how many runs they have and how many failed."""
-    return answers(spark, d).groupBy("id").agg(F.count("*").alias("runs"), F.count("error").alias("failed")).where("failed > 0")
+    """Questions with a run that failed or stayed without sources: how many runs they have and how many failed."""
+    return answers(spark, d).groupBy("id").agg(F.count("*").alias("runs"), F.count(_failure()).alias("failed")).where("failed > 0")
+
+
+def _failure():
+    return F.coalesce("error", F.when(~F.coalesce("grounded", F.lit(False)), "not grounded"))
 
 
 # -- answers -------------------------------------------------------------------------------------------------------------
@@ -645,7 +710,9 @@ def event_examples(spark, d):
 
 
 def customers_without_orders(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an order since 1998."""
+    recent = table(spark, d, "orders").where("o_orderdate >= timestamp '1998-01-01'")
+    return table(spark, d, "customer").join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def orders_with_returns(spark, d):
