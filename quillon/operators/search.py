@@ -23,6 +23,8 @@ RRF_K = 60
 DIGITS = 6  # scores are rounded before ranking, so ties do not hang on the order of summation
 #: Numbers of queries' vectors held by one task (8 bytes each); more queries are searched in several passes.
 QUERY_CELLS = 1 << 23
+#: Terms of a question set that are broadcast, under 100 bytes each.
+SENT_TERMS = 1 << 19
 #: Queries that are multiplied with a batch at a time.
 QUERY_TILE = 256
 
@@ -36,7 +38,8 @@ def top_k(hits: DataFrame, k: int, by: Sequence[Column], key: str = "query_id")
 def bm25(index: KeywordIndex, queries: DataFrame, k: int = 30) -> DataFrame:
     """``(query_id, id, score, rank)`` of ``queries(query_id, question)``; no tokens or ``k <= 0`` give no rows.
 
-    A term found in the path or symbol counts four times one in the text.
+    A term found in the path or symbol counts four times one in the text.  Up to ``SENT_TERMS`` terms of all questions are sent to
+    the postings, so a common term is scored where its postings lie and none of them is moved before; more terms are joined.
     """
     terms = queries.select("query_id", F.explode(query_tokens(F.col("question"))).alias("term"))
     totals = index.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))  # one row
@@ -45,6 +48,8 @@ def bm25(index: KeywordIndex, queries: DataFrame, k: int = 30) -> DataFrame:
     known = terms.join(wanted, "term").crossJoin(F.broadcast(totals))
     odds = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = known.select("query_id", "term", F.when(odds > 0, odds).otherwise(1e-6).alias("idf"), "mean_length")
+    if terms.count() <= SENT_TERMS:
+        weighted = F.broadcast(weighted)
     hits = index.postings.join(weighted, "term").join(index.lengths, "id")
     tf = META_WEIGHT * F.col("tf_meta") + BODY_WEIGHT * F.col("tf_body")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))

@@ -110,6 +110,16 @@ def _made_up(row: str) -> str:
  cr as (select result_id, markers, list_transform(list_filter(z, lambda x: x[1] between 1 and 6), lambda x: x[1]) as cited, list_transform(list_filter(z, lambda x: x[1] not between 1 and 6), lambda x: x[1]) as invalid from ci){row}"""
 
 
+def _greedy(budget: int, most: int, per_file: int) -> str:
+    """``fin``: the chosen chunks of each query as lists, by two passes over its ranking."""
+    return f"""with recursive {BM25}, r0 as materialized (select query_id, id, concat_ws('/', repo_id, path) path, rank, greatest(1, ceil(length(text) / 4))::bigint tokens from hits join c using (id)),
+ it as materialized (select *, row_number() over (partition by query_id order by turn, rank) i from (select 1 turn, * from r0 union all select 2 turn, * from r0)),
+ st as (select query_id, 0::bigint i, []::varchar[] ids, []::varchar[] ps, []::bigint[] rk, []::bigint[] tk, 0::bigint used from (select distinct query_id from r0)
+  union all select s.query_id, it.i, case when k then list_append(s.ids, it.id) else s.ids end, case when k then list_append(s.ps, it.path) else s.ps end, case when k then list_append(s.rk, it.rank) else s.rk end, case when k then list_append(s.tk, it.tokens) else s.tk end, case when k then s.used + it.tokens else s.used end
+  from st s join it on it.query_id = s.query_id and it.i = s.i + 1, lateral (select len(s.ids) < {most} and not list_contains(s.ids, it.id) and len(list_filter(s.ps, lambda p: p = it.path)) < {per_file} and (it.turn = 2 or len(list_filter(s.ps, lambda p: p = it.path)) = 0) and (len(s.ids) = 0 or s.used + it.tokens <= {budget}) k) z),
+ fin as (select * from st qualify row_number() over (partition by query_id order by i desc) = 1)"""
+
+
 def _retrieval() -> str:
     """Vector search as retrieval: a vector's label is its file, a query's own label is gold, the next one acceptable."""
     hits = f"{VECTORS}, {_cosine(11)}, h as (select query_id, id, label, row_number() over (partition by query_id order by rank) r from nn join v on v.vec_id = nn.id where query_id <> id)"
@@ -125,6 +135,11 @@ def _retrieval() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    out = _oracle_sql()
+    return out | {"keyword_sources": out["retrieved_sources"]}
+
+
+def _oracle_sql() -> dict[str, str]:
     mean = lambda e, n: f"round(avg(case when error is null then ({e})::double end), 6) as {n}"
     summary = ", ".join(
         [
@@ -181,13 +196,15 @@ def oracle_sql() -> dict[str, str]:
         "vec_topk_filtered": f"with {VECTORS}, {_cosine(10, 'b.label < 5')} select query_id, id, score, rank from nn",
         "rrf_fused": f"""with {VECTORS}, {_cosine(20)}, ll as (select a.vec_id query_id, b.vec_id id, row_number() over (partition by a.vec_id order by abs(b.vec_id - a.vec_id), b.vec_id) as rank from v a join v b on a.label = b.label where a.vec_id % 20 = 0 qualify rank <= 20),
  u as (select query_id, id, rank, 1.0 w from nn union all select query_id, id, rank, 0.5 w from ll), g as (select query_id, id, round(sum(w / (60 + rank)), 9) score, min(rank) best from u group by 1, 2) select query_id, id, score, best, row_number() over (partition by query_id order by score desc, best, id) as rank from g""",
-        "greedy_select": f"""with recursive {BM25}, r0 as materialized (select query_id, id, concat_ws('/', repo_id, path) path, rank, greatest(1, ceil(length(text) / 4))::bigint tokens from hits join c using (id)),
- it as materialized (select *, row_number() over (partition by query_id order by turn, rank) i from (select 1 turn, * from r0 union all select 2 turn, * from r0)),
- st as (select query_id, 0::bigint i, []::varchar[] ids, []::varchar[] ps, []::bigint[] rk, []::bigint[] tk, 0::bigint used from (select distinct query_id from r0)
-  union all select s.query_id, it.i, case when k then list_append(s.ids, it.id) else s.ids end, case when k then list_append(s.ps, it.path) else s.ps end, case when k then list_append(s.rk, it.rank) else s.rk end, case when k then list_append(s.tk, it.tokens) else s.tk end, case when k then s.used + it.tokens else s.used end
-  from st s join it on it.query_id = s.query_id and it.i = s.i + 1, lateral (select len(s.ids) < 8 and not list_contains(s.ids, it.id) and len(list_filter(s.ps, lambda p: p = it.path)) < 2 and (it.turn = 2 or len(list_filter(s.ps, lambda p: p = it.path)) = 0) and (len(s.ids) = 0 or s.used + it.tokens <= 2000) k) z),
- fin as (select * from st qualify row_number() over (partition by query_id order by i desc) = 1)
- select query_id, unnest(ids) as id, unnest(ps) as path, unnest(rk) as rank, unnest(tk) as tokens, unnest(range(1, len(ids) + 1)) as position from fin""",
+        "greedy_select": _greedy(2_000, 8, 2) + " select query_id, unnest(ids) as id, unnest(ps) as path, unnest(rk) as rank, unnest(tk) as tokens, unnest(range(1, len(ids) + 1)) as position from fin",
+        "retrieved_sources": _greedy(12_000, 12, 4)
+        + """, ch as (select query_id, unnest(ids) as id, unnest(ps) as path, unnest(rk) as rank from fin), sp as (select query_id, ch.id, ch.path, ch.rank, text, start_line, coalesce(end_line, start_line + len(string_split(text, chr(10))) - 1) end_line from ch join c using (id)),
+ op1 as (select *, case when start_line > max(end_line) over (partition by query_id, path order by start_line, end_line, id rows between unbounded preceding and 1 preceding) + 1 or row_number() over (partition by query_id, path order by start_line, end_line, id) = 1 then 1 else 0 end op from sp),
+ gr1 as (select *, sum(op) over (partition by query_id, path order by start_line, end_line, id rows unbounded preceding) isl from op1), mg as (select query_id, path, isl, min(start_line) start_line, max(end_line) end_line, min(rank) rank from gr1 group by 1, 2, 3),
+ ln as (select query_id, path, start_line s0, end_line e0, id, unnest(list_zip(string_split(text, chr(10)), range(1, len(string_split(text, chr(10))) + 1))) z from sp),
+ one as (select query_id, path, s0 + z[2] - 1 n, z[1] line from ln qualify row_number() over (partition by query_id, path, s0 + z[2] order by s0 desc, e0 desc, id desc) = 1),
+ tx as (select m.query_id, m.path, m.start_line, string_agg(line, chr(10) order by n) t from mg m join one on one.query_id = m.query_id and one.path = m.path and n between m.start_line and m.end_line group by all)
+ select query_id, path, start_line, end_line, rank, 'match' as role, greatest(1, ceil(length(t) / 4))::bigint as tokens, sha1(t) as text_hash from mg join tx using (query_id, path, start_line)""",
         "merged_spans": f"""with {CHUNKS}, s as (select repo_id, path, kind, symbol, id, start_line, coalesce(end_line, start_line) end_line from c),
  o as (select *, case when start_line > max(end_line) over (partition by repo_id, path order by start_line, end_line, id rows between unbounded preceding and 1 preceding) + 1 or row_number() over (partition by repo_id, path order by start_line, end_line, id) = 1 then 1 else 0 end op from s),
  g as (select *, sum(op) over (partition by repo_id, path order by start_line, end_line, id rows unbounded preceding) isl from o),

@@ -15,7 +15,7 @@ from quillon.functions.identifiers import query_tokens, words
 from quillon.functions.intents import overview_intent
 from quillon.operators import answering, assessment, chunking, evaluation, indexing, metrics, repo_map, search, selection, statistics, study, walking
 from quillon.operators.retrieval import Retriever
-from quillon.session import stored, table
+from quillon.session import FileSystem, stored, table
 from quillon.sources import records
 from quillon.sources.settings import Settings
 from quillon.streaming.incremental import windowed_counts
@@ -70,8 +70,17 @@ def study_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"prompt": F.substring_index("setting", "-", 1), "context": F.regexp_extract("setting", "^[^-]*-(.*)$", 1), "model": model, "failed": F.col("error").isNotNull()})
 
 
+_INDEXES: dict[tuple, tuple[tuple, indexing.KeywordIndex]] = {}
+
+
 def keyword_index(spark: SparkSession, d: str) -> indexing.KeywordIndex:
-    return indexing.KeywordIndex.build(chunks(spark, d, "path", "symbol", "text"))
+    """The index of a data directory, built and stored once for a session and again if the files of its chunks are others."""
+    key, content = (spark.sparkContext.applicationId, d), FileSystem(spark, d).state(f"{d}/chunks.parquet")
+    known = _INDEXES.get(key)
+    if known is None or known[0] != content:
+        made = indexing.KeywordIndex.build(chunks(spark, d, "path", "symbol", "text"))
+        _INDEXES[key] = content, indexing.KeywordIndex(made.postings, stored(made.lengths), stored(made.frequencies))
+    return _INDEXES[key][1]
 
 
 # -- files and paths -----------------------------------------------------------------------------------------------------
@@ -308,6 +317,14 @@ def hybrid_sources(spark, d):
     return whole.retrieve(asked).select("query_id", "path", "start_line", "end_line", "rank", "role", "tokens", F.sha1("text").alias("text_hash"))
 
 
+def keyword_sources(spark, d):
+    """``Retriever.retrieve`` by keywords alone; all chunks count as windows, so none brings the header of a class."""
+    columns = ["language", "symbol", "start_line", "end_line", "text"]
+    c = chunks(spark, d, "repo_id", "path", *columns).select("id", F.concat_ws("/", "repo_id", "path").alias("path"), F.lit("window").alias("kind"), *columns)
+    whole = Retriever(c, keyword_index(spark, d), settings=Settings(mode="keyword", test_penalty=1.0))
+    return whole.retrieve(questions(spark, d)).select("query_id", "path", "start_line", "end_line", "rank", "role", "tokens", F.sha1("text").alias("text_hash"))
+
+
 def retrieved_sources(spark, d):
     out = _sources(spark, d).withColumn("tokens", text.estimate_tokens(F.col("text")))
     return out.select("query_id", "path", "start_line", "end_line", "rank", "role", "tokens", F.sha1("text").alias("text_hash"))
@@ -729,7 +746,7 @@ def revenue_by_nation(spark, d):
     return rows.groupBy("n_name", "year").agg(F.sum("cents").alias("revenue_cents"), F.count("*").alias("lines"))
 
 
-_HELPERS = {"files", "chunks", "answers", "questions", "claim_labels", "verdicts", "study_rows", "keyword_index", "table", "stored", "claim_rows", "citation_report", "windowed_counts", "hashed_vector", "embed", "query_tokens", "words", "overview_intent", "warnings"}
+_HELPERS = {"FileSystem", "files", "chunks", "answers", "questions", "claim_labels", "verdicts", "study_rows", "keyword_index", "table", "stored", "claim_rows", "citation_report", "windowed_counts", "hashed_vector", "embed", "query_tokens", "words", "overview_intent", "warnings"}
 
 
 def queries() -> dict[str, Query]:

@@ -77,6 +77,11 @@ class FileSystem:
         stream.close()
         return True
 
+    def state(self, path: str) -> tuple:
+        """Names, sizes and times of the files of a path; another state means another content."""
+        at = self._java.Path(path)
+        return tuple((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in self._fs.listStatus(at)) if self._fs.exists(at) else ()
+
     def size(self, path: str) -> int:
         return self._fs.getContentSummary(self._java.Path(path)).getLength()
 
