@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "nl")
 #: Labelled documents per language that the models are trained on.
 SAMPLE = 400
+#: Characters of the longest document that models are trained on; what is collected is bounded by both.
+SAMPLE_CHARS = 50_000
 ORDER, BITS = 4, 6
 DISCOUNT = 0.75
 #: Nats by which the best language of a sentence must lead, and letters it must have, to stand as a language of its own.
@@ -164,6 +166,7 @@ class Models:
     logp: np.ndarray  # [n-gram, language]
     parts: list[_Counts]
     limit: np.ndarray  # highest accepted cross-entropy per language
+    temperature: float = 8.0  # nats of lead are divided by it where they become a confidence
 
     def sentence_scores(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed log-probabilities ``[sentence, language]`` and the number of scored characters."""
@@ -212,7 +215,7 @@ def train(sentences: dict[str, list[str]], languages: tuple[str, ...] = LANGUAGE
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, languages: tuple[str, ...] = LANGUAGES) -> Models:
     """Train on labelled documents, those of the lowest hashed ids of each language; wrong labels are cleaned out once."""
-    rows = df.select(F.xxhash64(id_col).alias("h"), label_language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(*languages) & F.col("text").isNotNull())
+    rows = df.select(F.xxhash64(id_col).alias("h"), label_language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isin(*languages) & (F.length("text") <= SAMPLE_CHARS))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 1.3 * sample / max(1, counts.get(lang, 0))))]), F.col("lang"))
     picked = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).orderBy("lang", "h").limit(2 * sample * len(languages)).toPandas()
@@ -223,7 +226,32 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int =
     for k, lang in enumerate(languages):
         sums, _ = first.sentence_scores(sentences[lang])
         clean[lang] = [s for s, best in zip(sentences[lang], sums.argmax(1) if len(sums) else []) if best == k]
-    return train(clean, languages)
+    models = train(clean, languages)
+    models.temperature = calibrated(clean, languages)
+    return models
+
+
+def confidence(scores: np.ndarray, temperature: float) -> np.ndarray:
+    """Probabilities ``[row, language]`` of summed log-probabilities."""
+    odds = np.exp(np.clip((scores - scores.max(1, keepdims=True)) / temperature, -50, 0))
+    return odds / odds.sum(1, keepdims=True)
+
+
+def calibrated(sentences: dict[str, list[str]], languages: tuple[str, ...] = LANGUAGES) -> float:
+    """The temperature at which models of every second sentence give the others the least log loss."""
+    models = train({k: v[::2] for k, v in sentences.items()}, languages)
+    scores, truth = [], []
+    for k, lang in enumerate(languages):
+        held = sentences.get(lang, [])[1::2]
+        if held:
+            sums, n = models.sentence_scores(held)
+            scores.append(sums[n > 0])
+            truth += [k] * int((n > 0).sum())
+    if not scores:
+        return 8.0
+    flat, right = np.concatenate(scores), np.array(truth)
+    loss = {t: -np.log(np.maximum(confidence(flat, t)[np.arange(len(right)), right], 1e-9)).mean() for t in (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0)}
+    return min(loss, key=loss.get)
 
 
 def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, int, float, int, bool]]]:
@@ -253,9 +281,7 @@ def segments_of(texts: list[str], models: Models) -> list[list[tuple[int, int, i
                 mine.append([start, end, score.copy(), letters, int(certain), best])
         done = []
         for start, end, score, letters, certain, best in mine:
-            # an uncertain first sentence takes the language of what follows
-            odds = np.exp(np.clip((score - score[best]) / 8, -50, 0))
-            done.append((start, end, best, round(float(1 / max(odds.sum(), 1.0)), 4), letters, certain > 0))
+            done.append((start, end, best, round(float(confidence(score[None], models.temperature)[0, best]), 4), letters, certain > 0))
         out.append(done)
     return out
 

@@ -76,3 +76,27 @@ def test_fit_on_labelled_documents(spark):
     wrong = lg.corrected_languages(lg.language_segments(df, models=m))
     assert [tuple(r) for r in wrong.collect()] == [(0, "en")]
     assert lg.fit(df.limit(0), "doc_id", "text", "lang").languages == lg.LANGUAGES
+
+
+def test_confidence_is_calibrated_on_held_out_sentences(spark):
+    import os
+
+    import pytest
+
+    data = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(data)
+    models = lg.fit(df.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
+    assert 1.0 <= models.temperature <= 16.0
+    held = df.where("doc_id % 2 = 1 and lang in ('en', 'de', 'fr', 'es', 'pt', 'nl')").select("text", "lang").toPandas()
+    sure, right = [], []
+    for text, lang in held.itertuples(index=False):
+        found = [s for *_, s in lg.prose(text)]
+        if found:
+            sums, _ = models.sentence_scores(found)
+            p = lg.confidence(sums, models.temperature)
+            sure += p.max(1).tolist()
+            right += [models.languages[k] == lang for k in sums.argmax(1)]
+    # labels of the data are wrong now and then, so no more than they allow is asked for
+    assert len(sure) > 200 and abs(sum(sure) / len(sure) - sum(right) / len(right)) < 0.2
