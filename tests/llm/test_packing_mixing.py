@@ -118,9 +118,9 @@ def test_long_texts_have_the_tokens_of_the_whole():
     from quillon.llm import tokens
 
     rng = random.Random(6)
-    text = "".join(rng.choice(["word", " ", " ", "  ", "\n", "\n\n", "x1", "é", ".", "don't", "\t "]) for _ in range(3000))
+    text = "".join(rng.choice(["word", " ", " ", "  ", "\n", "\n\n", "x1", "é", ".", "don't", "\t "]) for _ in range(9000))
     assert "".join(tokens.pieces(text, 100)) == text and max(map(len, tokens.pieces(text, 100))) <= 100
     assert list(tokens.pieces("a" * 250, 100)) == ["a" * 100, "a" * 100, "a" * 50] and list(tokens.pieces("", 100)) == [""]
     if os.path.exists(tokens.DEFAULT_VOCABULARY):
         encode = tokens.encoding(tokens.DEFAULT_VOCABULARY).encode_ordinary
-        assert [t for x in tokens.pieces(text, 100) for t in encode(x)] == encode(text)
+        assert [t for x in tokens.pieces(text, 2_000) for t in encode(x)] == encode(text)  # a place to cut is always near
