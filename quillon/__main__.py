@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from quillon.functions import paths
 from quillon.functions.text import location
 from quillon.operators import metrics, search, walking
+from quillon.operators.answering import ProviderError
 from quillon.operators.evaluation import markdown
 from quillon.operators.indexing import KeywordIndex
+from quillon.operators.retrieval import Answerer, Retriever
 from quillon.operators.structure import chunk_text
 from quillon.session import create_session, importable
 from quillon.sources import records
+from quillon.sources.models import create_provider
 from quillon.sources.repository import RepositorySource, load
+from quillon.sources.settings import Settings
 from quillon.sources.tables import CHUNKER_VERSION, IndexMismatchError, VersionedTables
 from quillon.streaming.incremental import apply_batch
 
@@ -72,6 +76,27 @@ def find(place: str, question: str, k: int) -> int:
     return 0
 
 
+def ask(place: str, question: str, provider: str, model: str) -> int:
+    spark = _session()
+    tables = VersionedTables(spark, place)
+    if not tables.is_built():
+        print(f"{place} holds no index", file=sys.stderr)
+        return 2
+    tables.check(chunker=CHUNKER_VERSION)
+    retriever = Retriever.from_tables(tables, Settings(mode="keyword"))
+    try:
+        source = create_provider(provider, model, **({"reply": "See [1]."} if provider == "scripted" else {}))
+        (row,) = Answerer(retriever, source).answer(spark.createDataFrame([(1, question)], "query_id int, question string")).collect()
+    except (ProviderError, PermissionError) as e:
+        print(e, file=sys.stderr)
+        return 1
+    print(row["clean_text"] or row["error"] or "No relevant code was found, so nothing was answered.")
+    for n in row["cited"]:
+        s = row["sources"][n - 1]
+        print(f"[{n}] {s['path']}:{s['start_line']}-{s['end_line']}")
+    return 0
+
+
 def stats(place: str) -> int:
     tables = VersionedTables(_session(), place)
     state = tables.current()
@@ -119,18 +144,23 @@ def evaluate(place: str, file: str) -> int:
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillon", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, args in {"index": ("root", "place"), "search": ("place", "question"), "stats": ("place",), "chunks": ("file",), "eval": ("place", "file")}.items():
+    for name, args in {"index": ("root", "place"), "search": ("place", "question"), "ask": ("place", "question"), "stats": ("place",), "chunks": ("file",), "eval": ("place", "file")}.items():
         sub = commands.add_parser(name)
         for a in args:
             sub.add_argument(a)
         if name == "search":
             sub.add_argument("-k", type=int, default=10)
+        if name == "ask":
+            sub.add_argument("--provider", default="server")
+            sub.add_argument("--model", default="")
     got = parser.parse_args(arguments)
     try:
         if got.command == "index":
             return index(got.root, got.place)
         if got.command == "search":
             return find(got.place, got.question, got.k)
+        if got.command == "ask":
+            return ask(got.place, got.question, got.provider, got.model)
         if got.command == "stats":
             return stats(got.place)
         if got.command == "chunks":

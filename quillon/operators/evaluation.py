@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -11,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.embedding import embed
 from quillon.operators import metrics, search, statistics
+from quillon.session import stored
 
 
 @dataclass(frozen=True)
@@ -122,6 +125,35 @@ def classifier_report(cases: DataFrame, expected: str = "expected", got: str = "
     return cases.agg(F.count_if(e).alias("positive"), F.count_if(e & g).alias("found"), F.count_if(~e).alias("negative"), F.count_if(~e & g).alias("false_flags"))
 
 
+def embedding_benchmark(chunks: DataFrame, questions: DataFrame, gold: DataFrame, embedders: dict, keyword: DataFrame | None = None, k: int = 40, shown: int = 10) -> DataFrame:
+    """``(name, questions, hit_1 ... mrr, seconds, place)`` of each embedder, and of a keyword ranking beside them.
+
+    Each searches its ``k`` best chunks, whose first ``shown`` different files count.  ``seconds`` is the time to embed all chunks.
+    """
+    parts = []
+    for name, embedder in embedders.items():
+        began = time.time()
+        vectors = stored(embed(chunks, embedder, ["id"], "text"))
+        seconds = time.time() - began
+        hits = search.cosine(vectors, embed(questions, embedder, ["query_id"], "question"), k, id_col="id")
+        parts.append((name, hits, seconds))
+    if keyword is not None:
+        parts.append(("keyword", keyword.where(F.col("rank") <= k), 0.0))
+    rows = []
+    for name, hits, seconds in parts:
+        files = search.ranked_files(search.hydrate(hits, chunks.select("id", "path"))).where(F.col("rank") <= shown)
+        rows.append(metrics.gold_ranks(questions, files, gold).agg(F.lit(name).alias("name"), F.count("*").alias("questions"), *metrics.ranking_summary(), F.lit(round(seconds, 3)).alias("seconds")))
+    out = reduce(DataFrame.unionByName, rows)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mrr"), F.desc("hit_5"), "seconds", "name")))  # a row per embedder
+
+
+def rerank_ablation(ranked_chunks: DataFrame, questions: DataFrame, gold: DataFrame, scores: dict[str, Column], head: int = 30) -> DataFrame:
+    """``(config, query_id, rank)`` without reranking and with each of the scores, all over one ranking."""
+    lists = {"baseline": ranked_chunks} | {name: search.rerank(ranked_chunks, score, head) for name, score in scores.items()}
+    parts = [metrics.gold_ranks(questions, search.ranked_files(rows), gold).withColumn("config", F.lit(name)) for name, rows in lists.items()]
+    return reduce(DataFrame.unionByName, parts).select("config", "query_id", "rank")
+
+
 def markdown(rows: DataFrame, limit: int = 200) -> str:
     """A small table as markdown, for a report of one reader."""
     shown = rows.limit(limit).collect()

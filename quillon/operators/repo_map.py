@@ -78,23 +78,83 @@ def readmes(files: DataFrame) -> DataFrame:
     return one.select("repo_id", "f.path", text.alias("text"), estimate_tokens(text).alias("tokens"))
 
 
-def render_map(files: DataFrame, outline: DataFrame, repo_id: str, budget_tokens: int = 1500) -> str:
-    """The map of one repository as text within a budget; a report for one reader, its rows come from the operators above."""
+#: Files whose description is that of their directory, the best first (fixed values), and how many entries a map shows.
+NAMING = ("__init__.py", "doc.go", "mod.rs", "index.ts", "index.js", "README.md")
+ROOT_FILES, DOCS_SHOWN, CODE_SHOWN, DOC_DEPTH = 12, 8, 10, 3
+DIRECTORY_SHARE = 0.7
+
+
+def directory_purposes(described: DataFrame) -> DataFrame:
+    """``(repo_id, directory, purpose)``: what the naming file right in a directory says, from ``self_descriptions``."""
+    place = F.array_position(F.array(*map(F.lit, NAMING)), paths.file_name(F.col("path")))
+    rows = described.where(F.col("path").contains("/")).select("repo_id", F.regexp_extract("path", r"^(.*)/", 1).alias("directory"), "description", place.alias("place")).where("place > 0")
+    return rows.groupBy("repo_id", "directory").agg(F.min_by("description", "place").alias("purpose"))
+
+
+def notable_files(described: DataFrame, files: DataFrame) -> DataFrame:
+    """``(repo_id, section, path, description, place)``: documents near the top and code that describes itself, shallow ones first."""
+    top = F.size(F.split("path", "/")).alias("depth")
+    rows = files.select("repo_id", "path").distinct().join(described.select("repo_id", "path", "description"), ["repo_id", "path"], "left")
+    kind, plain = paths.kind_of(F.col("path")), ~paths.is_test_path(F.col("path")) & ~F.col("path").isin(*README_NAMES)
+    doc, code = (kind == "doc") & (F.size(F.split("path", "/")) <= DOC_DEPTH), (kind == "code") & F.col("description").isNotNull() & ~paths.file_name(F.col("path")).isin(*NAMING)
+    named = rows.where(plain).withColumn("section", F.when(doc, "docs").when(code, "code")).where("section is not null").select("*", top)
+    order = Window.partitionBy("repo_id", "section").orderBy("depth", F.col("path").startswith("."), "path")
+    limit = F.when(F.col("section") == "docs", DOCS_SHOWN).otherwise(CODE_SHOWN)
+    return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("depth")
+
+
+def _count(n: int) -> str:
+    return f"{n} file{'' if n == 1 else 's'}"
+
+
+def render_map(files: DataFrame, outline: DataFrame, repo_id: str, budget_tokens: int = 1500, heads: DataFrame | None = None) -> str:
+    """The map of one repository as text within a budget; a report for one reader, its rows come from the operators above.
+
+    ``heads`` (``repo_id, path, language, head``) adds what directories are for and files that describe themselves.  Directories take
+    up to ``DIRECTORY_SHARE`` of the room, one that doesn't fit is passed over; the files after them end with the first that doesn't.
+    """
     mine = files.where(F.col("repo_id") == repo_id)
+    described = self_descriptions(heads.where(F.col("repo_id") == repo_id)) if heads is not None else None
     rows = map_directories(mine).join(directory_languages(mine), ["repo_id", "directory"], "left")
     rows = rows.join(directory_symbols(outline.where(F.col("repo_id") == repo_id)), ["repo_id", "directory"], "left")
-    # no more directories than characters of the budget can be shown
-    found = rows.where(~paths.is_test_path(F.concat("directory", F.lit("/x")))).orderBy("shown_depth", F.desc("files"), "directory").limit(budget_tokens * 4).collect()
+    rows = rows.join(directory_purposes(described), ["repo_id", "directory"], "left") if described is not None else rows.withColumn("purpose", F.lit(None).cast("string"))
     total = mine.select("path").distinct().count()
-    room = budget_tokens * 4 * 7 // 10
+    if not total:
+        return "(the index is empty)"
+    spoken = mine.where("language is not null").groupBy("language").agg(F.countDistinct("path").alias("n"), F.min("path").alias("first")).orderBy(F.desc("n"), "first").limit(6).collect()
+    top = mine.where(~F.col("path").contains("/")).select("path").distinct()
+    shown = [r["path"] for r in top.orderBy(~F.col("path").isin(*README_NAMES), F.col("path").startswith("."), "path").limit(ROOT_FILES).collect()]
+    more = top.count() - len(shown)
+    lines = ["Repository map (generated from the index; it is not a source file).", f"{_count(total)}: {', '.join(f'{r.language} {r.n}' for r in spoken)}." if spoken else f"{_count(total)}."]
+    if shown:
+        lines.append("Files at the top level: " + ", ".join(shown) + (f", and {more} more." if more else "."))
+    lines.append("")
+    room, used = budget_tokens * 4, sum(len(x) + 1 for x in lines)
+    # no more directories than characters of the budget can be shown
+    found = rows.where(~paths.is_test_path(F.concat("directory", F.lit("/x")))).orderBy("shown_depth", F.desc("files"), "directory").limit(room).collect()
     chosen = []
     for r in found:
-        line = f"{'  ' * (r['shown_depth'] - 1)}{r['directory']}/  ({r['files']} file{'' if r['files'] == 1 else 's'}, {r['languages'] or ''})" + (f"  defines {r['symbols']}" if r["symbols"] else "")
-        if not chosen or room >= len(line) + 1:
+        line = f"{'  ' * (r['shown_depth'] - 1)}{r['directory']}/  ({_count(r['files'])}{', ' + r['languages'] if r['languages'] else ''})" + (f" - {r['purpose']}" if r["purpose"] else "") + (f"  defines {r['symbols']}" if r["symbols"] else "")
+        if not chosen or used + len(line) + 1 <= room * DIRECTORY_SHARE:
             chosen.append((r["directory"], line))
-            room -= len(line) + 1
-    tests = ", ".join(f"{r['directory']}/ ({r['files']} file{'' if r['files'] == 1 else 's'})" for r in test_directories(mine).orderBy("directory").limit(100).collect())
-    return "\n".join([f"Repository map (generated from the index; not a source file).\n{total} files.", "", *[x for _, x in sorted(chosen)], *([f"Tests: {tests}."] if tests else [])])
+            used += len(line) + 1
+    lines += [x for _, x in sorted(chosen)]
+    tests = ", ".join(f"{r['directory']}/ ({_count(r['files'])})" for r in test_directories(mine).orderBy("directory").limit(room).collect())
+    if tests:
+        lines.append(f"Tests: {tests}.")
+        used += len(lines[-1]) + 1
+    if described is not None:
+        notable = notable_files(described, mine).orderBy("section", "place").collect()  # at most DOCS_SHOWN + CODE_SHOWN rows
+        for section, title in (("docs", "Documentation files (title or first heading):"), ("code", "Code files that describe themselves:")):
+            entries = []
+            for r in (r for r in notable if r["section"] == section):
+                line = f"  {r['path']}" + (f" - {r['description']}" if r["description"] else "")
+                if used + len(line) + 1 > room:
+                    break
+                entries.append(line)
+                used += len(line) + 1
+            lines += ["", title, *entries] if entries else []
+    return "\n".join(lines)
 
 
 LISTED = r"([\w.@+/-]+)/ {1,2}\(\d+ files?"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.citations import citation_report
 from quillon.functions.intents import overview_intent
-from quillon.functions.text import estimate_tokens
-from quillon.operators import search, selection
+from quillon.functions.text import context_budget, estimate_tokens
+from quillon.operators import answering, search, selection
 from quillon.operators.indexing import KeywordIndex
 from quillon.session import stored
 from quillon.sources.settings import Settings
@@ -44,6 +45,14 @@ class Retriever:
         if min(s.top_k, s.max_chunks, s.max_chunks_per_file, s.context_budget) < 1 or s.keyword_weight < 0 or not (0 < s.test_penalty and 0 < s.changelog_penalty):
             raise RetrievalError("sizes and penalties must be positive")
 
+    @staticmethod
+    def from_tables(tables, settings: Settings = Settings(), reranker: Column | None = None) -> "Retriever":
+        """A retriever over a stored index; raises where the mode needs a table that it has not."""
+        if not tables.is_built():
+            raise RetrievalError(f"{tables.root} holds no index")
+        keyword = KeywordIndex(*(tables.read(n) for n in ("postings", "lengths", "frequencies"))) if tables.has("postings") else None
+        return Retriever(tables.read("chunks"), keyword, tables.read("vectors") if tables.has("vectors") else None, settings, reranker)
+
     def rank(self, questions: DataFrame, only_paths: DataFrame | None = None) -> DataFrame:
         """``(query_id, question, id, score, rank, ...)`` with the chunks' columns.
 
@@ -106,3 +115,35 @@ class Retriever:
         body = sources.join(used, "query_id").withColumns({"at": F.row_number().over(order), "running": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
         body = body.where((F.col("at") == 1) | (F.col("running") + F.col("front") <= self.settings.context_budget)).withColumn("position", F.col("last") + F.col("at")).drop("at", "running", "front", "last")
         return plain.unionByName(body).unionByName(head.select("query_id", "path", "language", "text", "role", "position", "tokens"), allowMissingColumns=True)
+
+
+ANSWER_SYSTEM = "Answer the question from the numbered sources alone and cite them like [1]. Say so where they do not hold the answer."
+
+
+@dataclass
+class Answerer:
+    """Questions to cited answers: retrieval within the provider's room, one call per question, and what its citations amount to."""
+
+    retriever: Retriever
+    provider: answering.Provider
+    max_tokens: int = 1_000
+    consent: bool = False
+
+    def answer(self, questions: DataFrame) -> DataFrame:
+        """``(query_id, question, finish, error, reply, clean_text, cited, invalid, uncited, unverified_locations, grounded, validity, sources)``.
+
+        A question for which nothing is found is answered with ``no_context`` and no call.
+        """
+        window = getattr(self.provider, "context_window", None)
+        s = self.retriever.settings
+        room = context_budget(F.lit(window).cast("long"), F.lit(s.context_budget), F.lit(self.max_tokens), F.lit(None).cast("int"))
+        budget = int(questions.sparkSession.range(1).select(room.cast("long")).first()[0])
+        sources = stored(replace(self.retriever, settings=replace(s, context_budget=budget)).retrieve(questions))
+        blocks = questions.select("query_id", "question").join(answering.format_sources(sources), "query_id", "left")
+        asked = blocks.withColumn("message", F.when(F.col("block").isNotNull(), answering.answer_message(F.col("block"), F.col("question"))))
+        got = answering.complete(asked, self.provider, ["query_id", "question"], ANSWER_SYSTEM, max_tokens=self.max_tokens, consent=self.consent)
+        order = F.struct("rank", (F.col("role") == "context").alias("last"), "path", "start_line", "end_line", "text", "role")
+        spans = sources.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["path"].alias("path"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"), x["text"].alias("text"), x["role"].alias("role"))).alias("sources"))
+        both = stored(got.join(spans, "query_id", "left"))
+        report = citation_report(both, "reply", "sources", ["query_id"])
+        return both.select("query_id", "question", "finish", "error", "reply", "sources").join(report, "query_id")
