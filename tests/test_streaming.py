@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from quillon.sources.tables import VersionedTables
@@ -54,7 +56,13 @@ def test_windows_and_conversations(spark, tmp_path):
     schema = "conv_id string, turn int, question string, answer string"
     spark.createDataFrame([("c", i, f"q{i}", None if i == 2 else "a") for i in range(6)], schema).coalesce(1).write.parquet(source)
     turns = spark.readStream.schema(schema).parquet(source)
-    q = conversation_state(turns).writeStream.format("memory").queryName("conv").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = conversation_state(turns, forget=None).writeStream.format("memory").queryName("conv").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     row = spark.sql("select * from conv").collect()[-1]
     assert (row["turns"], row["history"]) == (5, ["q3", "q4", "q5"])
+    live = conversation_state(turns, forget="1 hour").writeStream.format("memory").queryName("live").outputMode("update").option("checkpointLocation", str(tmp_path / "d")).trigger(processingTime="0 seconds").start()
+    end = time.time() + 40
+    while time.time() < end and not spark.sql("select * from live").count():
+        time.sleep(0.5)
+    live.stop()
+    assert spark.sql("select * from live").collect()[-1]["turns"] == 5
