@@ -1,7 +1,9 @@
 """Keyword search by document: the same ranking as by postings, without moving pairs of questions and documents."""
 
 import math
+import os
 import random
+import re
 
 import pytest
 
@@ -9,6 +11,7 @@ from quillon.functions.identifiers import identifier_tokens, tokens_of
 from quillon.operators import search
 from quillon.operators.indexing import AskedIndex, KeywordIndex, terms_of
 
+DATA = os.environ.get("QUILLON_TESTDATA", "/root/testdata/sf0.001")
 WORDS = ["get_user", "getUserById", "load", "page", "Page2", "straße", "x", "HTTPServer", "the", "index", "_", "école", "rare_one"]
 
 
@@ -23,7 +26,7 @@ def corpus(spark, n=120, seed=3):
 def brute(rows, asked, k):
     docs = {}
     for i, path, symbol, text in rows:
-        split = lambda t: [x for w in __import__("re").findall(r"\w+", t) for x in tokens_of(w)]
+        split = lambda t: [x for w in re.findall(r"\w+", t) for x in tokens_of(w)]
         docs[i] = split(" ".join(x for x in (path, symbol) if x)), split(text or "")
     docs = {i: x for i, x in docs.items() if x[0] or x[1]}
     mean = sum(len(m) + len(b) for m, b in docs.values()) / len(docs)
@@ -76,3 +79,24 @@ def test_pairs_of_questions_and_documents_are_not_shuffled(spark):
     for index in (AskedIndex.build(chunks, asked), KeywordIndex.build(chunks)):
         plan = search.bm25(index, asked, 5)._jdf.queryExecution().executedPlan().toString()
         assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def kept(monkeypatch, name, spark):
+    """What a query stores on its way, and its result."""
+    from quillon.plans import queries
+
+    frames, plain = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df: frames.append(df) or plain(df))
+    result = queries.queries()[name](spark, DATA)
+    return [*frames, result]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_sources_move_the_texts_of_chosen_chunks_only(spark, monkeypatch):
+    ranked, picked, spans, _ = kept(monkeypatch, "retrieved_sources", spark)
+    assert "text" not in ranked.columns and "first(text" not in plan(ranked) and "text" not in picked.columns
+    assert spans.count() == picked.count() and spans.where("text is null").count() == 0
