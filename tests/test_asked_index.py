@@ -5,6 +5,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillon.functions.identifiers import identifier_tokens, tokens_of
@@ -100,3 +101,34 @@ def test_sources_move_the_texts_of_chosen_chunks_only(spark, monkeypatch):
     ranked, picked, spans, _ = kept(monkeypatch, "retrieved_sources", spark)
     assert "text" not in ranked.columns and "first(text" not in plan(ranked) and "text" not in picked.columns
     assert spans.count() == picked.count() and spans.where("text is null").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["ablation_grid", "ablation_pairs", "hybrid_sources", "context_prefix", "prompts"])
+def test_searching_needs_no_index_of_all_words(spark, monkeypatch, name):
+    from quillon.plans import queries
+
+    def refuse(*a, **k):
+        raise AssertionError("all words of all chunks were indexed")
+
+    monkeypatch.setattr(KeywordIndex, "build", refuse)
+    monkeypatch.setattr(queries, "_INDEXES", {})
+    assert queries.queries()[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("cells,tile,exact,k", [(64, 2, 3, 5), (1 << 20, 256, 1 << 13, 40), (8, 256, 1, 1)])
+def test_cosine_in_single_precision_is_exact_with_ties_and_near_ties(spark, monkeypatch, cells, tile, exact, k):
+    for name, value in (("VECTOR_CELLS", cells), ("QUERY_TILE", tile), ("EXACT_PAIRS", exact)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(90, 8))
+    v[20:50] = v[10] + rng.normal(size=(30, 8)) * 2e-4  # differ by less than single precision tells
+    v[50:60], v[60:64] = v[3], 0
+    ids = [f"d{i:02d}" for i in rng.permutation(90)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "id string, embedding array<double>").repartition(3)
+    asked = [10, 3, 60, 0, 7]
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in asked], "query_id int, embedding array<double>")
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+    want = {(a, i, -s, n) for a in asked for n, (s, i) in enumerate(sorted(zip((-np.round(u @ u[a], 6)).tolist(), ids))[:k], 1)}
+    assert {tuple(r) for r in search.cosine(df, q, k, id_col="id").collect()} == {(a, i, s + 0.0, n) for a, i, s, n in want}
