@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from quillon.functions.embedding import HashEmbedder, embed
 from quillon.functions.identifiers import identifier_tokens, tokens_of
 from quillon.operators import search
 from quillon.operators.indexing import AskedIndex, KeywordIndex, terms_of
@@ -132,3 +133,13 @@ def test_cosine_in_single_precision_is_exact_with_ties_and_near_ties(spark, monk
     u = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
     want = {(a, i, -s, n) for a in asked for n, (s, i) in enumerate(sorted(zip((-np.round(u @ u[a], 6)).tolist(), ids))[:k], 1)}
     assert {tuple(r) for r in search.cosine(df, q, k, id_col="id").collect()} == {(a, i, s + 0.0, n) for a, i, s, n in want}
+
+
+def test_texts_become_vectors_in_the_task_that_searches_them(spark):
+    chunks, asked, _ = corpus(spark)
+    embedder = HashEmbedder(64)
+    asked = embed(asked, embedder, ["query_id"], "question")
+    want = search.cosine(embed(chunks, embedder, ["id"], "text"), asked, 9, id_col="id")
+    got = search.cosine(chunks, asked, 9, id_col="id", text_col="text", embedder=embedder)
+    assert (plan(got).count("MapInArrow"), plan(want).count("MapInArrow")) == (1, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.__main__ import main
-from quillon.operators import answering, evaluation as ev
+from quillon.operators import answering, evaluation as ev, metrics, search
 from quillon.sources.settings import Settings, is_local_host, load_matrix
 from quillon.sources.tables import VersionedTables
 from quillon.sources.vectors import VectorTable
@@ -111,3 +112,24 @@ def test_command_line(spark, tmp_path, capsys):
     questions.write_text("{}\n")
     assert main(["eval", place, str(questions)]) == 2
     assert main(["search", str(tmp_path / "none"), "x"]) == 2 and main(["index", str(tmp_path / "none"), place]) == 2
+
+
+def test_whole_grid_equals_each_configuration_and_is_worked_out_once(spark):
+    r = random.Random(4)
+    ids = [f"c{i}" for i in range(40)]
+    paths = [(i, r.choice(["src/a.py", "src/b.py", "tests/t.py", "CHANGELOG.md", "lib/c.go", "e2e/x.ts"])) for i in ids[:37]]  # three have none
+    asked = [(q, r.choice(["how does it work", "which tests fail", "what changed in the release"])) for q in range(12)]
+    some = lambda scale: [(q, i, round(r.choice([-1, 1, 2]) * r.random(), scale), n) for q in range(14) for n, i in enumerate(r.sample(ids, r.randint(1, 12)), 1)]
+    schema = "query_id int, id string, score double, rank int"
+    keyword, vector = spark.createDataFrame(some(1), schema), spark.createDataFrame(some(2), schema)
+    named, questions = spark.createDataFrame(paths, "id string, path string"), spark.createDataFrame(asked, "query_id int, question string")
+    gold = spark.createDataFrame([(q, r.choice(["src/a.py", "tests/t.py", "CHANGELOG.md", "none"])) for q in range(12)] * 2, "query_id int, path string")
+    grid = [*ev.ablation_grid(), *ev.changelog_grid(), ev.Configuration("all", "hybrid", 0.0, 0.25, 0.5), ev.Configuration("k", "keyword", 3.0, 0.5, 0.5)]
+    got = ev.evaluate(grid, keyword, vector, named, questions, gold)
+    want = {(c.name, *x) for c in grid for x in metrics.gold_ranks(questions, search.ranked_files(ev.ranked(c, keyword, vector, named, questions)), gold).collect()}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    moves = lambda g: ev.evaluate(g, keyword, vector, named, questions, gold)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert moves(grid) == moves([*grid, ev.Configuration("more", "hybrid", 7.0, 0.5), ev.Configuration("most", "vector", 1.0, 0.1)])
+    with pytest.raises(ValueError):
+        ev.evaluate([ev.Configuration("x", "hybrid", -1.0)], keyword, vector, named, questions, gold)
+    assert ev.evaluate([ev.Configuration("v", "vector")], None, vector, named, questions, gold).count() == 12
