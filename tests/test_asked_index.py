@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.functions.embedding import HashEmbedder, embed
-from quillon.functions.identifiers import identifier_tokens, tokens_of
+from quillon.functions.identifiers import ascii_tokens, identifier_tokens, tokens_of
 from quillon.operators import search
 from quillon.operators.indexing import AskedIndex, KeywordIndex, terms_of
 
@@ -83,6 +84,20 @@ def test_pairs_of_questions_and_documents_are_not_shuffled(spark):
         assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_tokens_of_ascii_words_in_bytes():
+    for w in [*WORDS, "ABCdef12_3", "a1", "__init__", "A", "_", "_foo", "HTTP2Server", "x_y", "9", "42"]:
+        if w.isascii():
+            assert [t.decode() for t in ascii_tokens(w.encode())] == tokens_of(w)
+
+
+def test_first_block_of_documents_is_smaller(monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_TERMS", 1 << 15)
+    n, lists = 20_000, pa.array([[0, 1, 2, 3]] * 20_000, pa.list_(pa.int32()))
+    batch = pa.record_batch([pa.array(range(n)), pa.array([9] * n), lists, lists, lists], ["id", "length", "terms", "tf_meta", "tf_body"])
+    sizes = [len(block[0]) for block in search._blocks(iter([batch]))]
+    assert sum(sizes) == n and sizes[0] * 4 <= sizes[1]
+
+
 def kept(monkeypatch, name, spark):
     """What a query stores on its way, and its result."""
     from quillon.plans import queries
