@@ -10,8 +10,8 @@ import pyarrow as pa
 import pytest
 
 from quillon.functions.embedding import HashEmbedder, embed
-from quillon.functions.identifiers import ascii_tokens, identifier_tokens, tokens_of
-from quillon.operators import search
+from quillon.functions.identifiers import ascii_tokens, identifier_tokens, text_tokens, tokens_of
+from quillon.operators import indexing, search, selection
 from quillon.operators.indexing import AskedIndex, KeywordIndex, terms_of
 
 DATA = os.environ.get("QUILLON_TESTDATA", "/root/testdata/sf0.001")
@@ -158,3 +158,64 @@ def test_texts_become_vectors_in_the_task_that_searches_them(spark):
     got = search.cosine(chunks, asked, 9, id_col="id", text_col="text", embedder=embedder)
     assert (plan(got).count("MapInArrow"), plan(want).count("MapInArrow")) == (1, 2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tokens_of_many_texts_at_once_are_those_of_their_words():
+    r, asked = random.Random(7), [b"a", b"ab", b"ba", b"bb", b"19", b"__", b"_", b"zz", b"aab", b"get_user"]
+    for _ in range(200):
+        texts = [None if r.random() < 0.1 else "".join(r.choice("aAbB1_ .9zZ" + "é" * (r.random() < 0.05)) for _ in range(r.randint(0, 30))).encode() for _ in range(r.randint(0, 20))]
+        lo = r.randint(0, len(texts))
+        lengths, rows, places, other = text_tokens(pa.array(texts, pa.binary()).slice(lo), pa.array(asked, pa.binary()))
+        plain = [(x or b"") if (x or b"").isascii() else None for x in texts[lo:]]
+        want = [[t for w in re.findall(rb"\w+", x or b"") for t in ascii_tokens(w)] for x in plain]
+        assert lengths.tolist() == [len(x) for x in want] and other.tolist() == [n for n, x in enumerate(plain) if x is None]
+        assert sorted(zip(rows.tolist(), places.tolist())) == sorted((n, asked.index(t)) for n, x in enumerate(want) for t in x if t in asked)
+
+
+def test_pieces_of_batches_have_a_bound_and_all_rows(monkeypatch):
+    monkeypatch.setattr(indexing, "COUNTED_BYTES", 10)
+    batch = pa.record_batch([pa.array(range(6)), pa.array([b"x" * 4, None, b"x" * 5, b"x" * 50, b"", b"x"])], ["id", "text"])
+    pieces = [p.column("id").to_pylist() for p in indexing._pieces(iter([batch, batch.slice(0, 0)]))]
+    assert pieces == [[0, 1, 2], [3, 4], [5]]
+
+
+@pytest.mark.parametrize("wide", [1, 8, 1000])
+def test_terms_of_many_documents_are_added_up_once_and_scores_stay(spark, monkeypatch, wide):
+    monkeypatch.setattr(search, "WIDE", wide)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 40)
+    chunks, asked, rows = corpus(spark)
+    terms = {}
+    for r in terms_of(asked).collect():
+        terms.setdefault(r["query_id"], []).append(r["term"])
+    assert {tuple(r) for r in search.bm25(AskedIndex.build(chunks, asked), asked, 4).collect()} == brute(rows, terms, 4)
+
+
+def test_only_rows_of_sent_ids_are_moved(spark, monkeypatch):
+    rows, ids = spark.range(1000), spark.createDataFrame([(3,), (3,), (999,), (5000,)], "id long")
+    assert sorted(r["id"] for r in search.of_ids(rows, ids).collect()) == [3, 999]
+    monkeypatch.setattr(search, "SENT_IDS", 3)
+    assert search.of_ids(rows, ids).count() == 1000
+
+
+def test_texts_of_merged_spans_equal_those_by_lines(spark):
+    r, rows = random.Random(11), []
+    for q in range(40):
+        for n in range(r.randint(1, 5)):
+            start, size = r.randint(1, 12), r.randint(1, 5)
+            text = r.choice([None, "", *["\n".join(f"{q}.{n}.{i}" for i in range(size + r.randint(-1, 1)))] * 6])
+            rows.append((q, r.choice("ab"), f"c{n}", r.choice([start] * 9 + [None]), start + size - 1, "s", "window", 1.0, n, False, r.choice(["py", None]), text))
+    spans = spark.createDataFrame(rows, "query_id int, path string, id string, start_line int, end_line int, symbol string, kind string, score double, rank int, context boolean, language string, text string")
+    plain = selection.merge_spans(spans)
+    want = plain.join(selection.merged_text(spans, plain), ["query_id", "path", "start_line"])
+    got = selection.merge_spans(spans, texts=True)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 40
+    first = {(q, p, i): language for q, p, i, *_, language, _ in rows}
+    assert all(x["language"] == first[x["query_id"], x["path"], x["chunk_ids"][0]] for x in got.collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_prompts_move_neither_all_texts_nor_lines(spark, monkeypatch):
+    ranked, picked, spans, result = kept(monkeypatch, "prompts", spark)
+    for frame in (ranked, spans):
+        assert "BroadcastHashJoin [xxhash64(id" in plan(frame)
+    assert "posexplode" not in plan(result) and plan(result).count("Exchange hashpartitioning") <= 3
